@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, simhash, warc
+from . import bpe, planes, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +41,30 @@ FROM f
 """
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every document, and decode its ids."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    back = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every document's ids as shuffled planes, and read the table back."""
+    table_ = planes.written(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return planes.checksums(table_)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards."""
     placed = sharding.shard(table(spark, sf_dir, "documents"), 24)
@@ -55,7 +74,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_warc": op2_warc, "op4_simhash": op4_simhash, "op10_sharding": op10_sharding}
+    return {
+        "op2_warc": op2_warc,
+        "op3_bpe": op3_bpe,
+        "op4_simhash": op4_simhash,
+        "op7_planes": op7_planes,
+        "op10_sharding": op10_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
