@@ -6,6 +6,11 @@ stored apart.  Records are rebuilt by joining the two.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,24 +31,61 @@ def _urn(digest: Column, page_id: Column) -> Column:
     return F.concat(F.lit("<urn:sha256:"), F.sha2(F.concat_ws("|", digest, page_id.cast("string")), 256), F.lit(">"))
 
 
+def _packed(pages: DataFrame) -> DataFrame:
+    """``(page_id, url, digest, bytes, packed)``: the payload's SHA-256 and length, and it compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                raw = [x or b"" for x in part.column(2).cast(pa.binary()).to_pylist()]
+                told = [[hashlib.sha256(x).hexdigest() for x in raw], pa.array(map(len, raw), pa.int64()), [press(x) for x in raw]]
+                yield pa.RecordBatch.from_arrays(part.columns[:2] + [pa.array(x) for x in told], ["page_id", "url", "digest", "bytes", "packed"])
+
+    return pages.mapInArrow(run, "page_id long, url string, digest string, bytes long, packed binary")
+
+
+def _checked(rows: DataFrame) -> DataFrame:
+    """``(header, digest, block)`` with payloads unpacked; one that is missing or has another digest fails the job."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                blocks = []
+                for digest, packed in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    if packed is None:
+                        raise ValueError(f"no payload has digest {digest}")
+                    blocks.append(plain(packed))
+                    if hashlib.sha256(blocks[-1]).hexdigest() != digest:
+                        raise ValueError(f"the payload of digest {digest} was altered")
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(blocks, pa.binary())], ["header", "digest", "block"])
+
+    return rows.mapInArrow(run, "header binary, digest string, block binary")
+
+
 def archive(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = NO_TIME
 ) -> tuple[DataFrame, DataFrame]:
     """``(payloads, headers)`` for every row of ``pages``, written to the shared folder.
 
-    payloads: ``(digest, payload)``, one row a distinct payload.  headers: ``(page_id, digest,
+    payloads: ``(digest, packed)``, one row a distinct payload, compressed by itself.  headers: ``(page_id, digest,
     header)``, one row a record.  The html in UTF-8 is the payload (null: empty).  Of records with
     equal payloads of REVISIT_BYTES or more, those with the least id are responses and the others
     revisit records, which carry no payload of their own; smaller ones are all responses.  Null
     ids come last and a group of null ids only has responses; a repeated row is a response as the
     row it repeats is.  Line breaks in a url are percent-encoded; a null url leaves out its line.
     """
-    raw = pages.select(
-        F.col(id_col).cast("long").alias("page_id"),
-        F.regexp_replace(F.regexp_replace(F.col(url_col), "\r", "%0D"), "\n", "%0A").alias("url"),
-        F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"),
-    ).withColumn("digest", F.sha2("payload", 256))
-    records = raw.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("bytes"))
+    raw = _packed(
+        pages.select(
+            F.col(id_col).cast("long").alias("page_id"),
+            F.regexp_replace(F.regexp_replace(F.col(url_col), "\r", "%0D"), "\n", "%0A").alias("url"),
+            F.col(html_col).alias("html"),
+        )
+    )
+    records = raw.select("page_id", "url", "digest", "bytes")
     firsts = records.groupBy("digest").agg(F.min("page_id").alias("first"))
     told = records.join(firsts, "digest")
     again = (F.col("bytes") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("first"))
@@ -66,10 +108,10 @@ def archive(
     )
     headers = stored(told.select("page_id", "digest", header.cast("binary").alias("header")), "warc-headers")
     # equal digests must come with equal lengths and checksums; partial sums keep a hot payload to one row a task
-    seen = F.struct(F.octet_length("payload").alias("n"), F.xxhash64("payload").alias("x"))
-    once = raw.groupBy("digest").agg(F.any_value("payload").alias("payload"), F.min(seen).alias("lo"), F.max(seen).alias("hi"))
+    seen = F.struct("bytes", F.xxhash64("packed").alias("x"))
+    once = raw.groupBy("digest").agg(F.any_value("packed").alias("packed"), F.min(seen).alias("lo"), F.max(seen).alias("hi"))
     clash = F.raise_error(F.concat(F.lit("two payloads have digest "), F.col("digest")))
-    payloads = stored(once.select("digest", F.when(F.col("lo") == F.col("hi"), F.col("payload")).otherwise(clash).alias("payload")), "warc-payloads")
+    payloads = stored(once.select("digest", F.when(F.col("lo") == F.col("hi"), F.col("packed")).otherwise(clash).alias("packed")), "warc-payloads")
     return payloads, headers
 
 
@@ -77,15 +119,10 @@ def records(payloads: DataFrame, headers: DataFrame) -> DataFrame:
     """``(header, digest, block, record)``: the records as they stand in a WARC file.
 
     A response's block is its payload, joined on the digest; a revisit's is empty.  Every payload
-    is checked against its digest as it is read, and a record whose payload is missing or altered
-    fails the job.
+    is checked against its digest as it is read; one that is missing or altered fails the job.
     """
-    sound = payloads.select(
-        "digest", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("altered payload "), F.col("digest")))).alias("payload")
-    )
     revisit = F.col("header").cast("string").contains("\r\nWARC-Profile: ")
-    own = headers.where(~revisit).join(sound, "digest", "left")
-    own = own.select("header", "digest", F.when(F.col("payload").isNull(), F.raise_error(F.concat(F.lit("no payload "), F.col("digest")))).otherwise(F.col("payload")).alias("block"))
+    own = _checked(headers.where(~revisit).join(payloads, "digest", "left").select("header", "digest", "packed"))
     every = own.union(headers.where(revisit).select("header", "digest", F.lit(b"").alias("block")))
     return every.withColumn("record", F.concat("header", "block", F.lit(b"\r\n\r\n")))
 
