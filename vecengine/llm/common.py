@@ -71,3 +71,16 @@ def map_texts(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterable[pa.Reco
                 yield from kernel(part)
 
     return df.mapInArrow(run, schema)
+
+
+def bitmap(values: DataFrame, column: str, bits: int) -> bytes:
+    """A bitmap of ``2 ** bits`` bits with those of ``column`` (longs from 0) set, LSB first.
+
+    Its size does not depend on the data.  It is built on the executors, 32,768 bits a row.
+    """
+    v = F.col(column) + 1
+    parts = values.groupBy(F.bitmap_bucket_number(v).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(v)).alias("b"))
+    out = bytearray(max(1 << bits >> 3, 4096))
+    for k, b in parts.toLocalIterator():
+        out[(k - 1) * 4096 : k * 4096] = b
+    return bytes(out)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, planes, sharding, simhash, warc
+from . import bpe, planes, sharding, simhash, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,24 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What substring dedup leaves of every document."""
+    return substring.cut(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP5_SQL = """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+     g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS gram
+           FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS i FROM w WHERE len(ws) >= 13)),
+     f AS (SELECT gram, min(doc_id) AS first FROM g GROUP BY gram),
+     c AS (SELECT DISTINCT g.doc_id, unnest(generate_series(g.i, g.i + 12)) AS k FROM g JOIN f USING (gram) WHERE f.first < g.doc_id),
+     r AS (SELECT doc_id, list(k) AS ks FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(ks, []), i)), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)
+"""
+
+
 def op7_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids as shuffled planes, and read the table back."""
     table_ = planes.written(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -78,10 +96,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op3_bpe": op3_bpe,
         "op4_simhash": op4_simhash,
+        "op5_substring": op5_substring,
         "op7_planes": op7_planes,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL}
+    return {"op2_warc": OP2_SQL, "op5_substring": OP5_SQL}
