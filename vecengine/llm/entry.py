@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, planes, sharding, simhash, substring, warc
+from . import bpe, decontaminate, planes, sharding, simhash, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the items."""
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(
+        F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"), F.max("exact").alias("exact")
+    )
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive every page and read the archive back."""
     payloads, headers = warc.archive(table(spark, sf_dir, "pages"))
@@ -93,6 +101,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op2_warc": op2_warc,
         "op3_bpe": op3_bpe,
         "op4_simhash": op4_simhash,
