@@ -26,7 +26,7 @@ from .common import ids_and_texts, map_texts
 #: Fixed values of the byte-level format: the pattern that splits text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct chunks of text whose ids a worker keeps; above that it starts anew.
-KEPT_CHUNKS = 800_000
+KEPT_CHUNKS = 300_000
 
 _TWO_SPACES = re.compile(r"\s\s")
 
@@ -97,7 +97,7 @@ class Vocabulary:
         key = s << 20 | t
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 400_000:
                 self._fits.clear()
             known = self._fits[key] = not any(
                 (q := self.rank.get((a, b))) is not None and q < gone_a and q <= gone_b
@@ -185,21 +185,27 @@ def _encoder(spec: str) -> Encoder:
     return Encoder(Vocabulary(spec))
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """``(doc_id, ids array<int>)`` for every row; the tokenizer's file is read on the driver.
 
     A null text is encoded as an empty one, to no ids; repeated rows and null ids stay; an empty
     table gives an empty result.  There is no shuffle: each task encodes its own distinct words.
+    With ``decoded`` there is a third column, the text that the ids decode to, from the same worker.
     """
     spec = docs.sparkSession.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())  # noqa: SIM115  a vocabulary file, a few MB
 
     def kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        packed = _encoder(spec.value).encode([t or "" for t in batch.column(1).to_pylist()])
+        encoder = _encoder(spec.value)
+        packed = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
         ends = np.cumsum([0, *[len(p) // 4 for p in packed]], dtype=np.int32)
         values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"])
+        columns, names = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"]
+        if decoded:
+            columns.append(pa.array([encoder.decode(np.frombuffer(p, "<u4")) for p in packed], pa.string()))
+            names.append("text")
+        yield pa.RecordBatch.from_arrays(columns, names)
 
-    return map_texts(ids_and_texts(docs, id_col, text_col), kernel, "doc_id long, ids array<int>")
+    return map_texts(ids_and_texts(docs, id_col, text_col), kernel, "doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

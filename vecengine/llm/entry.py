@@ -52,7 +52,7 @@ FROM f
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, and decode its ids."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    back = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    back = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, decoded=True)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
