@@ -26,7 +26,7 @@ from .substring import _has, _rolled, mark_of
 WINDOW, LITERALS, COVERED = 8, 4, 13
 #: log2 of the bits of the filter of benchmark windows (512 KB, whatever the benchmark's size).
 FILTER_BITS = 22
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 
 #: Units of measure that may follow a number.
 UNITS = frozenset(

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, planes, sharding, simhash, substring, warc
+from . import bpe, decontaminate, embeddings, html, planes, sharding, simhash, substring, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,12 +85,45 @@ FROM w LEFT JOIN r USING (doc_id)
 """
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors at a cosine of 0.95 or more."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+     u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v),
+     l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id
+           WHERE a.n > 0 AND b.n > 0 AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+     r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+     c AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY x),
+     n AS (SELECT x AS vec_id, count(*) AS n_links FROM l GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
 def op7_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids as shuffled planes, and read the table back."""
     table_ = planes.written(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return planes.checksums(table_)
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, by a network fitted on the labels that may be learnt from."""
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.fit(*toxicity.labelled(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return toxicity.score(docs, net).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC).cast("int").alias("predicted")
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards."""
     placed = sharding.shard(table(spark, sf_dir, "documents"), 24)
@@ -106,10 +139,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_simhash": op4_simhash,
         "op5_substring": op5_substring,
+        "op6_embeddings": op6_embeddings,
         "op7_planes": op7_planes,
+        "op8_html": op8_html,
+        "op9_toxicity": op9_toxicity,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op5_substring": OP5_SQL}
+    return {"op2_warc": OP2_SQL, "op5_substring": OP5_SQL, "op6_embeddings": OP6_SQL}
