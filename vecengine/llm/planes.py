@@ -21,9 +21,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _TWO_SPACES, KEPT_CHUNKS
+from .bpe import _TWO_SPACES
 from .common import ids_and_texts, shared_dir, text_slices
 
+#: Distinct chunks of text whose ids a worker keeps; above that it starts anew.
+KEPT_CHUNKS = 700_000
 BLOCK_IDS = 1 << 16
 SEGMENT_IDS = 1 << 20
 
@@ -73,23 +75,34 @@ class LibraryEncoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        space = self.library.encode(" ", add_special_tokens=False).tokens[0]
+        self.opens = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
+        self.opens[[i for t, i in self.library.get_vocab().items() if t.startswith(space)]] = True
         self.chunks: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode chunks end to end, each after a space: only a chunk's first token begins with one."""
+        for at in range(0, len(chunks), 20_000):
+            part = chunks[at : at + 20_000]
+            ids = self._ids(" " + " ".join(part))
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(part):
+                raise ValueError("a chunk's token begins with a space")
+            packed = ids.tobytes()
+            cuts = (4 * np.append(starts, len(ids))).tolist()
+            self.chunks.update(zip(part, [packed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [bool(_TWO_SPACES.search(t)) or t[-1:].isspace() or any(a in t for a in self.added) for t in texts]
+        whole = [bool(_TWO_SPACES.search(t)) or t[-1:].isspace() or t[:1].isspace() or any(a in t for a in self.added) for t in texts]
         cut = [[t] if odd else t.split(" ") for t, odd in zip(texts, whole, strict=True)]
-        firsts = self._ids([c[0] for c in cut])
         if len(self.chunks) > KEPT_CHUNKS:
             self.chunks.clear()
-        new = list({c for cs in cut for c in cs[1:]} - self.chunks.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.chunks.update(zip(part, self._ids([" " + c for c in part]), strict=True))
+        self._learn(list({c for cs in cut for c in cs[1:]} - self.chunks.keys()))
         get = self.chunks.__getitem__
-        return [b"".join([f, *map(get, cs[1:])]) for f, cs in zip(firsts, cut, strict=True)]
+        return [b"".join([self._ids(cs[0]).tobytes(), *map(get, cs[1:])]) for cs in cut]
 
 
 @lru_cache(maxsize=2)
