@@ -199,10 +199,13 @@ def capacity(dim: int, block_bytes: int = 4096, component_bytes: int = 4, coded:
 
 
 def representatives(packed: DataFrame, cents: DataFrame, m: int) -> DataFrame:
-    """``(cid, block_id, rep, vec_id, dist)``: of each block the ``m`` rows farthest from its centroid, 1 the farthest."""
+    """``(cid, block_id, rep, vec_id, dist)``: of each block the ``m`` rows farthest from its centroid, 1 the farthest.
+
+    Distances that agree to nine digits are a tie, and the smaller id comes first.
+    """
     from ..functions.vectors import l2_sq
 
     apart = packed.select("cid", "block_id", "vec_id", "v").join(cents.select("cid", "block_id", "c"), ["cid", "block_id"])
     apart = apart.select("cid", "block_id", "vec_id", l2_sq(F.col("v"), F.col("c")).alias("dist"))
-    at = F.row_number().over(Window.partitionBy("cid", "block_id").orderBy(F.desc("dist"), "vec_id"))
+    at = F.row_number().over(Window.partitionBy("cid", "block_id").orderBy(F.round("dist", 9).desc(), "vec_id"))
     return apart.withColumn("rep", at.cast("long")).where(F.col("rep") <= m)

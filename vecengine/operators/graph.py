@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from .search import SCORED, _cells, matrix, ranked
 
 
@@ -63,9 +64,7 @@ def radius_expand(seeds: DataFrame, edges: DataFrame, vectors: DataFrame, querie
     """
     from ..functions.vectors import l2_sq
 
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        raise ValueError("set a checkpoint folder that all executors share")
+    checkpoint_dir(edges.sparkSession)
 
     def near(pairs: DataFrame) -> DataFrame:
         scored = pairs.join(queries.select("qid", "qv"), "qid").join(vectors.select("vec_id", "v"), "vec_id")
