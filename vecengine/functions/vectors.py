@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ZERO = F.lit(0.0)
 
 
 def doubles(v: Column | str) -> Column:
