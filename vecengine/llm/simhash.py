@@ -130,8 +130,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(placed.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Similarity search: 64-bit words of a fingerprint; the bits of a half most likely to flip.
-WORDS, UNSURE = 4, 12
+#: Similarity search: 64-bit words of a fingerprint; the bits of a half most likely to flip; bucket size up to which all pairs are asked.
+WORDS, UNSURE, ALL_PAIRS = 4, 12, 16
 
 
 def _long_fingerprint(line: bytes, starts: list[int], ends: list[int], size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +187,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     At that likeness texts differ in more bits than a guarantee can span, so the variants of eight
     halves are indexed, each with one of its unsure bits out; two like texts agree in one of them
     with a high chance.  Likeness is the share of shingles in common, from the 256 bits over
-    ``size`` words (standard error about 0.03).  Buckets up to PAIRED are joined pair by pair; in
+    ``size`` words (standard error about 0.03).  Buckets up to ALL_PAIRS are joined pair by pair; in
     larger ones all are compared with the bucket's least member and with that of one of sixteen
     parts of it, and the other buckets that a text is in join the rest.  Nulls, ties and repeated
     rows are as in :func:`near_duplicates`.
@@ -201,9 +201,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sigs = spread.selectExpr("n", f"(cast(k AS long) * 32 + w) * 2147483648L | {_without('half', 'w')} AS sig").distinct()
     counted = sigs.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
     rows = stored(sigs.join(counted, "sig"), "simhash-sketch-buckets")
-    small = rows.where(F.col("size") <= PAIRED)
+    small = rows.where(F.col("size") <= ALL_PAIRS)
     pairs = small.alias("a").join(small.alias("b"), F.expr("a.sig = b.sig AND a.n < b.n")).selectExpr("a.n AS u", "b.n AS v").distinct()
-    hot = rows.where(F.col("size") > PAIRED).withColumn("part", F.pmod(F.xxhash64("n"), F.lit(16)))
+    hot = rows.where(F.col("size") > ALL_PAIRS).withColumn("part", F.pmod(F.xxhash64("n"), F.lit(16)))
     whole, parted = hot.groupBy("sig").agg(F.min("n").alias("m")), hot.groupBy("sig", "part").agg(F.min("n").alias("m"))
     stars = hot.join(whole, "sig").selectExpr("m AS u", "n AS v").union(hot.join(parted, ["sig", "part"]).selectExpr("m AS u", "n AS v"))
     asked = pairs.union(stars.where("u <> v").distinct()).distinct()
