@@ -181,6 +181,23 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     return map_texts(ids_and_texts(docs, id_col, text_col), kernel, "doc_id long, fp array<long>, index array<long>, unsure array<long>")
 
 
+def _centers(hot: DataFrame) -> DataFrame:
+    """``(sig, center)``: the bits that most of about 64 members of each bucket have, chosen by hash.
+
+    Bits are summed eight to a long, in lanes of eight bits.  The center only serves to choose whom
+    members are compared with, so an estimate will do.
+    """
+    few = hot.where(F.expr("pmod(xxhash64(n), greatest(1, size div 64)) = 0"))
+    lanes = [F.sum(F.expr(f"shiftrightunsigned(fp[{w}], {k}) & 72340172838076673L")).alias(f"s{w}_{k}") for w in range(WORDS) for k in range(8)]
+    sums = few.groupBy("sig").agg(F.count("*").alias("c"), *lanes)
+
+    def word(w: int) -> str:
+        lane = f"(shiftrightunsigned(array({', '.join(f's{w}_{k}' for k in range(8))})[b % 8], 8 * (b div 8)) & 255L)"
+        return f"aggregate(sequence(0, 63), 0L, (a, b) -> a | if({lane} * 2 > c, shiftleft(1L, b), 0L))"
+
+    return sums.selectExpr("sig", f"array({', '.join(word(w) for w in range(WORDS))}) AS center")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)``: groups of texts whose shingles are alike to ``similarity`` or more.
 
@@ -188,8 +205,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     halves are indexed, each with one of its unsure bits out; two like texts agree in one of them
     with a high chance.  Likeness is the share of shingles in common, from the 256 bits over
     ``size`` words (standard error about 0.03).  Buckets up to ALL_PAIRS are joined pair by pair; in
-    larger ones all are compared with the bucket's least member and with that of one of sixteen
-    parts of it, and the other buckets that a text is in join the rest.  Nulls, ties and repeated
+    larger ones, those of many copies of one text, all are compared with the member nearest to the
+    bucket's middle, which is that text or next to it, and with the least member; the other buckets
+    that a text is in join the rest.  Nulls, ties and repeated
     rows are as in :func:`near_duplicates`.
     """
     told = stored(sketches(docs, id_col, text_col, size), "simhash-sketches")
@@ -203,9 +221,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = stored(sigs.join(counted, "sig"), "simhash-sketch-buckets")
     small = rows.where(F.col("size") <= ALL_PAIRS)
     pairs = small.alias("a").join(small.alias("b"), F.expr("a.sig = b.sig AND a.n < b.n")).selectExpr("a.n AS u", "b.n AS v").distinct()
-    hot = rows.where(F.col("size") > ALL_PAIRS).withColumn("part", F.pmod(F.xxhash64("n"), F.lit(16)))
-    whole, parted = hot.groupBy("sig").agg(F.min("n").alias("m")), hot.groupBy("sig", "part").agg(F.min("n").alias("m"))
-    stars = hot.join(whole, "sig").selectExpr("m AS u", "n AS v").union(hot.join(parted, ["sig", "part"]).selectExpr("m AS u", "n AS v"))
+    hot = rows.where(F.col("size") > ALL_PAIRS).join(nodes.select("n", "fp"), "n")
+    center = _centers(hot)
+    apart = F.aggregate(F.zip_with("fp", "center", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    middle = hot.join(center, "sig").groupBy("sig").agg(F.min(F.struct(apart.alias("d"), "n")).alias("x")).select("sig", F.col("x.n").alias("m"))
+    first = hot.groupBy("sig").agg(F.min("n").alias("m"))
+    stars = hot.join(middle.union(first), "sig").selectExpr("m AS u", "n AS v")
     asked = pairs.union(stars.where("u <> v").distinct()).distinct()
     fps = nodes.select("n", "fp")
     asked = asked.join(fps.toDF("u", "f"), "u").join(fps.toDF("v", "g"), "v")
