@@ -122,6 +122,16 @@ def test_a_zero_sum_falls_back_to_the_mean(spark):
     assert cluster.centroids(rows, 2.0).first().c == [0.0, 0.0]
 
 
+def test_empty_clusters_are_repaired():
+    x = ((11 * np.arange(200)[:, None] + np.arange(128)) % 255).astype(float)
+    label = cluster.repair_empty(np.zeros(200, np.int64), 2)
+    assert np.bincount(label).tolist() == [100, 100] and (label[:100] == 1).all()
+    assert np.bincount(cluster.repair_empty(np.zeros(3, np.int64), 5), minlength=5).max() == 1
+    cents = np.stack([x[:100].mean(axis=0), x[100:].mean(axis=0)])
+    assert (cluster.assign_penalised(x, cents, 0.0) == search.scores(x, cents, "l2").argmin(axis=1)).all()
+    assert np.bincount(cluster.assign_penalised(x, cents, 1e9)).tolist() == [100, 100]
+
+
 def test_sampling_floor():
     assert cluster.sample_size(500, 10) == 390 and cluster.sample_size(10**6, 10) == 10_000
     with pytest.raises(ValueError):
@@ -186,6 +196,7 @@ def test_answer_files(spark, tmp_path):
     (tmp_path / "k").write_bytes(np.array([1, 2, 5, 6], "<u4").tobytes() + np.array([0.5, 1.5], "<f4").tobytes())
     assert [tuple(r) for r in binary.read_knn_truth(spark, str(tmp_path / "k")).collect()] == [(0, 1, 5, 0.5), (0, 2, 6, 1.5)]
     answer = spark.createDataFrame([(0, 1, 5, 0.5), (0, 2, 6, 1.5)], "qid long, rank long, vec_id long, score double")
+    assert binary.pack_answer(answer, 2) == (tmp_path / "k").read_bytes()
     binary.write_text_answer(answer, str(tmp_path / "a"))
     assert sorted(tuple(r) for r in binary.read_text_answer(spark, str(tmp_path / "a")).collect()) == [(0.5, 5), (1.5, 6)]
 

@@ -134,6 +134,30 @@ def balanced(x: np.ndarray, k: int, rounds: int = 10, seed: int = 1234) -> np.nd
     return label
 
 
+def repair_empty(label: np.ndarray, k: int, seed: int = 1234) -> np.ndarray:
+    """Labels of one bounded group in which every cluster has a row, as far as there are rows.
+
+    An empty cluster gets the first half of the rows of one drawn by its size less one.
+    """
+    label, g = label.copy(), np.random.default_rng(seed)
+    for c in range(k):
+        sizes = np.bincount(label, minlength=k)
+        if sizes[c] == 0 and sizes.max() > 1:
+            chance = np.maximum(sizes - 1, 0)
+            donor = int(g.choice(k, p=chance / chance.sum()))
+            label[np.flatnonzero(label == donor)[: sizes[donor] // 2]] = c
+    return label
+
+
+def assign_penalised(x: np.ndarray, cents: np.ndarray, weight: float) -> np.ndarray:
+    """Labels of one bounded group: in row order, the least of distance and ``weight`` times the cluster's size so far."""
+    d, sizes, label = scores(x, cents, "l2"), np.zeros(len(cents)), np.empty(len(x), np.int64)
+    for i in range(len(x)):
+        label[i] = (d[i] + weight * sizes).argmin()
+        sizes[label[i]] += 1
+    return label
+
+
 def blocks_of(x: np.ndarray, capacity: int, seed: int = 1234) -> np.ndarray:
     """Block of each row of one bounded group: split by the square root of what is needed, then evenly."""
     out, ready, todo = np.zeros(len(x), np.int64), 0, [(np.arange(len(x)), 0)]
@@ -147,10 +171,11 @@ def blocks_of(x: np.ndarray, capacity: int, seed: int = 1234) -> np.ndarray:
             label = balanced(x[rows], need, seed=seed)
         else:
             k = min(500, int(math.isqrt(need)) + 1)
-            cents = x[rows][kmeanspp(x[rows][: 256 * k], k, seed)]
+            cents = x[rows][kmeanspp(x[rows], k, seed)]
+            k = len(cents)
             for _ in range(5):
-                label = scores(x[rows], cents, "l2").argmin(axis=1)
-                cents = np.stack([x[rows][label == c].mean(axis=0) if (label == c).any() else cents[c] for c in range(k)])
+                label = repair_empty(scores(x[rows], cents, "l2").argmin(axis=1), k, seed)
+                cents = np.stack([x[rows][label == c].mean(axis=0) for c in range(k)])
         parts = [rows[label == c] for c in np.unique(label)]
         todo += [(p, level + 1) for p in parts[::-1]] if len(parts) > 1 else [(h, 3) for h in np.array_split(rows, need)]
     return out

@@ -62,6 +62,21 @@ def pack_vectors(vectors: DataFrame, kind: str, order: str = "vec_id", column: s
     return np.array([table.num_rows, dim], "<u4").tobytes() + values.tobytes()
 
 
+def pack_answer(answer: DataFrame, k: int) -> bytes:
+    """The bytes of one file ``u32 nq, u32 k, u32 ids[nq*k], f32 scores[nq*k]`` of a bounded answer, by query.
+
+    A query with fewer than ``k`` rows is filled up with the id 2 ** 32 - 1 and an infinite score.
+    """
+    table = answer.orderBy("qid", "rank").select("qid", "rank", "vec_id", "score").limit(10_000_001).toArrow()
+    if table.num_rows > 10_000_000:
+        raise ValueError("more than ten million rows: write a directory of files")
+    qids, row = np.unique(table["qid"].to_numpy(), return_inverse=True)
+    ids, scores = np.full((len(qids), k), 2**32 - 1, "<u4"), np.full((len(qids), k), np.inf, "<f4")
+    at = table["rank"].to_numpy() - 1
+    ids[row, at], scores[row, at] = table["vec_id"].to_numpy(), table["score"].to_numpy()
+    return np.array([len(qids), k], "<u4").tobytes() + ids.tobytes() + scores.tobytes()
+
+
 def read_range_truth(spark: SparkSession, path: str) -> DataFrame:
     """``(qid, vec_id)`` of a file ``i32 nq, i32 total, i32 count[nq], i32 ids[total]``."""
 
