@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, map_texts
+from .common import claim, ids_and_texts, map_texts
 
 #: Fixed values of the byte-level format: the pattern that splits text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -185,6 +185,11 @@ def _encoder(spec: str) -> Encoder:
     return Encoder(Vocabulary(spec))
 
 
+def _claimed(spec: str) -> Encoder:
+    claim("bpe", _encoder.cache_clear)
+    return _encoder(spec)
+
+
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """``(doc_id, ids array<int>)`` for every row; the tokenizer's file is read on the driver.
 
@@ -195,7 +200,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     spec = docs.sparkSession.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())  # noqa: SIM115  a vocabulary file, a few MB
 
     def kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(spec.value)
+        encoder = _claimed(spec.value)
         packed = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
         ends = np.cumsum([0, *[len(p) // 4 for p in packed]], dtype=np.int32)
         values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
@@ -218,7 +223,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_
                 part = batch.slice(at, 512)
                 ids = part.column(1)
                 ends, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
-                tell = _encoder(spec.value).decode
+                tell = _claimed(spec.value).decode
                 texts = [tell(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 

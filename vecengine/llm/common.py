@@ -49,12 +49,12 @@ def ids_and_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def text_slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about SLICE_BYTES of text each."""
+def text_slices(batch: pa.RecordBatch, column: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about ``most`` bytes of text each."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, n in enumerate(sizes):
-        if total and total + n > SLICE_BYTES:
+        if total and total + n > most:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += int(n)
@@ -62,17 +62,31 @@ def text_slices(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBat
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str, most: int = SLICE_BYTES) -> DataFrame:
     """Run ``kernel`` over slices of (id, text) batches; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, 1, most):
                 yield from kernel(part)
 
     return df.mapInArrow(run, schema)
 
 
+_OWNER: list = [None, None]
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Let operator ``name`` keep tables in this worker, and free those of the operator before it.
+
+    Spark's workers live on from stage to stage; so the tables of one operator at most take memory.
+    """
+    if _OWNER[0] != name:
+        if _OWNER[1] is not None:
+            _OWNER[1]()
+        _OWNER[:] = [name, clear]
+
+
 def bitmap(values: DataFrame, column: str, bits: int) -> bytes:
     """A bitmap of ``2 ** bits`` bits with those of ``column`` (longs from 0) set, LSB first.
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, ids_and_texts, map_texts, stored
+from .common import bitmap, claim, ids_and_texts, map_texts, stored
 from .substring import _has, _rolled, mark_of
 
 #: Tokens of a template window; of those at least LITERALS are words; tokens that a leak covers.
@@ -78,13 +78,18 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def _forget() -> None:
+    global _WORDS
+    _WORDS = _Words()
+
+
 class Templates:
     """The template tokens of a slice of texts, end to end: ``row``, ``code`` and slot ``value`` (0: a word)."""
 
     def __init__(self, texts: list[str | None]):
-        global _WORDS
+        claim("decontaminate", _forget)
         if len(_WORDS) > KEPT_WORDS:
-            _WORDS = _Words()
+            _forget()
         number = _WORDS.__getitem__
         cut = [(t or "").split() for t in texts]
         counts = np.array([len(w) for w in cut], np.int64)

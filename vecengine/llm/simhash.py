@@ -206,8 +206,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with a high chance.  Likeness is the share of shingles in common, from the 256 bits over
     ``size`` words (standard error about 0.03).  Buckets up to ALL_PAIRS are joined pair by pair; in
     larger ones, those of many copies of one text, all are compared with the member nearest to the
-    bucket's middle, which is that text or next to it, and with the least member; the other buckets
-    that a text is in join the rest.  Nulls, ties and repeated
+    bucket's middle, which is that text or next to it; the other buckets that a text is in join the
+    rest.  Nulls, ties and repeated
     rows are as in :func:`near_duplicates`.
     """
     told = stored(sketches(docs, id_col, text_col, size), "simhash-sketches")
@@ -225,8 +225,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     center = _centers(hot)
     apart = F.aggregate(F.zip_with("fp", "center", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     middle = hot.join(center, "sig").groupBy("sig").agg(F.min(F.struct(apart.alias("d"), "n")).alias("x")).select("sig", F.col("x.n").alias("m"))
-    first = hot.groupBy("sig").agg(F.min("n").alias("m"))
-    stars = hot.join(middle.union(first), "sig").selectExpr("m AS u", "n AS v")
+    stars = hot.join(middle, "sig").selectExpr("m AS u", "n AS v")
     asked = pairs.union(stars.where("u <> v").distinct()).distinct()
     fps = nodes.select("n", "fp")
     asked = asked.join(fps.toDF("u", "f"), "u").join(fps.toDF("v", "g"), "v")
