@@ -3,7 +3,7 @@
 Words are hashed, and each window of LENGTH words is given an anchor, the least hash of the runs
 of SEED words in it (winnowing), so equal windows have equal anchors.  Anchors that occur in two
 different documents are seeds.  A seed is extended both ways, over all windows that hold it as
-their anchor; windows are joined on 128 bits of hash with the least id that has them, and runs of
+their anchor; windows are joined on 96 bits of hash with the least id that has them, and runs of
 windows found in a smaller document are the maximal repeats that are cut.
 """
 
@@ -18,14 +18,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, ids_and_texts, map_texts, stored
+from .common import bitmap, claim, ids_and_texts, map_texts, stored
 
 LENGTH, SEED = 13, 5
-#: log2 of the bits of the seed filter and of the document filters (16 MB and 2 MB, whatever the data).
-#: A filter that the data outgrow lets more rows through; results stay the same.
-SEED_BITS, DOC_BITS = 27, 24
+#: log2 of the bits of the filters of documents (2 MB, whatever the data), and of the seeds' filter
+#: at least and at most (8 to 64 MB, by the number of seeds).  A filter that the data outgrow lets
+#: more rows through; results stay the same.
+DOC_BITS, LEAST_BITS, MOST_BITS = 24, 26, 29
+#: Bytes of text that a kernel takes at once: its arrays are a few dozen times as large.
+SLICE = 2 << 20
 #: Distinct words whose hashes a kernel keeps at once.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 
 
 class _Hashes(dict):
@@ -56,6 +59,7 @@ class Windows:
     """The windows of a slice of texts: each one's start, text and anchor."""
 
     def __init__(self, texts: list[str | None], length: int, seed: int):
+        claim("substring", _HASHES.clear)
         if len(_HASHES) > KEPT_WORDS:
             _HASHES.clear()
         cut = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
@@ -75,12 +79,12 @@ class Windows:
                 nxt = least.copy()
                 nxt[:-step] = np.minimum(least[:-step], least[step:])
                 least, width = nxt, width + step
-            self.anchor = least[at]
+            self.anchor = _mixed(least[at])  # a least hash is small; mixed, its high bits are even again
 
     def keys(self, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of hash of the picked windows, as two arrays of signed longs."""
+        """96 bits of hash of the picked windows, as a signed long and a signed int."""
         if not len(self.h):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
         places = self.at[picked]
         one = np.zeros(len(places), np.uint64)
         two = np.zeros(len(places), np.uint64)
@@ -88,28 +92,21 @@ class Windows:
         for j in range(self.length):
             one = one * np.uint64(0xD6E8FEB86659FD93) + self.h[places + j]
             two = two * np.uint64(0xC2B2AE3D27D4EB4F) + other[places + j]
-        return _mixed(one).view(np.int64), _mixed(two).view(np.int64)
+        return _mixed(one).view(np.int64), (_mixed(two) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _has(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (bits[x >> np.uint64(3)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _docs_in(docs: DataFrame, bits: int, found: bytes) -> DataFrame:
+def _held(batch: pa.RecordBatch, bits: int, found: bytes) -> pa.RecordBatch:
     """The rows of (doc_id, text) whose hashed id is in a bitmap; the others' texts go no further."""
-    held = docs.sparkSession.sparkContext.broadcast(found)  # 2 ** bits bits
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(held.value, np.uint8)
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            yield batch.filter(pa.array(_has(table, _mixed(ids) >> np.uint64(64 - bits))))
-
-    return docs.mapInArrow(run, "doc_id long, text string")
+    ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return batch.filter(pa.array(_has(np.frombuffer(found, np.uint8), _mixed(ids) >> np.uint64(64 - bits))))
 
 
 def _id_bits(ids: DataFrame, bits: int) -> bytes:
-    """The bitmap of the hashed ``doc_id`` that :func:`_docs_in` asks."""
+    """The bitmap of the hashed ``doc_id`` that :func:`_held` asks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,22 +156,26 @@ def _repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     told = rows.join(firsts, "whole").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
     told = stored(told.drop("first"), "substring-copies")
     # windows of a copy are those of its first; leaving copies out keeps the rest's ids the least
-    reps = _docs_in(source.where("doc_id IS NOT NULL"), DOC_BITS, _id_bits(told.where("NOT copy AND doc_id IS NOT NULL"), DOC_BITS))
+    known = source.where("doc_id IS NOT NULL")
+    reps = sc.broadcast(_id_bits(told.where("NOT copy AND doc_id IS NOT NULL"), DOC_BITS))
 
     def anchors(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        batch = _held(batch, DOC_BITS, reps.value)
         w = Windows(batch.column(1).to_pylist(), length, seed)
-        low = w.anchor >> np.uint64(64 - SEED_BITS)
-        new = np.ones(len(low), bool)
-        new[1:] = (low[1:] != low[:-1]) | (w.row[1:] != w.row[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(low[new].view(np.int64)), batch.column(0).take(pa.array(w.row[new]))], ["a", "doc_id"])
+        new = np.ones(len(w.anchor), bool)
+        new[1:] = (w.anchor[1:] != w.anchor[:-1]) | (w.row[1:] != w.row[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(w.anchor[new].view(np.int64)), batch.column(0).take(pa.array(w.row[new]))], ["a", "doc_id"])
 
-    spread = map_texts(reps, anchors, "a long, doc_id long").groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    seeds = sc.broadcast(bitmap(spread.where("lo < hi"), "a", SEED_BITS))
+    spread = map_texts(known, anchors, "a long, doc_id long", SLICE).groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    shared = stored(spread.where("lo < hi").select("a"), "substring-seeds")
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * shared.count()).bit_length()))
+    seeds = sc.broadcast(bitmap(shared.select(F.shiftrightunsigned("a", 64 - bits).alias("b")), "b", bits))
 
     def extended(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        batch = _held(batch, DOC_BITS, reps.value)
         texts = batch.column(1).to_pylist()
         w = Windows(texts, length, seed)
-        picked = np.flatnonzero(_has(np.frombuffer(seeds.value, np.uint8), w.anchor >> np.uint64(64 - SEED_BITS)))
+        picked = np.flatnonzero(_has(np.frombuffer(seeds.value, np.uint8), w.anchor >> np.uint64(64 - bits)))
         one, two = w.keys(picked)
         marks = _marks([(t or "").encode() for t in texts])
         for at in range(0, len(picked), 100_000):
@@ -183,7 +184,7 @@ def _repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             columns = [pa.array(one[p]), pa.array(two[p]), batch.column(0).take(pa.array(row)), marks.take(pa.array(row)), pa.array(w.start[picked[p]].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["w1", "w2", "doc_id", "mark", "start"])
 
-    windows = map_texts(reps, extended, "w1 long, w2 long, doc_id long, mark long, start int")
+    windows = map_texts(known, extended, "w1 long, w2 int, doc_id long, mark long, start int", SLICE)
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
     hits = windows.join(least, ["w1", "w2"]).where("doc_id > lo")
     found = hits.groupBy("doc_id", "mark").agg(F.collect_list("start").alias("starts"))
@@ -208,7 +209,8 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     """
     told, found = _repeats(docs, id_col, text_col, length, seed)
     source = ids_and_texts(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    partly = _docs_in(source, DOC_BITS, _id_bits(found, DOC_BITS)).withColumn("mark", mark_of("text"))
+    some = docs.sparkSession.sparkContext.broadcast(_id_bits(found, DOC_BITS))
+    partly = map_texts(source, lambda batch: [_held(batch, DOC_BITS, some.value)], "doc_id long, text string").withColumn("mark", mark_of("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,8 +241,27 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
 
 
 def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the removed words taken out of the texts; other rows and columns stay as they are."""
-    cuts = cut(docs, id_col, text_col).where("kept IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("kept").alias("__kept"))
-    cuts = cuts.dropDuplicates(["__id", "__mark"])
-    joined = docs.withColumn("__m", mark_of(text_col)).join(cuts, (F.col(id_col) == F.col("__id")) & (F.col("__m") == F.col("__mark")), "left")
-    return joined.withColumn(text_col, F.coalesce("__kept", text_col)).select(*docs.columns)
+    """``docs`` with the removed words taken out of the texts; other rows and columns stay as they are.
+
+    Only rows whose id may have a cut are shuffled; a filter of fixed size tells them.
+    """
+    cuts = cut(docs, id_col, text_col).where("kept IS NOT NULL").select("doc_id", F.col("mark").alias("__mark"), F.col("kept").alias("__kept"))
+    cuts = stored(cuts.dropDuplicates(["doc_id", "__mark"]), "substring-cuts")
+    held = docs.sparkSession.sparkContext.broadcast(_id_bits(cuts, DOC_BITS))
+    column = docs.columns.index(id_col)
+
+    def only(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.frombuffer(held.value, np.uint8)
+            for batch in batches:
+                ids = batch.column(column).cast(pa.int64())
+                found = _has(bits, _mixed(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(64 - DOC_BITS))
+                found &= ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(found == wanted))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    touched = only(True).withColumn("__m", mark_of(text_col))
+    same = (F.col(id_col) == F.col("__id")) & (F.col("__m") == F.col("__mark"))
+    joined = touched.join(cuts.withColumnRenamed("doc_id", "__id"), same, "left").withColumn(text_col, F.coalesce("__kept", text_col))
+    return only(False).unionByName(joined.select(*docs.columns))
