@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vecengine.llm import bpe, components, decontaminate, embeddings, html, planes, sharding, simhash, substring, toxicity, warc
@@ -122,6 +123,26 @@ def test_like_texts_are_grouped_and_others_are_not(spark):
     assert kept.where("doc_id = 1000").count() == 2 and kept.columns == ["doc_id", "text"]
 
 
+def test_all_pairs_of_large_buckets_are_compared(spark, monkeypatch):
+    """Two families in one bucket, of which a star from one member links only that member's own."""
+    monkeypatch.setattr(simhash, "BLOCK", 16, raising=False)
+    g = np.random.default_rng(12)
+    families = [[f"w{i}" for i in g.integers(0, 4000, 400)] for _ in range(2)]
+    rows = []
+    for i in range(80):
+        words = list(families[i % 2])
+        words[5 * (i // 2) + 3] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    sketched = simhash.sketches
+
+    def one_bucket(*a):
+        return sketched(*a).withColumn("index", F.expr("array(0L, 0L, 0L, 0L)")).withColumn("unsure", F.expr("array_repeat(0L, 8)"))
+
+    monkeypatch.setattr(simhash, "sketches", one_bucket)
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i % 2 for i in range(80)}
+
+
 # 10
 
 

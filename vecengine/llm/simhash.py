@@ -130,8 +130,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(placed.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Similarity search: 64-bit words of a fingerprint; the bits of a half most likely to flip; bucket size up to which all pairs are asked.
-WORDS, UNSURE, ALL_PAIRS = 4, 12, 16
+#: Similarity search: 64-bit words of a fingerprint; the bits of a half most likely to flip; bucket size from which the
+#: member compared with all others first is chosen by the bucket's middle; members of a block of a bucket.
+WORDS, UNSURE, CENTRED, BLOCK = 4, 12, 16, 256
 
 
 def _long_fingerprint(line: bytes, starts: list[int], ends: list[int], size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,17 +199,44 @@ def _centers(hot: DataFrame) -> DataFrame:
     return sums.selectExpr("sig", f"array({', '.join(word(w) for w in range(WORDS))}) AS center")
 
 
+def _fingerprints_of(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(u, v, f, g)``: pairs of nodes with both fingerprints."""
+    fps = nodes.select("n", "fp")
+    return pairs.join(fps.toDF("u", "f"), "u").join(fps.toDF("v", "g"), "v")
+
+
+def _apart(f: str, g: str) -> str:
+    """SQL for the number of bits in which two fingerprints differ."""
+    return " + ".join(f"bit_count({f}[{w}] ^ {g}[{w}])" for w in range(WORDS))
+
+
+def _unlinked_pairs(rows: DataFrame, nodes: DataFrame, roots: DataFrame, most: int) -> DataFrame:
+    """``(u, v)``: all pairs of a bucket that are of two components yet, and at most ``most`` bits apart.
+
+    Members outside of a bucket's largest component are compared with every member of another
+    component.  They are sent to all blocks of BLOCK members or so that a large bucket is dealt out in.
+    """
+    placed = rows.join(roots, "n", "left").select("sig", "size", "n", F.coalesce("root", "n").alias("root"))
+    shares = placed.groupBy("sig", "root").agg(F.count("*").alias("c"))
+    mixed = shares.groupBy("sig").agg(F.max(F.struct("c", "root")).alias("x"), F.count("*").alias("k")).where("k > 1").select("sig", F.col("x.root").alias("main"))
+    members = stored(placed.join(mixed, "sig").join(nodes.select("n", "fp"), "n").withColumn("blocks", F.expr(f"cast(ceil(size / {BLOCK}) AS int)")), "simhash-mixed-buckets")
+    rest = members.where("root <> main").selectExpr("sig", "n", "root", "fp", "explode(sequence(0, blocks - 1)) AS block")
+    dealt = members.withColumn("block", F.expr("cast(pmod(xxhash64(n), blocks) AS int)"))
+    other = f"a.sig = b.sig AND a.block = b.block AND a.root <> b.root AND (b.root = b.main OR a.n < b.n) AND {_apart('a.fp', 'b.fp')} <= {most}"
+    return rest.alias("a").join(dealt.alias("b"), F.expr(other)).selectExpr("a.n AS u", "b.n AS v").distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)``: groups of texts whose shingles are alike to ``similarity`` or more.
 
     At that likeness texts differ in more bits than a guarantee can span, so the variants of eight
     halves are indexed, each with one of its unsure bits out; two like texts agree in one of them
     with a high chance.  Likeness is the share of shingles in common, from the 256 bits over
-    ``size`` words (standard error about 0.03).  Buckets up to ALL_PAIRS are joined pair by pair; in
-    larger ones, those of many copies of one text, all are compared with the member nearest to the
-    bucket's middle, which is that text or next to it; the other buckets that a text is in join the
-    rest.  Nulls, ties and repeated
-    rows are as in :func:`near_duplicates`.
+    ``size`` words (standard error about 0.03).  All members of a bucket are first compared with one
+    of them (in buckets over CENTRED, with that nearest to the bucket's middle, which in a family
+    of copies is the text or next to it).  Then all pairs of a bucket are compared that are of two
+    components yet, so none that shares a bucket is left out.  Nulls, ties and repeated rows are as
+    in :func:`near_duplicates`.
     """
     told = stored(sketches(docs, id_col, text_col, size), "simhash-sketches")
     nodes = told.groupBy("fp", "index").agg(F.min("doc_id").alias("least"), F.min("unsure").alias("unsure"))
@@ -217,23 +245,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spread = nodes.selectExpr("n", "index", "posexplode(unsure) AS (k, low)").selectExpr("n", f"{half} AS half", "k", "low", f"explode(sequence(0, {UNSURE - 1})) AS j")
     spread = spread.selectExpr("n", "half", "k", "cast(shiftright(low, 5 * j) & 31 AS int) AS w")
     sigs = spread.selectExpr("n", f"(cast(k AS long) * 32 + w) * 2147483648L | {_without('half', 'w')} AS sig").distinct()
-    counted = sigs.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
+    counted = sigs.groupBy("sig").agg(F.count("*").alias("size"), F.min("n").alias("first")).where("size > 1")
     rows = stored(sigs.join(counted, "sig"), "simhash-sketch-buckets")
-    small = rows.where(F.col("size") <= ALL_PAIRS)
-    pairs = small.alias("a").join(small.alias("b"), F.expr("a.sig = b.sig AND a.n < b.n")).selectExpr("a.n AS u", "b.n AS v").distinct()
-    hot = rows.where(F.col("size") > ALL_PAIRS).join(nodes.select("n", "fp"), "n")
-    center = _centers(hot)
-    apart = F.aggregate(F.zip_with("fp", "center", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    middle = hot.join(center, "sig").groupBy("sig").agg(F.min(F.struct(apart.alias("d"), "n")).alias("x")).select("sig", F.col("x.n").alias("m"))
-    stars = hot.join(middle, "sig").selectExpr("m AS u", "n AS v")
-    asked = pairs.union(stars.where("u <> v").distinct()).distinct()
-    fps = nodes.select("n", "fp")
-    asked = asked.join(fps.toDF("u", "f"), "u").join(fps.toDF("v", "g"), "v")
-    apart = F.aggregate(F.zip_with("f", "g", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    hot = rows.where(F.col("size") > CENTRED).join(nodes.select("n", "fp"), "n")
+    middle = hot.join(_centers(hot), "sig").groupBy("sig").agg(F.min(F.struct(F.expr(_apart("fp", "center")).alias("d"), "n")).alias("x")).select("sig", F.col("x.n").alias("m"))
+    near = hot.join(middle, "sig").selectExpr("m AS u", "n AS v")
+    stars = rows.where(F.col("size") <= CENTRED).selectExpr("first AS u", "n AS v").union(near).where("u <> v")
     cosine = 2 * similarity / (1 + similarity)
     most = int(64 * WORDS * np.arccos(cosine) / np.pi) + 3  # half a standard error, so that few of just that likeness are lost
-    edges = stored(asked.where(apart <= most).select("u", "v"), "simhash-sketch-links")
+    asked = _fingerprints_of(stars.selectExpr("least(u, v) AS u", "greatest(u, v) AS v").distinct(), nodes)
+    edges = stored(asked.where(f"{_apart('f', 'g')} <= {most}").select("u", "v"), "simhash-sketch-links")
     roots = connected_components(edges).select(F.col("node").alias("n"), "root")
+    more = stored(_unlinked_pairs(rows, nodes, roots, most), "simhash-sketch-more-links")
+    if not more.isEmpty():
+        roots = connected_components(edges.union(more)).select(F.col("node").alias("n"), "root")
     placed = nodes.join(roots, "n", "left").select("fp", "index", "least", F.coalesce("root", "n").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     key = [F.xxhash64("fp", "index").alias("k1"), F.xxhash64(F.lit(1), "index", "fp").alias("k2")]
