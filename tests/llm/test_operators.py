@@ -143,6 +143,28 @@ def test_all_pairs_of_large_buckets_are_compared(spark, monkeypatch):
     assert found == {i: i % 2 for i in range(80)}
 
 
+def test_likeness_is_that_of_the_shingle_sets(spark):
+    """Texts a little under 0.8 stay apart, those a little over are grouped, and repeats weigh once."""
+    g = np.random.default_rng(14)
+    line = " ".join(f"line{i}" for i in range(20))
+    rows, over = [], []
+    for i in range(60):
+        words = [f"t{i}x{k}" for k in range(304)]  # 300 shingles; each word changed by itself costs five
+        changed = list(words)
+        for k in range(6 if i % 2 else 8):
+            changed[10 + 30 * k] = f"new{k}"
+        shared = 300 - 5 * (6 if i % 2 else 8)
+        assert (shared / (600 - shared) >= 0.8) == bool(i % 2)
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(changed))]
+        over.append(bool(i % 2))
+    for i in range(6):
+        rows.append((5000 + i, f"{line} " * 40 + " ".join(f"y{x}" for x in g.integers(0, 10**9, 60))))
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[5000 + i] == 5000 + i for i in range(6))
+    assert not any(found[10 * i + 1] == 10 * i for i in range(60) if not over[i])
+    assert sum(found[10 * i + 1] == 10 * i for i in range(60) if over[i]) >= 25
+
+
 # 10
 
 

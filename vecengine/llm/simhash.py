@@ -8,6 +8,7 @@ on the variant proposes pairs, and the whole fingerprints are compared.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, map_texts, stored
+from .common import bitmap, ids_and_texts, map_texts, stored
 from .components import connected_components
+from .substring import _has, mark_of
 
 #: Buckets of at most so many fingerprints are joined pair by pair; larger ones are cut further.
 PAIRED = 64
@@ -133,14 +135,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Similarity search: 64-bit words of a fingerprint; the bits of a half most likely to flip; bucket size from which the
 #: member compared with all others first is chosen by the bucket's middle; members of a block of a bucket.
 WORDS, UNSURE, CENTRED, BLOCK = 4, 12, 16, 256
+#: Standard errors of the bits that a pair may be below the likeness and still have its shingles compared.
+MARGIN = 4
+#: log2 of the bits of the filter of texts whose shingles are compared (2 MB, whatever the number of texts).
+ASKED_BITS = 24
 
 
-def _long_fingerprint(line: bytes, starts: list[int], ends: list[int], size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """A fingerprint of WORDS 64-bit words over shingles of ``size`` words, and each bit's margin."""
+def _places(text: str | None) -> tuple[bytes, list[int], list[int]]:
+    """The lower-cased words of a text joined by blanks, and where each begins and ends."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return b"", [], []
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    return b" ".join(words), np.concatenate(([0], ends[:-1] + 1)).tolist(), ends.tolist()
+
+
+def _shingles(line: bytes, starts: list[int], ends: list[int], size: int, seed: int) -> np.ndarray:
+    """The hashes of the distinct shingles of ``size`` words; of a shorter text, that of the whole."""
+    if not ends:
+        return np.zeros(0, np.uint64)
     k = min(size, len(ends))
     n = len(ends) - k + 1
     hashed = xxhash.xxh64_intdigest
-    h = np.fromiter((hashed(line[a:b], seed) for a, b in zip(starts[:n], ends[k - 1 :], strict=True)), np.uint64, n)
+    return np.unique(np.fromiter((hashed(line[a:b], seed) for a, b in zip(starts[:n], ends[k - 1 :], strict=True)), np.uint64, n))
+
+
+def _long_fingerprint(line: bytes, starts: list[int], ends: list[int], size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A fingerprint of WORDS 64-bit words over the distinct shingles of ``size`` words, and each bit's margin."""
+    h = _shingles(line, starts, ends, size, seed)
+    n = len(h)
     ones = np.zeros((WORDS, 64), np.int64)
     for w in range(WORDS):
         x = (h ^ np.uint64((w * 0x9E3779B97F4A7C15) & (2**64 - 1))) * np.uint64(0xD6E8FEB86659FD93)
@@ -153,7 +176,7 @@ def _long_fingerprint(line: bytes, starts: list[int], ends: list[int], size: int
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp, index, unsure)``: two fingerprints of WORDS words each, and the unsure bits of one.
+    """``(doc_id, fp, index, unsure, mark)``: two fingerprints of WORDS words each, the unsure bits of one, and the text's mark.
 
     ``fp`` is over shingles of ``size`` words and tells how alike two texts are.  ``index`` is over
     shingles of two words, of which like texts share more; ``unsure`` has, for each of its 32-bit
@@ -162,24 +185,41 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     def kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = ([], [], [])
-        for text in batch.column(1).to_pylist():
-            words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-            if not words:
+        texts = batch.column(1).to_pylist()
+        marks = np.array([xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), 42) for t in texts], np.uint64).view(np.int64)
+        for text in texts:
+            line, starts, ends = _places(text)
+            if not ends:
                 for r, n in zip(rows, (WORDS, WORDS, 2 * WORDS), strict=True):
                     r.append(np.zeros(n, np.int64))
                 continue
-            ends = np.cumsum([len(w) + 1 for w in words]) - 1
-            starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
-            line, ends = b" ".join(words), ends.tolist()
             rows[0].append(_long_fingerprint(line, starts, ends, size, seed)[0])
             index, margin = _long_fingerprint(line, starts, ends, 2, seed + 1)
             low = np.argsort(margin.reshape(2 * WORDS, 32), axis=1, kind="stable")[:, :UNSURE].astype(np.int64)
             rows[1].append(index)
             rows[2].append((low << (5 * np.arange(UNSURE))).sum(axis=1))
         lists = [pa.ListArray.from_arrays(np.arange(0, len(r) * len(r[0]) + 1, len(r[0]), dtype=np.int32), pa.array(np.concatenate(r))) for r in rows]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "fp", "index", "unsure"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.array(marks)], ["doc_id", "fp", "index", "unsure", "mark"])
 
-    return map_texts(ids_and_texts(docs, id_col, text_col), kernel, "doc_id long, fp array<long>, index array<long>, unsure array<long>")
+    return map_texts(ids_and_texts(docs, id_col, text_col), kernel, "doc_id long, fp array<long>, index array<long>, unsure array<long>, mark long")
+
+
+def shingle_sets(docs: DataFrame, marks: DataFrame, text_col: str = "text", size: int = 5, seed: int = 42) -> DataFrame:
+    """``(mark, shingles)``: the hashed distinct shingles of the texts whose ``mark`` is in ``marks``, one row a text.
+
+    Texts pass a filter of fixed size before they are cut into shingles, so that the others are not shuffled.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(marks.selectExpr(f"shiftrightunsigned(mark, {64 - ASKED_BITS}) AS b"), "b", ASKED_BITS))
+
+    def kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        marks = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        batch = batch.filter(pa.array(_has(np.frombuffer(held.value, np.uint8), marks >> np.uint64(64 - ASKED_BITS))))
+        sets = [_shingles(*_places(t), size, seed).view(np.int64) for t in batch.column(1).to_pylist()]
+        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))], ["mark", "shingles"])
+
+    found = map_texts(docs.select(mark_of(text_col).alias("mark"), F.col(text_col).alias("text")), kernel, "mark long, shingles array<long>")
+    return found.join(marks.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
 
 
 def _centers(hot: DataFrame) -> DataFrame:
@@ -226,20 +266,31 @@ def _unlinked_pairs(rows: DataFrame, nodes: DataFrame, roots: DataFrame, most: i
     return rest.alias("a").join(dealt.alias("b"), F.expr(other)).selectExpr("a.n AS u", "b.n AS v").distinct()
 
 
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, size: int, similarity: float) -> DataFrame:
+    """The ``(u, v)`` of ``pairs`` whose sets of shingles have ``similarity`` of their union in common."""
+    marks = nodes.select("n", "mark")
+    asked = pairs.select(F.col("u").alias("n")).union(pairs.select("v")).distinct()
+    wanted = stored(marks.join(asked, "n", "left_semi"), "simhash-asked")
+    sets = stored(wanted.join(shingle_sets(docs, wanted, text_col, size), "mark").select("n", "shingles"), "simhash-shingles")
+    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    return both.where(f"size(array_intersect(a, b)) * {1 + similarity} >= {similarity} * (size(a) + size(b)) - 1e-6").select("u", "v")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)``: groups of texts whose shingles are alike to ``similarity`` or more.
 
     At that likeness texts differ in more bits than a guarantee can span, so the variants of eight
     halves are indexed, each with one of its unsure bits out; two like texts agree in one of them
-    with a high chance.  Likeness is the share of shingles in common, from the 256 bits over
-    ``size`` words (standard error about 0.03).  All members of a bucket are first compared with one
+    with a high chance.  Likeness is the share of the distinct shingles of ``size`` words of both
+    that they have in common: pairs whose 256 bits are within MARGIN standard errors of it have
+    their sets of hashed shingles compared.  All members of a bucket are first compared with one
     of them (in buckets over CENTRED, with that nearest to the bucket's middle, which in a family
     of copies is the text or next to it).  Then all pairs of a bucket are compared that are of two
     components yet, so none that shares a bucket is left out.  Nulls, ties and repeated rows are as
     in :func:`near_duplicates`.
     """
     told = stored(sketches(docs, id_col, text_col, size), "simhash-sketches")
-    nodes = told.groupBy("fp", "index").agg(F.min("doc_id").alias("least"), F.min("unsure").alias("unsure"))
+    nodes = told.groupBy("fp", "index").agg(F.min("doc_id").alias("least"), F.min("unsure").alias("unsure"), F.min("mark").alias("mark"))
     nodes = stored(nodes.withColumn("n", F.monotonically_increasing_id()), "simhash-sketch-nodes")
     half = "if(k % 2 = 0, index[k div 2] & 4294967295L, shiftrightunsigned(index[k div 2], 32))"
     spread = nodes.selectExpr("n", "index", "posexplode(unsure) AS (k, low)").selectExpr("n", f"{half} AS half", "k", "low", f"explode(sequence(0, {UNSURE - 1})) AS j")
@@ -252,12 +303,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = hot.join(middle, "sig").selectExpr("m AS u", "n AS v")
     stars = rows.where(F.col("size") <= CENTRED).selectExpr("first AS u", "n AS v").union(near).where("u <> v")
     cosine = 2 * similarity / (1 + similarity)
-    most = int(64 * WORDS * np.arccos(cosine) / np.pi) + 3  # half a standard error, so that few of just that likeness are lost
+    flips = float(np.arccos(cosine) / np.pi)
+    most = math.ceil(64 * WORDS * flips + MARGIN * math.sqrt(64 * WORDS * flips * (1 - flips)))
     asked = _fingerprints_of(stars.selectExpr("least(u, v) AS u", "greatest(u, v) AS v").distinct(), nodes)
-    edges = stored(asked.where(f"{_apart('f', 'g')} <= {most}").select("u", "v"), "simhash-sketch-links")
+    asked = stored(asked.where(f"{_apart('f', 'g')} <= {most}").select("u", "v"), "simhash-sketch-asked")
+    edges = stored(_alike(asked, nodes, docs, text_col, size, similarity), "simhash-sketch-links")
     roots = connected_components(edges).select(F.col("node").alias("n"), "root")
     more = stored(_unlinked_pairs(rows, nodes, roots, most), "simhash-sketch-more-links")
     if not more.isEmpty():
+        more = _alike(more, nodes, docs, text_col, size, similarity)
         roots = connected_components(edges.union(more)).select(F.col("node").alias("n"), "root")
     placed = nodes.join(roots, "n", "left").select("fp", "index", "least", F.coalesce("root", "n").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
