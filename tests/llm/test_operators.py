@@ -410,6 +410,17 @@ def test_every_word_is_in_a_window():
         assert len(row) >= 1 and {k for a, m in zip(first, length, strict=True) for k in range(a, a + m)} == set(range(n))
 
 
+def test_long_words_are_read_to_their_end():
+    g = np.random.default_rng(18)
+    prefix = "".join(chr(0x4E00 + i) for i in g.integers(0, 400, 60))
+    plain, bad = prefix * 3, prefix * 2 + "\u9f98\u9f99" * 3 + prefix
+    scores, at = toxicity._Scorer(toxicity.Network.new(1)).score([plain, bad, "a " + bad + " b", "a " + bad * 9 + " b"])
+    assert len(set(scores.tolist())) == 4 and at[1] == 0 and at[3] in (0, 1)
+    for word in (plain, "ab-" * 40, "x_" * 30 + "_" * 200, "a/b" * 50, "w" * 24, "w" * 25):
+        cut, _ = toxicity.pieces(word)
+        assert max(map(len, cut)) <= 2 * toxicity.LONGEST and "".join(cut).replace("_", "") == word.replace("_", "")
+
+
 def test_toxicity_on_held_out_rows(spark):
     rows, labels = [], []
     g = np.random.default_rng(8)

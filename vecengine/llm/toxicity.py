@@ -4,6 +4,7 @@ A word's input is an embedding of the word beside the mean of embeddings of its
 trigrams, both hashed.  Two gated recurrent layers read a window of words from either end,
 attention weighs their states, and a logistic unit scores the pooled state.  A text's score is
 that of its worst window; windows overlap by half, so every run of SPAN - STEP words lies in one.
+A word of over LONGEST characters, such as a text without blanks, is read as consecutive pieces.
 """
 
 from __future__ import annotations
@@ -29,8 +30,20 @@ MOST_TOXIC, MOST_CLEAN = 1000, 1600
 EPOCHS, RATE, BATCH, HIDE = 14, 0.01, 128, 0.5
 #: Distinct words that a worker keeps the inputs of.
 KEPT_WORDS = 200_000
+#: Characters of a word; a longer one is cut at what is no letter or digit, and else after so many.
+LONGEST = 24
 
 _EDGE = re.compile(r"^\W+|\W+$")
+_PIECE = re.compile(rf"[\W_]{{0,{LONGEST}}}[^\W_]{{1,{LONGEST}}}|[\W_]{{1,{LONGEST}}}")
+
+
+def pieces(text: str | None) -> tuple[list[str], np.ndarray | None]:
+    """A text's words, those over LONGEST in pieces that cover them, and the place of each one's word (None: its own)."""
+    words = (text or "").split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words, None
+    cut = [[w] if len(w) <= LONGEST else [p.lstrip("_") or p for p in _PIECE.findall(w)] for w in words]
+    return [p for ps in cut for p in ps], np.repeat(np.arange(len(words)), [len(ps) for ps in cut])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -50,16 +63,18 @@ class Words(dict):
         n = self.of_core.get(core)
         if n is None:
             n = self.of_core[core] = len(self.rows)
-            marked = f"<{core}>".encode("utf-8", "surrogatepass")[:96]
+            marked = f"<{core}>".encode("utf-8", "surrogatepass")
             hashed = xxhash.xxh32_intdigest
             grams = [hashed(marked[i : i + 3]) % GRAM_ROWS for i in range(max(1, len(marked) - 2))]
             self.rows.append((hashed(marked) % WORD_ROWS, grams))
         self[raw] = n
         return n
 
-    def texts(self, texts: list[str | None]) -> list[np.ndarray]:
+    def texts(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
+        """Each text's pieces as numbers, and the places of their words as :func:`pieces` tells them."""
         number = self.__getitem__
-        return [np.array(list(map(number, (t or "").split())), np.int32) for t in texts]
+        cut = [pieces(t) for t in texts]
+        return [np.array(list(map(number, ps)), np.int32) for ps, _ in cut], [at for _, at in cut]
 
 
 def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,7 +214,7 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = 5, epochs
         return Network(constant=float(np.clip(share, 0, 1)))
     g = np.random.default_rng(seed)
     net, table = Network.new(seed), Words()
-    numbered = table.texts(texts)
+    numbered, _ = table.texts(texts)
     words, found, _ = windows(numbered)
     row, first, length = found
     ends = np.searchsorted(row, np.arange(len(texts)), side="right")
@@ -279,7 +294,7 @@ class _Scorer:
             return np.full(len(texts), self.net.constant), np.zeros(len(texts), np.int64)
         if len(self.table) > KEPT_WORDS:
             self._start()
-        numbered = self.table.texts(texts)
+        numbered, places = self.table.texts(texts)
         rows = self.table.rows[self.known :]
         if rows:
             new = self.net.project(self.net.inputs(rows))
@@ -290,7 +305,11 @@ class _Scorer:
         words, found, counts = windows(numbered)
         best, which = self.net.scores(words, found, proj, len(texts))
         firsts = np.cumsum(counts) - counts
-        return _sigmoid(best.astype(np.float64) + self.net.shift), found[1][which] - firsts
+        at = found[1][which] - firsts
+        for i, words_of in enumerate(places):
+            if words_of is not None:
+                at[i] = words_of[at[i]]
+        return _sigmoid(best.astype(np.float64) + self.net.shift), at
 
 
 _SCORERS: dict[str, _Scorer] = {}
