@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecengine.llm import bpe, decontaminate, simhash, substring, toxicity
+from vecengine.llm import bpe, decontaminate, likeness, substring, toxicity
 from vecengine.llm.common import stored
 
 
@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of texts alike to 0.8 or more in shingles of five words."""
-    return simhash.first_of_group(docs, similarity=0.8)
+    return likeness.first_of_group(docs, similarity=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

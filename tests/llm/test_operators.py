@@ -106,65 +106,6 @@ def test_links_of_close_fingerprints(spark, monkeypatch, paired):
     assert {f: found.get(f, f) for f in fps} == label
 
 
-def test_like_texts_are_grouped_and_others_are_not(spark):
-    g = np.random.default_rng(3)
-    vocabulary = [f"w{i}" for i in range(4000)]
-    rows = []
-    for i in range(40):
-        words = list(g.choice(vocabulary, 300))
-        rows.append((10 * i, " ".join(words)))
-        words[150] = "changed"
-        rows.append((10 * i + 1, " ".join(words)))
-    rows += [(1000, None), (1001, ""), (1000, None)]
-    found = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(found[10 * i + 1] == 10 * i for i in range(40)) >= 39
-    assert all(found[10 * i] == 10 * i for i in range(40)) and found[1001] == 1000
-    kept = simhash.first_of_group(spark.createDataFrame(rows, "doc_id long, text string"), similarity=0.8)
-    assert kept.where("doc_id = 1000").count() == 2 and kept.columns == ["doc_id", "text"]
-
-
-def test_all_pairs_of_large_buckets_are_compared(spark, monkeypatch):
-    """Two families in one bucket, of which a star from one member links only that member's own."""
-    monkeypatch.setattr(simhash, "BLOCK", 16, raising=False)
-    g = np.random.default_rng(12)
-    families = [[f"w{i}" for i in g.integers(0, 4000, 400)] for _ in range(2)]
-    rows = []
-    for i in range(80):
-        words = list(families[i % 2])
-        words[5 * (i // 2) + 3] = f"own{i}"
-        rows.append((i, " ".join(words)))
-    sketched = simhash.sketches
-
-    def one_bucket(*a):
-        return sketched(*a).withColumn("index", F.expr("array(0L, 0L, 0L, 0L)")).withColumn("unsure", F.expr("array_repeat(0L, 8)"))
-
-    monkeypatch.setattr(simhash, "sketches", one_bucket)
-    found = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found == {i: i % 2 for i in range(80)}
-
-
-def test_likeness_is_that_of_the_shingle_sets(spark):
-    """Texts a little under 0.8 stay apart, those a little over are grouped, and repeats weigh once."""
-    g = np.random.default_rng(14)
-    line = " ".join(f"line{i}" for i in range(20))
-    rows, over = [], []
-    for i in range(60):
-        words = [f"t{i}x{k}" for k in range(304)]  # 300 shingles; each word changed by itself costs five
-        changed = list(words)
-        for k in range(6 if i % 2 else 8):
-            changed[10 + 30 * k] = f"new{k}"
-        shared = 300 - 5 * (6 if i % 2 else 8)
-        assert (shared / (600 - shared) >= 0.8) == bool(i % 2)
-        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(changed))]
-        over.append(bool(i % 2))
-    for i in range(6):
-        rows.append((5000 + i, f"{line} " * 40 + " ".join(f"y{x}" for x in g.integers(0, 10**9, 60))))
-    found = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(found[5000 + i] == 5000 + i for i in range(6))
-    assert not any(found[10 * i + 1] == 10 * i for i in range(60) if not over[i])
-    assert sum(found[10 * i + 1] == 10 * i for i in range(60) if over[i]) >= 25
-
-
 # 10
 
 

@@ -44,6 +44,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def ids_and_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, as ``doc_id`` and ``text``; other columns cannot clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
