@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,12 +61,27 @@ def unshuffle_block(planes: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view("<u4").ravel()
 
 
+class _Numbers(dict):
+    """Numbers chunks as they come, and lists the new ones."""
+
+    def __init__(self, known: list[str] = ()):
+        super().__init__(zip(known, range(len(known)), strict=True))
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class LibraryEncoder:
     """Whole texts through the tokenizers library, each distinct chunk of a text once.
 
     A single space belongs to the word after it, so a text without two spaces in a row may be cut
     at its spaces; the library encodes each chunk with its space.  Other texts, and those that
-    hold an added token, go through it whole.
+    hold an added token, go through it whole.  A mark after a letter or digit is a word of its own
+    for the library, so a chunk that ends in one is the chunk before it and the mark.  Chunks are
+    numbered; chunk k's ids are the ``sizes[k]`` ids of ``pool`` from ``starts[k]`` on.
     """
 
     def __init__(self, spec: str):
@@ -78,31 +94,76 @@ class LibraryEncoder:
         space = self.library.encode(" ", add_special_tokens=False).tokens[0]
         self.opens = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
         self.opens[[i for t, i in self.library.get_vocab().items() if t.startswith(space)]] = True
-        self.chunks: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks end to end, each after a space: only a chunk's first token begins with one."""
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            ids = self._ids(" " + " ".join(part))
+        self.marks = {m: self.library.encode(m, add_special_tokens=False).ids[0] for m in ",.;:!?"}
+        self.number, self.pool = _Numbers(), np.zeros(0, "<u4")
+        self.starts = self.sizes = self.last = np.zeros(0, np.int64)
+
+    def _put(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep the ids of chunks, which follow each other."""
+        room = len(self.number)
+        if len(self.starts) < room:
+            more = np.zeros(room - len(self.starts), np.int64)
+            self.starts, self.sizes = np.append(self.starts, more), np.append(self.sizes, more)
+        self.starts[numbers] = len(self.pool) + np.cumsum(sizes) - sizes
+        self.sizes[numbers] = sizes
+        self.pool = np.append(self.pool, ids)
+
+    def _learn(self) -> None:
+        """Encode the new chunks end to end, each after a space: only a chunk's first token begins with one."""
+        new, self.number.new = self.number.new, []
+        number, marks = self.number, self.marks
+        marked = [c for c in new if c[-1:] in marks and c[-2:-1].isalnum()]
+        bases = np.array([number[c[:-1]] for c in marked], np.int64)
+        plain = [c for c in new if not (c[-1:] in marks and c[-2:-1].isalnum())] + number.new
+        number.new = []
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(part):
                 raise ValueError("a chunk's token begins with a space")
-            packed = ids.tobytes()
-            cuts = (4 * np.append(starts, len(ids))).tolist()
-            self.chunks.update(zip(part, [packed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [bool(_TWO_SPACES.search(t)) or t[-1:].isspace() or t[:1].isspace() or any(a in t for a in self.added) for t in texts]
-        cut = [[t] if odd else t.split(" ") for t, odd in zip(texts, whole, strict=True)]
-        if len(self.chunks) > KEPT_CHUNKS:
-            self.chunks.clear()
-        self._learn(list({c for cs in cut for c in cs[1:]} - self.chunks.keys()))
-        get = self.chunks.__getitem__
-        return [b"".join([self._ids(cs[0]).tobytes(), *map(get, cs[1:])]) for cs in cut]
+            self._put(np.array([number[c] for c in part], np.int64), ids, np.diff(np.append(starts, len(ids))))
+        if marked:
+            ids, at = self._gathered(bases)
+            ids = np.insert(ids, at[1:], [marks[c[-1]] for c in marked])
+            self._put(np.array([number[c] for c in marked], np.int64), ids, np.diff(at) + 1)
+
+    def _gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks one after the other, and where each chunk's begin (and the last one's end)."""
+        sizes = self.sizes[numbers]
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        return self.pool[np.repeat(self.starts[numbers] - at[:-1], sizes) + np.arange(at[-1])], at
+
+    def _forget(self) -> None:
+        """Keep the chunks of the texts encoded last."""
+        names, recent = list(self.number), np.sort(self.last)
+        kept, at = self._gathered(recent)
+        self.number, self.pool = _Numbers([names[k] for k in recent.tolist()]), np.zeros(0, "<u4")
+        self.starts = self.sizes = np.zeros(0, np.int64)
+        self._put(np.arange(len(recent)), kept, np.diff(at))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; a null text is an empty one."""
+        told = [t or "" for t in texts.to_pylist()]
+        whole = [bool(_TWO_SPACES.search(t)) or t[-1:].isspace() or t[:1].isspace() or any(a in t for a in self.added) for t in told]
+        if len(self.number) > KEPT_CHUNKS:
+            self._forget()
+        # Arrow cuts the texts and finds the distinct chunks; an odd text is one chunk, its first
+        cut = pa.compute.split_pattern(pa.compute.if_else(pa.array(whole, pa.bool_()), "", texts.fill_null("")), " ")
+        chunks, offsets = cut.flatten(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        tail = np.ones(len(chunks), bool)
+        tail[offsets[:-1]] = False
+        first = chunks.take(pa.array(offsets[:-1])).to_pylist()
+        heads = self.library.encode_batch_fast([t if odd else f for t, odd, f in zip(told, whole, first, strict=True)], add_special_tokens=False)
+        coded = chunks.filter(pa.array(tail)).dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        known = np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))
+        if self.number.new:
+            self._learn()
+        self.last = known
+        ids, at = self._gathered(known[coded.indices.to_numpy()])
+        cuts = at[offsets - np.arange(len(offsets))].tolist()
+        return [np.array(h.ids, "<u4").tobytes() + ids[a:b].tobytes() for h, a, b in zip(heads, cuts[:-1], cuts[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -143,7 +204,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, bits
 
         for batch in batches:
             for part in text_slices(batch):
-                packed = _library(spec.value).encode([t or "" for t in part.column(1).to_pylist()])
+                packed = _library(spec.value).encode(part.column(1))
                 for doc_id, ids in zip(part.column(0).to_pylist(), packed, strict=True):
                     held.append((doc_id, ids + end))
                     size += len(ids) // 4 + 1
