@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecengine.llm import bpe, decontaminate, likeness, substring, toxicity
-from vecengine.llm.common import stored
+from vecengine.llm.common import free_name, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a document with a smaller id has; n_chars follows the text."""
-    cut = substring.cut_texts(docs.withColumn("__before", F.col("text")))
-    same = F.col("text").eqNullSafe(F.col("__before"))
+    before = free_name(docs, "text_before")
+    cut = substring.cut_texts(docs.withColumn(before, F.col("text")))
+    same = F.col("text").eqNullSafe(F.col(before))
     return cut.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
