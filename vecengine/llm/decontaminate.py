@@ -3,9 +3,12 @@
 Words become a template: numbers, quantities (a number and its unit) and names are replaced by
 typed placeholders, other words are lower-cased and freed of punctuation.  Windows of WINDOW
 template tokens are joined by hash with those of the benchmark.  Matches of a document with an
-item on one alignment form a candidate; its slots must be consistent (one value of the item never
-stands for two values of the document), so a question with other numbers or names is caught and
-a chance match of its frame with mixed values is not.
+item on one alignment form a candidate; the slots of a run of them must be consistent (one value of
+the item stands for one value of the document, and the other way round), so a question with other
+numbers or names is caught and a chance match of its frame with mixed values is not.
+
+Copies of the words themselves need no template: windows of COVERED lower-cased words, or whole
+items that are shorter, are joined by hash too, whatever their words are.
 """
 
 from __future__ import annotations
@@ -19,11 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, claim, ids_and_texts, map_texts, stored
-from .substring import _has, _rolled, mark_of
+from .common import bitmap, claim, free_name, ids_and_texts, map_texts, stored
+from .substring import _has, _mixed, _rolled, mark_of, parted
 
 #: Tokens of a template window; of those at least LITERALS are words; tokens that a leak covers.
 WINDOW, LITERALS, COVERED = 8, 4, 13
+#: Items of fewer words are too short to be told from chance and never match.
+SHORTEST = 5
 #: log2 of the bits of the filter of benchmark windows (512 KB, whatever the benchmark's size).
 FILTER_BITS = 22
 KEPT_WORDS = 300_000
@@ -98,9 +103,11 @@ class Templates:
         kinds, codes, values, ends = _WORDS.arrays()
         if len(kinds) == 0:
             self.row, self.code, self.value = row, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            self.word_row, self.word = row, self.code
             return
         something = kinds[words] != NOTHING
         words, row = words[something], row[something]
+        self.word_row, self.word = row, codes[words]
         kind, code, value = kinds[words], codes[words], values[words]
         first = np.ones(len(row), bool)
         first[1:] = row[1:] != row[:-1]
@@ -138,81 +145,145 @@ class Templates:
         return at, at - firsts, h[at]
 
 
-_ROW = "h long, doc_id long, mark long, at int, slots array<long>, n int"
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of runs of ``n`` words of one text, whatever they are: row, place of the first word in its text, hash."""
+        count = len(self.word)
+        if count < n:
+            none = np.zeros(0, np.int64)
+            return none, none, np.zeros(0, np.uint64)
+        at = np.flatnonzero(self.word_row[n - 1 :] == self.word_row[: count - n + 1])
+        # sums of word hashes times powers of an odd number, which has an inverse modulo 2 ** 64
+        with np.errstate(over="ignore"):
+            one = np.ones(1, np.uint64)
+            power = np.multiply.accumulate(np.concatenate((one, np.full(count, _BASE, np.uint64))))
+            back = np.multiply.accumulate(np.concatenate((one, np.full(count, pow(_BASE, -1, 1 << 64), np.uint64))))
+            sums = np.concatenate((one - one, np.cumsum(self.word * power[:-1], dtype=np.uint64)))
+            h = _mixed((sums[at + n] - sums[at]) * back[at] + np.uint64(n))
+        row = self.word_row[at]
+        return row, at - np.searchsorted(self.word_row, row), h
+
+
+_BASE = 0x9E3779B97F4A7C15
+#: ``kind`` is 0 for a template window, else the number of words of a run.
+_ROW = "h long, doc_id long, mark long, kind int, at int, slots array<long>, n int"
+
 
+def _window_rows(rows: DataFrame, lengths: list[int] | None = None, held=None) -> DataFrame:
+    """A row a window of ``(doc_id, text)``, and a row a run of words.
 
-def _window_rows(rows: DataFrame, held=None) -> DataFrame:
-    """A row a window of ``(doc_id, text)``; with a filter, only of windows that it holds."""
+    For the benchmark (no ``lengths``) runs are of COVERED words, or whole items if shorter; else
+    of each of the ``lengths``, and with a filter only windows and runs that it holds are given.
+    """
 
     def kernel(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = batch.column(1).to_pylist()
         t = Templates(texts)
+        words = np.bincount(t.word_row, minlength=max(1, len(texts)))
+        found = []
         at, place, h = t.windows()
-        if held is not None:
-            found = _has(np.frombuffer(held.value, np.uint8), h >> np.uint64(64 - FILTER_BITS))
-            at, place, h = at[found], place[found], h[found]
-        rows_of = t.row[at] if len(at) else np.zeros(0, np.int64)
+        found.append((0, t.row[at] if len(at) else at, place, h, t.value[at[:, None] + np.arange(WINDOW)]))
+        for n in lengths if lengths is not None else sorted({min(COVERED, int(x)) for x in words if x >= SHORTEST}):
+            row, place, h = t.runs(n)
+            if lengths is None:
+                own = np.minimum(COVERED, words[row]) == n
+                row, place, h = row[own], place[own], h[own]
+            found.append((n, row, place, h, None))
         sizes = np.bincount(t.row, minlength=max(1, len(texts)))
-        marks = np.array([xxhash.xxh64_intdigest((texts[r] or "").encode(), 42) for r in np.unique(rows_of)], np.uint64).view(np.int64)
-        mark = marks[np.unique(rows_of, return_inverse=True)[1]] if len(at) else marks
-        for lo in range(0, len(at), 50_000):
-            p = slice(lo, lo + 50_000)
-            slots = t.value[at[p][:, None] + np.arange(WINDOW)].view(np.int64)
-            ends = pa.array(np.arange(0, slots.size + 1, WINDOW, dtype=np.int32))
-            columns = [
-                pa.array(h[p].view(np.int64)),
-                batch.column(0).take(pa.array(rows_of[p])),
-                pa.array(mark[p]),
-                pa.array(place[p].astype(np.int32)),
-                pa.ListArray.from_arrays(ends, pa.array(slots.ravel())),
-                pa.array(sizes[rows_of[p]].astype(np.int32)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "mark", "at", "slots", "n"])
+        marks = np.array([xxhash.xxh64_intdigest((x or "").encode("utf-8", "surrogatepass"), 42) for x in texts], np.uint64).view(np.int64)
+        for kind, row, place, h, slots in found:
+            if held is not None:
+                kept = np.flatnonzero(_has(np.frombuffer(held.value, np.uint8), h >> np.uint64(64 - FILTER_BITS)))
+                row, place, h, slots = row[kept], place[kept], h[kept], None if slots is None else slots[kept]
+            for lo in range(0, len(h), 50_000):
+                p = slice(lo, lo + 50_000)
+                width = 0 if slots is None else WINDOW
+                values = np.zeros(0, np.int64) if slots is None else slots[p].view(np.int64).ravel()
+                ends = pa.array(np.arange(len(h[p]) + 1, dtype=np.int32) * width)
+                columns = [
+                    pa.array(h[p].view(np.int64)),
+                    batch.column(0).take(pa.array(row[p])),
+                    pa.array(marks[row[p]]),
+                    pa.array(np.full(len(h[p]), kind, np.int32)),
+                    pa.array(place[p].astype(np.int32)),
+                    pa.ListArray.from_arrays(ends, pa.array(values)),
+                    pa.array((words if kind else sizes)[row[p]].astype(np.int32)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "mark", "kind", "at", "slots", "n"])
 
     return map_texts(rows, kernel, _ROW)
 
 
+def consistent_tokens(hits: list[tuple[int, list[int], list[int]]], window: int) -> tuple[int, bool]:
+    """The tokens that consistent runs of matched windows cover, and whether all their slot values are the item's own.
+
+    ``hits`` are the place of a window in the item, its slot values there and those in the
+    document.  Windows that overlap or touch are a run; one in which a value stands for two counts
+    for nothing, and runs count together as long as they do not go against each other.
+    """
+    runs: list[list] = []
+    for at, own, other in hits:
+        if not runs or at - runs[-1][1] > window:
+            runs.append([0, at - window, set()])
+        run = runs[-1]
+        run[0], run[1] = run[0] + min(window, at - run[1]), at
+        run[2].update((x, y) for x, y in zip(own, other, strict=True) if x)
+    fits = lambda pairs: len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
+    covered, seen, best = 0, set(), (0, False)
+    for n, _, pairs in runs:
+        if fits(pairs):
+            best = max(best, (n, all(x == y for x, y in pairs)))
+            if fits(seen | pairs):
+                covered, seen = covered + n, seen | pairs
+    return max(best, (covered, covered > 0 and all(x == y for x, y in seen)))
+
+
 def matches(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """``(doc_id, mark, item_id, covered, item_tokens, exact)``: each document's leaked items.
 
-    A leak covers COVERED template tokens of the item on one alignment (all but two of a shorter
-    item), with consistent slots; exact tells that all slot values are the item's own.  An item of
-    fewer than WINDOW tokens is too short to be told from chance and never matches.  Null texts
-    are empty; a null doc_id or item_id is kept as such; repeated rows give one row; empty tables
-    give an empty result.  The documents' windows pass a filter of fixed size, built from the
-    benchmark, and are then joined by hash, so neither table is ever broadcast or collected.
+    A leak covers COVERED template tokens of the item in consistent runs on one alignment (all but
+    two of a shorter item), or holds COVERED words of it as they are (all of a shorter item;
+    A-Z and punctuation around words do not matter); exact tells that all slot values are the
+    item's own.  An item of fewer than SHORTEST words never matches.  Null texts are empty; a null
+    doc_id or item_id is kept as such; repeated rows give one row; empty tables give an empty
+    result; extra columns do not matter.  The documents' windows pass a filter of fixed size, built
+    from the benchmark, and are then joined by hash, so neither table is ever broadcast or
+    collected.
     """
     items = stored(_window_rows(ids_and_texts(benchmark, item_col, item_text_col)), "benchmark-windows")
     low = items.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("b"))
     held = docs.sparkSession.sparkContext.broadcast(bitmap(low, "b", FILTER_BITS))
-    ours = items.select("h", F.col("doc_id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("n").alias("item_tokens"))
+    lengths = sorted(r.kind for r in items.where("kind > 0").select("kind").distinct().collect())  # at most COVERED rows
+    ours = items.select("h", "kind", F.col("doc_id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("n").alias("item_tokens"))
     # items that share a text or a window are each matched; a window that an item repeats counts once a place
     ours = ours.distinct()
-    theirs = _window_rows(ids_and_texts(docs, id_col, text_col), held)
-    pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0)
-    met = theirs.join(ours, "h").select("doc_id", "mark", "item_id", "item_tokens", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", pairs.alias("pairs"))
-    aligned = met.groupBy("doc_id", "mark", "item_id", "item_tokens", "shift").agg(
-        F.array_sort(F.collect_set("item_at")).alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
-    step = f"aggregate(places, struct(0 AS n, -{WINDOW} AS last), (s, x) -> struct(s.n + least({WINDOW}, x - s.last) AS n, x AS last), s -> s.n)"
-    judged = aligned.select(
-        "doc_id",
-        "mark",
-        "item_id",
-        "item_tokens",
-        F.expr(step).alias("covered"),
-        (F.size(F.array_distinct("pairs.item_slots")) == F.size("pairs")).alias("consistent"),
-        F.forall("pairs", lambda x: x["item_slots"] == x["slots"]).alias("exact"),
-    )
+    theirs = _window_rows(ids_and_texts(docs, id_col, text_col), lengths, held)
+    met = theirs.join(ours, ["h", "kind"]).select("doc_id", "mark", "item_id", "item_tokens", "kind", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_slots", "slots")
+    # an item's windows on one alignment: as many as it has tokens at most
+    aligned = met.groupBy("doc_id", "mark", "item_id", "item_tokens", "kind", "shift").agg(F.array_sort(F.collect_set(F.struct("item_at", "item_slots", "slots"))).alias("hits"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [consistent_tokens([(x["item_at"], x["item_slots"], x["slots"]) for x in hits], kind or WINDOW) for hits, kind in zip(batch.column(5).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            columns = [*batch.columns[:5], pa.array([n for n, _ in runs], pa.int32()), pa.array([e for _, e in runs], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "item_id", "item_tokens", "kind", "covered", "exact"])
+
+    kind = "doc_id long, mark long, item_id long, item_tokens int, kind int, covered int, exact boolean"
+    judged = aligned.select("doc_id", "mark", "item_id", "item_tokens", "kind", "hits").mapInArrow(judge, kind)
     enough = F.col("covered") >= F.least(F.lit(COVERED), F.greatest(F.lit(WINDOW), F.col("item_tokens") - 2))
-    leaks = judged.where(enough & F.col("consistent"))
+    leaks = judged.where((F.col("kind") > 0) | enough)
     return leaks.groupBy("doc_id", "mark", "item_id").agg(F.max("covered").alias("covered"), F.max("item_tokens").alias("item_tokens"), F.max("exact").alias("exact"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
-    """The rows of ``docs`` that hold no item of the benchmark."""
-    found = matches(docs, benchmark, id_col, text_col, **columns).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark"))
-    return docs.withColumn("__m", mark_of(text_col)).join(found, same, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that hold no item of the benchmark, all columns as they are.
+
+    Rows of one id are judged by their own texts; nulls and empty tables are as in :func:`matches`.
+    Only rows whose id may have a leak are shuffled; a filter of fixed size tells them.
+    """
+    found = stored(matches(docs, benchmark, id_col, text_col, **columns).select("doc_id", "mark").distinct(), "benchmark-leaks")
+    maybe, rest = parted(docs, id_col, found)
+    key, mark = free_name(docs, "leak_id"), free_name(docs, "leak_mark")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (mark_of(text_col) == F.col(mark))
+    return rest.unionByName(maybe.join(found.toDF(key, mark), same, "left_anti"))
