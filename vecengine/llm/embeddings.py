@@ -82,27 +82,11 @@ def _linked(home: pa.Table, probe: pa.Table, cosine: float) -> pa.Table:
     return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
 
-def near_duplicates(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, probes: int = PROBES, seed: int = 3
-) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)`` for every row.
-
-    n_links counts the other rows found with that cosine or more, component_id is the least id
-    reachable over links, and kept tells that it is the row's own.  A vector that is null or zero,
-    or holds null or non-finite components, links with nothing; so do vectors of other lengths
-    than the most common one.  Rows with equal vectors are one node and link with each other,
-    repeated rows too; a null id is never the least, and of null ids alone the component_id is
-    null.  An empty table gives an empty result.
-    """
-    spark = vectors.sparkSession
-    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
-    source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec"))
-    rows = source.withColumn("sound", F.coalesce(finite, F.lit(False)))
-    lengths = rows.where("sound").groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = lengths.d if lengths else 0
-    rows = rows.withColumn("sound", F.col("sound") & (F.size("vec") == dim))
+def _links(rows: DataFrame, cosine: float, probes: int, seed: int) -> DataFrame:
+    """``(vec_id, n_links, component_id)`` of ``(vec_id, vec)``, sound vectors of one length."""
+    spark = rows.sparkSession
     keys = [F.xxhash64("vec").alias("k1"), F.xxhash64(F.lit(1), "vec").alias("k2")]
-    sound = rows.where("sound").select("vec_id", "vec", *keys)
+    sound = rows.select("vec_id", "vec", *keys)
     nodes = sound.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.any_value("vec").alias("vec"))
     nodes = stored(nodes.withColumn("n", F.monotonically_increasing_id()), "embedding-nodes")
     count = nodes.count()
@@ -141,6 +125,29 @@ def near_duplicates(
     told = told.select("k1", "k2", "least", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "n").alias("root"))
     least = told.groupBy("root").agg(F.min("least").alias("component_id"))
     told = told.join(least, "root").select("k1", "k2", "n_links", "component_id")
-    linked = sound.select("vec_id", "k1", "k2").join(told, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return sound.select("vec_id", "k1", "k2").join(told, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
+
+
+def near_duplicates(
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, probes: int = PROBES, seed: int = 3
+) -> DataFrame:
+    """``(vec_id, n_links, component_id, kept)`` for every row.
+
+    n_links counts the other rows found with that cosine or more, component_id is the least id
+    reachable over links, and kept tells that it is the row's own.  A vector that is null or zero,
+    or holds null or non-finite components, links with nothing; vectors of different lengths have
+    no cosine, so each length that several rows have is worked on by itself.  Rows with equal
+    vectors are one node and link with each other, repeated rows too; a null id is never the
+    least, and of null ids alone the component_id is null.  An empty table gives an empty result.
+    Several jobs run while the result is built.
+    """
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
+    source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec"))
+    rows = source.withColumn("sound", F.coalesce(finite, F.lit(False)))
+    shared = rows.where("sound").groupBy(F.size("vec").alias("d")).count().where("count > 1").orderBy("d").collect()  # a row a length
+    dims = [r.d for r in shared]
+    met = F.col("sound") & F.size("vec").isin(dims)
+    alone = rows.where(~met).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for d in dims:
+        alone = _links(rows.where(F.col("sound") & (F.size("vec") == d)).select("vec_id", "vec"), cosine, probes, seed).union(alone)
+    return alone.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
