@@ -30,16 +30,14 @@ def test_same_rows_as_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {
-        "index_build_summary", "index_knn", "index_range", "graph_beam_knn", "balanced_block_sizes", "hash_sample", "kmeanspp_seed",
-    }
-
-
-def test_invariants_of_the_queries_without_sql(spark):
-    summary = catalog.QUERIES["index_build_summary"](spark, SF).first()
-    assert summary.rows == 500 and summary.largest <= 15
-    truth = {(r.qid, r.vec_id) for r in catalog.QUERIES["knn_exact_l2"](spark, SF).collect()}
-    found = {(r.qid, r.vec_id) for r in catalog.QUERIES["index_knn"](spark, SF).collect()}
-    assert len(found & truth) / len(truth) >= 0.5
-    near = {(r.qid, r.vec_id) for r in catalog.QUERIES["range_exact"](spark, SF).collect()}
-    assert {(r.qid, r.vec_id) for r in catalog.QUERIES["index_range"](spark, SF).collect()} <= near
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"index_knn", "graph_beam_knn", "graph_range", "kmeanspp_seed"}
+
+
+def test_recall_of_the_queries_without_sql(spark):
+    rows = lambda name: {(r.qid, r.vec_id) for r in catalog.QUERIES[name](spark, SF).collect()}
+    truth, near = rows("knn_exact_l2"), rows("range_exact")
+    assert len(rows("index_knn") & truth) / len(truth) >= 0.9
+    assert len(rows("graph_beam_knn") & truth) / len(truth) >= 0.9
+    found = rows("graph_range")
+    assert found <= near and len(found) >= 0.9 * len(near)
+    assert catalog.QUERIES["kmeanspp_seed"](spark, SF).select("vec_id").distinct().count() == 10

@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -155,7 +156,63 @@ def test_index_round_trip(spark, x, tmp_path, coded):
     found = pairs(index.knn(q, 5, 10_000))
     want = brute(x[:10], x, 5)
     assert found == want if not coded else len(found & want) >= 45
-    assert pairs(index.range(q, 3.0)) <= pairs(search.within(q, index.members(), 3.0))
+    within = pairs(search.within(q, index.members(), 3.0))
+    assert pairs(index.range(q, 3.0)) == within and pairs(index.range(q, 3.0, 0.5)) <= within
+    met = pairs(index.range_by_graph(q, 3.0, 4, factor=2.0))
+    assert met <= within and len(met) >= 0.8 * len(within)
+    assert len(pairs(index.knn_by_graph(q, 5, 40, 4)) & want) >= 40
+
+
+def test_a_probe_reads_the_partitions_of_its_cells_only(spark, x, tmp_path):
+    index = VectorIndex.build(table(spark, x), str(tmp_path / "i"), IndexParams(clusters=6, block_bytes=512, sample=2))
+    q = table(spark, x[:1], "qid", "qv")
+    found = index.knn(q, 5, 2)
+    plan = found._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*cid", plan)
+    cells = search.probe(q, index._keyed()[1], 2).select("cid")
+    rows = index._keyed()[0].join(cells, "cid", "left_semi").count()
+    assert found.count() == 5 and 0 < rows <= 2 * 15 < index.rows
+    assert index.graph().count() > index.blocks().count()
+
+
+def test_large_clusters_are_split_by_distance(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "SPLIT_ROWS", 60)
+    g = np.random.default_rng(4)
+    x = np.concatenate([g.standard_normal((300, 4)) * 0.1 + 10 * c for c in np.eye(4)[:3]] + [np.zeros((200, 4))])
+    packed = cluster.pack_clusters(table(spark, x).withColumn("cid", F.lit(0).cast("long")), 15)
+    rows = packed.collect()
+    assert len({r.vec_id for r in rows}) == len(rows) == 1100
+    place = lambda i: min(i // 300, 3)
+    parts, blocks = {}, {}
+    for r in rows:
+        parts.setdefault(r.block_id >> 20, set()).add(place(r.vec_id))
+        blocks.setdefault(r.block_id, []).append(r.vec_id)
+    assert len(parts) > 10 and all(len(p) == 1 for p in parts.values())
+    assert max(map(len, blocks.values())) <= 15
+
+
+def test_many_queries_are_dealt_out_in_blocks(spark, x, monkeypatch):
+    v, c, q = table(spark, x), table(spark, x[:4], "cid", "c"), table(spark, x[:30], "qid", "qv")
+    members = search.assign(v, c)
+    sent = pairs(search.ivf_knn(q, members, c, 5, 2))
+    monkeypatch.setattr(search, "SENT", 8)
+    assert pairs(search.ivf_knn(q, members, c, 5, 2)) == sent
+
+
+def test_a_metric_of_ones_own(spark, x):
+    V.register_metric("l1", lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: F.abs(p - q)), F.lit(0.0), lambda s, d: s + d), True)
+    q, v = table(spark, x[:5], "qid", "qv"), table(spark, x)
+    order = np.abs(x[:5, None] - x[None]).sum(axis=2).argsort(axis=1)[:, :4]
+    assert pairs(search.knn_by(q, v, 4, "l1")) == {(i, int(j)) for i in range(5) for j in order[i]}
+    assert pairs(search.knn_by(q, v, 4, "l2")) == pairs(search.knn(q, v, 4))
+
+
+def test_lloyd_repairs_empty_clusters_and_stops(spark, x):
+    far = np.concatenate([x[:5], np.full((1, 8), 1e6)])
+    v, start = table(spark, x), table(spark, far, "cid", "c")
+    assert cluster.lloyd(v, start, 5).count() == 5
+    assert cluster.lloyd(v, start, 5, repair=True).count() == 6
+    assert cluster.lloyd(v, start, 50, stop=0.5, repair=True).count() == 6
 
 
 def test_graph(spark, x):
@@ -166,7 +223,8 @@ def test_graph(spark, x):
     both = graph.symmetrize(graph.diverse(edges, v, 6), 12)
     assert both.groupBy("src").count().agg(F.max("count")).first()[0] <= 12
     q = table(spark, x[:20], "qid", "qv")
-    answer = graph.beam_knn(q, v, graph.symmetrize(edges, 12), 5, 100)
+    held = graph.adjacency(v.withColumn("cid", F.lit(0)), graph.symmetrize(edges, 12))
+    answer = graph.beam_knn(q.select("qid", F.lit(0).alias("cid")), q, held, 5, 100)
     assert evaluate.recall(answer, search.knn(q, v, 5)).agg(F.avg("recall")).first()[0] >= 0.95
     seeds = q.select("qid", F.col("qid").alias("vec_id"))
     near = pairs(graph.radius_expand(seeds, both, v, q, 5.0))
@@ -198,7 +256,17 @@ def test_answer_files(spark, tmp_path):
     answer = spark.createDataFrame([(0, 1, 5, 0.5), (0, 2, 6, 1.5)], "qid long, rank long, vec_id long, score double")
     assert binary.pack_answer(answer, 2) == (tmp_path / "k").read_bytes()
     binary.write_text_answer(answer, str(tmp_path / "a"))
-    assert sorted(tuple(r) for r in binary.read_text_answer(spark, str(tmp_path / "a")).collect()) == [(0.5, 5), (1.5, 6)]
+    assert sorted(tuple(r) for r in binary.read_text_answer(spark, str(tmp_path / "a")).collect()) == [(0, 1, 0.5, 5), (0, 2, 1.5, 6)]
+    many = [(q, r, q * 100 + r, q + r / 8) for q in range(30) for r in range(1, 4)]
+    binary.write_text_answer(spark.createDataFrame(many, "qid long, rank long, vec_id long, score double").repartition(5), str(tmp_path / "b"))
+    assert sorted((r.qid, r.rank, r.vec_id, r.score) for r in binary.read_text_answer(spark, str(tmp_path / "b")).collect()) == many
+
+
+def test_ids_are_unique_in_a_folder_of_vector_files(spark, tmp_path):
+    for k, n in enumerate((3, 5, 2)):
+        (tmp_path / f"p{k}.fbin").write_bytes(np.array([n, 2], "<u4").tobytes() + np.full((n, 2), k, "<f4").tobytes())
+    rows = binary.read_vectors(spark, str(tmp_path), "fbin").orderBy("vec_id").collect()
+    assert [r.vec_id for r in rows] == list(range(10)) and [r.embedding[0] for r in rows] == [0.0] * 3 + [1.0] * 5 + [2.0] * 2
 
 
 def test_a_stream_of_queries(spark, x, tmp_path):

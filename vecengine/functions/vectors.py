@@ -87,7 +87,7 @@ METRICS: dict[str, tuple[Callable[[Column, Column], Column], bool]] = {"l2": (l2
 
 
 def register_metric(name: str, column: Callable[[Column, Column], Column], ascending: bool) -> None:
-    """Make a metric of one's own known to the searches that score by expression."""
+    """Make a metric of one's own known to :func:`vecengine.operators.search.knn_by`."""
     METRICS[name] = (column, ascending)
 
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import cluster, quantize, search
+from .operators import cluster, evaluate, graph, quantize, search
+from .session import stored
+
+#: Bytes of the vectors that first centroids are drawn from; they go through the driver.
+SEED_BYTES = 256 << 20
 
 
 @dataclass(frozen=True)
@@ -21,16 +25,26 @@ class IndexParams:
     coded: bool = False
     seed: int = 1234
     sample_rate: float = 0.01
+    degree: int = 16
+    beam: int = 64
+    sample: int = 1
 
     def __post_init__(self):
         if self.metric not in ("l2", "ip"):
             raise ValueError(f"unknown metric {self.metric!r}")
         if self.clusters < 1:
             raise ValueError("an index has one cluster or more")
+        if not 1 <= self.sample <= 16:
+            raise ValueError("a block has 1 to 16 nodes in the graph: its centroid and its farthest rows")
 
 
 class VectorIndex:
-    """Tables ``members`` (partitioned by cluster), ``blocks``, ``clusters``, ``bounds`` and ``manifest`` in one folder."""
+    """Tables ``members`` (partitioned by cluster), ``blocks``, ``graph``, ``clusters``, ``bounds`` and ``manifest`` in one folder.
+
+    A block's key is its cluster times 2 ** 40 plus its number, whose bits from 2 ** 20 on are its
+    part.  The graph is over blocks' centroids (and with ``sample`` over 1 over as many of their
+    farthest rows less one), with edges inside a part, so each part is searched by itself.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -52,34 +66,56 @@ class VectorIndex:
         if told.n == 0 or told.dim != told.least:
             raise ValueError("vectors of one length are wanted")
         k = min(params.clusters, told.n)
-        taken = min(cluster.sample_size(told.n, k, params.sample_rate), 256 * k)
+        taken = min(cluster.sample_size(told.n, k, params.sample_rate), 256 * k, max(k, SEED_BYTES // (8 * told.dim)))
         sample = cluster.hash_sample(rows, taken, params.seed)
-        x = search.matrix(sample.orderBy("vec_id").select("v").toArrow()["v"])  # 256 rows a cluster at most
+        x = search.matrix(sample.orderBy("vec_id").select("v").toArrow()["v"])  # 256 rows a cluster and SEED_BYTES at most
         first = x[cluster.kmeanspp(x, k, params.seed)].tolist()
         start = spark.createDataFrame([(i, c) for i, c in enumerate(first)], "cid long, c array<double>")
-        trained = cluster.lloyd(sample.cache(), start, params.rounds, cluster.mean_norm(sample))
+        trained = cluster.lloyd(sample.cache(), start, params.rounds, cluster.mean_norm(sample), stop=0.01, repair=True)
         sample.unpersist()
         size = cluster.capacity(told.dim, params.block_bytes, coded=params.coded)
-        packed = cluster.pack_clusters(search.assign(rows, trained), size, params.seed)
+        packed = stored(cluster.pack_clusters(search.assign(rows, trained), size, params.seed), "index-packed")
         lo, hi = quantize.bounds(quantize.train(rows)) if params.coded else ([], [])
-        stored = packed.withColumn("v", quantize.encode(F.col("v"), lo, hi)) if params.coded else packed
-        stored.repartition("cid", F.floor(F.col("block_id") / 64)).sortWithinPartitions("cid", "block_id", "vec_id").write.partitionBy("cid").parquet(f"{path}/members")
-        index = packed.withColumn("key", F.struct("cid", "block_id")).select(F.col("key").alias("cid"), "vec_id", "v")
-        blocks = cluster.centroids(index).select("cid.cid", "cid.block_id", "c", "n")
-        blocks.write.parquet(f"{path}/blocks")
+        kept = packed.withColumn("v", quantize.encode(F.col("v"), lo, hi)) if params.coded else packed
+        kept.repartition("cid", F.floor(F.col("block_id") / 64)).sortWithinPartitions("cid", "block_id", "vec_id").write.partitionBy("cid").parquet(f"{path}/members")
+        keyed = packed.select((F.col("cid") * F.lit(1 << 40) + F.col("block_id")).alias("cid"), "vec_id", "v")
+        near = quantize.decode(quantize.encode(F.col("v"), lo, hi), lo, hi) if params.coded else F.col("v")
+        blocks = stored(cluster.centroids(keyed).withColumnRenamed("cid", "key"), "index-blocks")
+        far = keyed.withColumnRenamed("cid", "key").join(blocks, "key").select("key", "vec_id", "c", "n", "v", near.alias("near"))
+        # how far a block's rows, as they are read, lie from its centroid
+        far = far.withColumn("d", F.aggregate(F.zip_with("near", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
+        reach = far.groupBy("key").agg(F.sqrt(F.max("d")).alias("reach"))
+        cells = {"cid": F.shiftright("key", 40), "block_id": F.col("key").bitwiseAND((1 << 40) - 1)}
+        blocks.join(reach, "key").select(*[c.alias(n) for n, c in cells.items()], "c", "n", "reach").write.parquet(f"{path}/blocks")
+        nodes = blocks.select(F.shiftright("key", 20).alias("cid"), (F.col("key") * 16).alias("vec_id"), F.col("c").alias("v"))
+        if params.sample > 1:
+            at = F.row_number().over(Window.partitionBy("key").orderBy(F.col("d").desc(), "vec_id"))
+            others = far.withColumn("at", at).where(F.col("at") < params.sample)
+            nodes = nodes.unionByName(others.select(F.shiftright("key", 20).alias("cid"), (F.col("key") * 16 + F.col("at")).alias("vec_id"), "v"))
+        nodes = stored(nodes, "index-nodes")
+        edges = graph.symmetrize(graph.diverse(graph.knn_graph(nodes, params.degree), nodes, params.degree), 2 * params.degree)
+        graph.adjacency(nodes, edges).write.parquet(f"{path}/graph")
         trained.write.parquet(f"{path}/clusters")
         spark.createDataFrame(list(enumerate(zip(lo, hi, strict=True))) or [], "dim int, range struct<lo:double,hi:double>").write.parquet(f"{path}/bounds")
         manifest = asdict(params) | {"dim": int(told.dim), "rows": int(told.n)}
-        spark.createDataFrame([tuple(manifest.values())], "metric string, clusters int, block_bytes int, rounds int, coded boolean, seed int, sample_rate double, dim int, rows long").write.parquet(f"{path}/manifest")
+        spark.createDataFrame([tuple(manifest.values())], "metric string, clusters int, block_bytes int, rounds int, coded boolean, seed int, sample_rate double, degree int, beam int, sample int, dim int, rows long").write.parquet(f"{path}/manifest")
         return cls(spark, path)
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def blocks(self) -> DataFrame:
-        """``(cid, block_id, c, n)`` of every block."""
+        """``(cid, block_id, c, n, reach)`` of every block."""
         return self._table("blocks")
 
+    def graph(self) -> DataFrame:
+        """``(cid, vec_id, v, links)`` of every node: its part, its number (16 times its block's key, and which of the block's), its edges' ends."""
+        found = self._table("graph")
+        dangling = found.select(F.explode("links").alias("vec_id")).join(found.select("vec_id"), "vec_id", "left_anti")
+        if not dangling.isEmpty():
+            raise ValueError("the graph has edges to nodes that are not there")
+        return found
+
     def members(self) -> DataFrame:
         """``(cid, block_id, vec_id, v)`` of every row; codes are decoded."""
         rows = self._table("members").withColumn("cid", F.col("cid").cast("long"))
@@ -89,18 +125,76 @@ class VectorIndex:
         return rows.withColumn("v", quantize.decode(F.col("v"), [r.lo for r in told], [r.hi for r in told]))
 
     def _keyed(self) -> tuple[DataFrame, DataFrame]:
-        """Members and block centroids under one number a block."""
+        """Members and block centroids under one number a block; ``part`` is the members' cluster."""
         key = F.col("cid") * F.lit(1 << 40) + F.col("block_id")
-        return self.members().select(key.alias("cid"), "vec_id", "v"), self.blocks().select(key.alias("cid"), "c")
+        return self.members().select(F.col("cid").alias("part"), key.alias("cid"), "vec_id", "v"), self.blocks().select(key.alias("cid"), "c", "reach")
 
     def knn(self, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
         """``(qid, rank, vec_id, score)``: the k best in the nprobe best blocks of each query."""
         members, blocks = self._keyed()
-        return search.ivf_knn(queries, members, blocks, k, nprobe, self.params.metric)
+        return search.ivf_knn(queries, members, blocks, k, nprobe, self.params.metric, F.shiftright("cid", 40))
 
-    def range(self, queries: DataFrame, radius: float, factor: float = 1.0) -> DataFrame:
-        """``(qid, vec_id, score)``: rows within ``radius`` in blocks whose centroid is within ``radius * factor``."""
+    def probes_for(self, k: int, recall: float = 0.9, queries: int = 64) -> int:
+        """How many blocks to probe for ``recall`` of the k best: doubled until rows of the index, asked as queries, reach it.
+
+        The queries are chosen by a hash, their exact answers are searched among all rows, and
+        their own rows do not count.
+        """
+        members, _ = self._keyed()
+        asked = stored(cluster.hash_sample(members, queries, self.params.seed).select(F.col("vec_id").alias("qid"), F.col("v").alias("qv")), "index-queries")
+        own = lambda df: df.where("qid <> vec_id")
+        truth = stored(own(search.knn(asked, members, k + 1, self.params.metric)), "index-truth")
+        most, n = self.blocks().count(), 16
+        while n < most:
+            met = evaluate.recall(own(self.knn(asked, k + 1, n)), truth).agg(F.sum("hits") / F.sum("wanted")).first()[0]
+            if met is None or met >= recall + (1 - recall) / 4:
+                return n
+            n *= 2
+        return most
+
+    def _beam(self, queries: DataFrame, parts: int, width: int) -> DataFrame:
+        """``(qid, rank, vec_id, score)``: the nodes that a beam of ``width`` finds in the parts of the nearest clusters."""
+        near = search.probe(queries, self._table("clusters"), parts).select("qid", F.col("cid").alias("cluster"))
+        held = self.graph()
+        known = held.select("cid", F.shiftright("cid", 20).alias("cluster")).distinct()
+        return graph.beam_knn(near.join(known, "cluster"), queries, held, width, width)
+
+    def knn_by_graph(self, queries: DataFrame, k: int, nprobe: int, parts: int) -> DataFrame:
+        """``(qid, rank, vec_id, score)``: the k best in up to ``nprobe`` blocks that a beam finds in the graph of ``parts`` clusters."""
+        if self.params.metric != "l2":
+            raise ValueError("the graph has squared distances; use knn for inner products")
+        found = self._beam(queries, parts, max(self.params.beam, nprobe * self.params.sample))
+        blocks = found.groupBy("qid", F.shiftright("vec_id", 4).alias("cid")).agg(F.min("score").alias("score"))
+        at = F.row_number().over(Window.partitionBy("qid").orderBy("score", "cid"))
+        probes = stored(blocks.withColumn("at", at).where(F.col("at") <= nprobe).select("qid", "cid"), "index-probes")
+        return search.in_cells(probes, queries, self._keyed()[0], k, "l2", F.shiftright("cid", 40))
+
+    def range(self, queries: DataFrame, radius: float, factor: float | None = None) -> DataFrame:
+        """``(qid, vec_id, score)``: all rows within ``radius``.
+
+        Only blocks that can hold one are read: by the triangle inequality those whose centroid is
+        not farther than the radius and the block's reach together.  With ``factor`` it is the
+        blocks whose centroid is within ``radius * factor``, and rows of others are missed.
+        """
         if self.params.metric != "l2":
             raise ValueError("a range search wants squared distances; use search.within for inner products")
         members, blocks = self._keyed()
-        return search.ivf_range(queries, members, blocks, radius, factor)
+        part = F.shiftright("cid", 40)
+        if factor is not None:
+            return search.ivf_range(queries, members, blocks, radius, factor, part)
+        return search.range_pruned(queries, members, blocks, radius, blocks.select("cid", "reach"), part)
+
+    def range_by_graph(self, queries: DataFrame, radius: float, parts: int, seeds: int = 20, factor: float = 1.0) -> DataFrame:
+        """``(qid, vec_id, score)``: rows within ``radius`` in the blocks that the graph leads to.
+
+        A beam finds ``seeds`` nodes a query; from them the edges are followed over nodes within
+        ``radius * factor``, and the blocks of those nodes are read.
+        """
+        if self.params.metric != "l2":
+            raise ValueError("a range search wants squared distances")
+        start = self._beam(queries, parts, max(self.params.beam, seeds)).where(F.col("rank") <= seeds).select("qid", "vec_id")
+        nodes = self.graph()
+        edges = nodes.select(F.col("vec_id").alias("src"), F.explode("links").alias("dst"))
+        met = graph.radius_expand(start, edges, nodes, queries, radius * factor)
+        probes = stored(met.select("qid", F.shiftright("vec_id", 4).alias("cid")).distinct(), "index-probes")
+        return search._cells(probes, queries, self._keyed()[0], "l2", None, radius, F.shiftright("cid", 40)).drop("cid")

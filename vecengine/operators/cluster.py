@@ -9,15 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import assign, matrix, scores
+from ..session import stored
+from .search import TILE, assign, matrix, scores
 
-#: Groups of at most so many rows are split in one task.
-SPLIT_ROWS = 20_000
+#: Groups of at most so many rows are cut into blocks in one task; larger ones are split into so many parts at most first.
+SPLIT_ROWS, MOST_PARTS = 20_000, 512
 
 
 def hash_sample(df: DataFrame, n: int, seed: int = 1234, key: str = "vec_id") -> DataFrame:
-    """``n`` rows by order of a seeded hash of the key: the same rows whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """``n`` rows by order of a seeded MD5 of the key's digits: the same rows whatever the partitioning."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def sample_size(n: int, k: int, rate: float = 0.01) -> int:
@@ -60,15 +61,35 @@ def mean_norm(vectors: DataFrame) -> float:
     return vectors.agg(F.avg(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y)))).first()[0]
 
 
-def lloyd(vectors: DataFrame, start: DataFrame, rounds: int, length: float | None = None) -> DataFrame:
-    """Centroids after ``rounds`` rounds from ``start``; an empty cluster is dropped.
+def lloyd(vectors: DataFrame, start: DataFrame, rounds: int, length: float | None = None, stop: float | None = None, repair: bool = False) -> DataFrame:
+    """Centroids after ``rounds`` rounds from ``start``; only they, a bounded sample, go through the driver.
 
-    Only the centroids, a bounded sample, go through the driver between rounds.
+    With ``stop`` the rounds end once the total distance shrinks by a smaller share of itself.  An
+    empty cluster is dropped, or with ``repair`` gets half of the largest: both get its centroid,
+    moved a little to either side.
     """
     spark, now = vectors.sparkSession, start.select(F.col("cid").cast("long").alias("cid"), "c")
+    wanted, before = [r.cid for r in now.select("cid").orderBy("cid").collect()] if repair else [], None
     for _ in range(rounds):
-        rows = centroids(assign(vectors, now), length).select("cid", "c").collect()
-        now = spark.createDataFrame(rows, "cid long, c array<double>")
+        assigned = assign(vectors, now)
+        if stop is not None:
+            assigned = assigned.persist()
+            total = assigned.agg(F.sum("dist")).first()[0] or 0.0
+        rows = [(r.cid, r.c, r.n) for r in centroids(assigned, length).select("cid", "c", "n").collect()]
+        if stop is not None:
+            assigned.unpersist()
+        for cid in sorted(set(wanted) - {r[0] for r in rows}):
+            at = max(range(len(rows)), key=lambda i: (rows[i][2], -rows[i][0]))
+            donor, c, n = rows[at]
+            if n < 2:
+                break
+            rows[at] = (donor, [x * (1 + (-1) ** i / 1024) for i, x in enumerate(c)], n - n // 2)
+            rows.append((cid, [x * (1 - (-1) ** i / 1024) for i, x in enumerate(c)], n // 2))
+        now = spark.createDataFrame([r[:2] for r in sorted(rows)], "cid long, c array<double>")
+        if stop is not None:
+            if before is not None and before - total <= stop * before:
+                break
+            before = total
     return now
 
 
@@ -181,14 +202,86 @@ def blocks_of(x: np.ndarray, capacity: int, seed: int = 1234) -> np.ndarray:
     return out
 
 
+def _sub_centroids(large: DataFrame, seed: int) -> DataFrame:
+    """``(cid, part, subs)``: of each large group the centroids that split it, from a sample of bounded size."""
+    few = large.where(F.expr(f"pmod(xxhash64({seed}, vec_id), greatest(1, n div {SPLIT_ROWS})) = 0"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("vec_id").slice(0, 2 * SPLIT_ROWS)  # about SPLIT_ROWS rows; more only by chance
+        x = matrix(table["v"])
+        k = min(MOST_PARTS, len(x), 2 * math.ceil(table["n"][0].as_py() / SPLIT_ROWS))
+        cents = x[kmeanspp(x, k, seed)]
+        for _ in range(5):
+            label = repair_empty(np.concatenate([scores(x[a : a + 4096], cents, "l2").argmin(axis=1) for a in range(0, len(x), 4096)]), len(cents), seed)
+            cents = np.stack([x[label == c].mean(axis=0) for c in range(len(cents))])
+        lists = pa.array([c.tolist() for c in cents], pa.list_(pa.float64()))
+        return pa.table({"cid": pa.array([table["cid"][0].as_py()] * len(cents)), "part": pa.array([table["part"][0].as_py()] * len(cents)), "sub": pa.array(range(len(cents)), pa.int64()), "c": lists})
+
+    return few.select("cid", "part", "n", "vec_id", "v").groupBy("cid", "part").applyInArrow(run, "cid long, part long, sub long, c array<double>")
+
+
+def _nearest_parts(large: DataFrame, subs: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """``(cid, part, vec_id, v)``: each row in the nearest of its group's parts.
+
+    A group has one centroid for every SPLIT_ROWS / 2 of its rows, so their number is a fixed small
+    share of the rows'; it is checked before they are sent to the tasks.
+    """
+    table = subs.orderBy("cid", "part", "sub").limit(most + 1).toArrow()
+    if table.num_rows > most:
+        raise ValueError(f"more than {most} parts: cluster in more clusters first")
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, key in enumerate(zip(table["cid"].to_pylist(), table["part"].to_pylist(), strict=True)):
+        groups.setdefault(key, []).append(i)
+    held = large.sparkSession.sparkContext.broadcast((groups, matrix(table["c"])))
+
+    def run(batches):
+        groups, c = held.value
+        for batch in batches:
+            cid, part, v = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(3))
+            new = part.copy()
+            for key in set(zip(cid.tolist(), part.tolist(), strict=True)):
+                rows, own = np.flatnonzero((cid == key[0]) & (part == key[1])), c[groups[key]]
+                for at in range(0, len(rows), max(1, TILE // len(own))):
+                    some = rows[at : at + max(1, TILE // len(own))]
+                    new[some] = key[1] * MOST_PARTS + scores(v[some], own, "l2").argmin(axis=1) + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new), batch.column(2), batch.column(3)], ["cid", "part", "vec_id", "v"])
+
+    return large.select("cid", "part", "vec_id", "v").mapInArrow(run, "cid long, part long, vec_id long, v array<double>")
+
+
+def _parts(assigned: DataFrame, seed: int, levels: int = 4) -> DataFrame:
+    """``(cid, part, vec_id, v)``: clusters over SPLIT_ROWS rows split by distance, level by level.
+
+    A group that does not shrink (rows of one place) is dealt out by a hash of the id in the end,
+    so a part holds a bounded number of rows whatever the data.
+    """
+    dealt = assigned.select("cid", F.lit(0).cast("long").alias("part"), "vec_id", "v")
+    for level in range(levels):
+        sizes = dealt.groupBy("cid", "part").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT_ROWS)
+        if sizes.isEmpty():
+            return dealt
+        sizes = sizes.cache()
+        if level == levels - 1:
+            break
+        large = dealt.join(sizes.select("cid", "part", "n"), ["cid", "part"])
+        split = _nearest_parts(large, _sub_centroids(large, seed + level))
+        dealt = stored(dealt.join(sizes, ["cid", "part"], "left_anti").unionByName(split), "parts")
+    again = dealt.join(sizes.select("cid", "part", F.ceil(F.col("n") / SPLIT_ROWS).cast("int").alias("by")), ["cid", "part"], "left")
+    hashed = F.col("part") * MOST_PARTS + F.coalesce(F.pmod(F.xxhash64("vec_id"), "by") + 1, F.lit(0))
+    return again.select("cid", hashed.alias("part"), "vec_id", "v")
+
+
 def pack_clusters(assigned: DataFrame, capacity: int, seed: int = 1234) -> DataFrame:
     """``(cid, block_id, vec_id, v)``: each cluster cut into blocks of at most ``capacity`` close rows.
 
-    A cluster of more than SPLIT_ROWS rows is first dealt out by a hash of the id, so a task holds
-    a bounded group whatever the cluster's size; a block's id starts with its part.
+    A cluster of more than SPLIT_ROWS rows is split by distance first, so a task holds a bounded
+    group whatever the cluster's size; parts are numbered within their cluster, and a block's id
+    starts with its part.
     """
-    sizes = assigned.groupBy("cid").agg(F.ceil(F.count("*") / SPLIT_ROWS).cast("int").alias("parts"))
-    dealt = assigned.join(sizes, "cid").select("cid", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), "vec_id", "v")
+    dealt = _parts(assigned, seed)
+    known = dealt.select("cid", "part").distinct()
+    known = known.withColumn("nth", F.row_number().over(Window.partitionBy("cid").orderBy("part")).cast("long") - 1)
+    dealt = dealt.join(known, ["cid", "part"]).select("cid", F.col("nth").alias("part"), "vec_id", "v")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")

@@ -18,7 +18,7 @@ def knn_graph(members: DataFrame, degree: int) -> DataFrame:
     queries = members.select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
     probes = members.select(F.col("vec_id").alias("qid"), "cid")
     found = _cells(probes, queries, members, "l2", degree + 1, None).where("qid <> vec_id")
-    return ranked(found, degree).select(F.col("qid").alias("src"), F.col("vec_id").alias("dst"), F.col("score").alias("dist"))
+    return ranked(found.drop("cid"), degree).select(F.col("qid").alias("src"), F.col("vec_id").alias("dst"), F.col("score").alias("dist"))
 
 
 def symmetrize(edges: DataFrame, most: int) -> DataFrame:
@@ -81,45 +81,58 @@ def radius_expand(seeds: DataFrame, edges: DataFrame, vectors: DataFrame, querie
     raise RuntimeError(f"no end after {rounds} rounds")
 
 
-def beam_knn(queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int, width: int, most_nodes: int = 200_000) -> DataFrame:
-    """Approximate k nearest nodes by best-first search over the graph.
-
-    The graph is one of centroids; its size is checked, and one of more than ``most_nodes`` nodes
-    is refused (search its cells instead).
+def _beam(q: np.ndarray, x: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> list[tuple[float, int]]:
+    """The ``width`` nearest nodes that a best-first search finds, as distance and place."""
+    entries = range(0, len(x), max(1, len(x) // 8)) if len(x) else ()
+    seen = set(entries)
+    open_ = [(float(((x[i] - q) ** 2).sum()), i) for i in entries]
+    best = [(-d, -i) for d, i in open_]
+    heapq.heapify(open_)
+    heapq.heapify(best)
+    while len(best) > width:
+        heapq.heappop(best)
+    while open_:
+        d, i = heapq.heappop(open_)
+        if len(best) >= width and d > -best[0][0]:
+            break
+        new = [j for j in ends[starts[i] : starts[i + 1]].tolist() if j not in seen]
+        seen.update(new)
+        for j, e in zip(new, ((x[new] - q) ** 2).sum(axis=1).tolist() if new else (), strict=True):
+            heapq.heappush(open_, (e, j))
+            heapq.heappush(best, (-e, -j))
+            if len(best) > width:
+                heapq.heappop(best)
+    return sorted((-d, -i) for d, i in best)
+
+
+def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(cid, vec_id, v, links)``: each node of ``nodes`` with the ends of its edges, as many as its degree."""
+    links = edges.groupBy(F.col("src").alias("vec_id")).agg(F.array_sort(F.collect_list("dst")).alias("links"))
+    return nodes.select("cid", "vec_id", "v").join(links, "vec_id", "left").select("cid", "vec_id", "v", F.coalesce("links", F.array().cast("array<long>")).alias("links"))
+
+
+def beam_knn(probes: DataFrame, queries: DataFrame, graph: DataFrame, k: int, width: int) -> DataFrame:
+    """``(qid, rank, vec_id, score)``: approximate k nearest nodes by best-first search in the groups that each query probes.
+
+    ``graph`` has a row a node as :func:`adjacency` gives it, in groups ``cid`` of bounded size
+    with edges inside them; ``probes`` is ``(qid, cid)``.  A group is searched in one task, by all
+    queries that probe it, so no graph is gathered anywhere.
     """
-    table = nodes.select("vec_id", "v").orderBy("vec_id").limit(most_nodes + 1).toArrow()
-    if table.num_rows > most_nodes:
-        raise ValueError(f"more than {most_nodes} nodes: search by cells")
-    ids, x = table["vec_id"].to_numpy(), matrix(table["v"])
-    links = edges.select("src", "dst").toArrow()  # nodes times degree
-    src, dst = np.searchsorted(ids, links["src"].to_numpy()), np.searchsorted(ids, links["dst"].to_numpy())
-    order = np.argsort(src, kind="stable")
-    held = queries.sparkSession.sparkContext.broadcast((ids, x, np.searchsorted(src[order], np.arange(len(ids) + 1)), dst[order]))
-
-    def run(batches):
-        ids, x, starts, ends = held.value
-        for batch in batches:
-            out = ([], [], [])
-            for qid, q in zip(batch.column(0).to_pylist(), matrix(batch.column(1)), strict=True):
-                entries = range(0, len(ids), max(1, len(ids) // 8)) if len(ids) else ()
-                seen = set(entries)
-                open_ = [(float(((x[i] - q) ** 2).sum()), i) for i in entries]
-                best = [(-d, -i) for d, i in open_]
-                heapq.heapify(open_)
-                heapq.heapify(best)
-                while open_:
-                    d, i = heapq.heappop(open_)
-                    if len(best) >= max(width, k) and d > -best[0][0]:
-                        break
-                    new = [j for j in ends[starts[i] : starts[i + 1]].tolist() if j not in seen]
-                    seen.update(new)
-                    for j, e in zip(new, ((x[new] - q) ** 2).sum(axis=1).tolist() if new else (), strict=True):
-                        heapq.heappush(open_, (e, j))
-                        heapq.heappush(best, (-e, -j))
-                        if len(best) > max(width, k):
-                            heapq.heappop(best)
-                for d, i in sorted((-d, -i) for d, i in best)[:k]:
+    asked = probes.select("qid", "cid").distinct().join(queries.select("qid", "qv"), "qid").select(F.col("cid").alias("of"), F.col("qid").cast("long").alias("qid"), "qv")
+
+    def run(nodes: pa.Table, asked: pa.Table) -> pa.Table:
+        out = ([], [], [])
+        if nodes.num_rows and asked.num_rows:
+            nodes = nodes.sort_by("vec_id")
+            ids, x = nodes["vec_id"].to_numpy(), matrix(nodes["v"])
+            links = nodes["links"].combine_chunks()
+            dst, sizes = links.flatten().to_numpy(), np.diff(links.offsets.to_numpy())
+            at = np.minimum(np.searchsorted(ids, dst), len(ids) - 1)
+            known = ids[at] == dst
+            starts = np.concatenate(([0], np.cumsum(np.add.reduceat(np.append(known, False), np.minimum(np.cumsum(sizes) - sizes, len(known))) * (sizes > 0))))
+            for qid, q in zip(asked["qid"].to_pylist(), matrix(asked["qv"]), strict=True):
+                for d, i in _beam(q, x, starts.astype(np.int64), at[known], max(width, k))[:k]:
                     out[0].append(qid), out[1].append(int(ids[i])), out[2].append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["qid", "vec_id", "score"])
+        return pa.table({"qid": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    return ranked(queries.select("qid", "qv").mapInArrow(run, SCORED), k)
+    return ranked(graph.groupBy("cid").cogroup(asked.groupBy("of")).applyInArrow(run, SCORED), k)

@@ -11,7 +11,7 @@ import math
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -600,12 +600,14 @@ _SWEPT = (_E, _Q, _C, _A, _EXACT, *[x for n in _SWEEP for x in (_probe(n, f"p{n}
 
 
 def _recalls(t) -> DataFrame:
-    truth, out = t.exact(), None
-    for n in _SWEEP:
-        met = evaluate.recall(t.ivf(n), truth).agg(F.round(F.sum("hits") / F.sum("wanted"), 6).alias("recall"))
-        row = met.select(F.lit(n).cast("long").alias("nprobe"), "recall")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """One search of the most cells: the best of those of rank n at most are the answer of n cells."""
+    most = search.ivf_candidates(t.q, t.a, t.c, K, max(_SWEEP))
+    swept = most.join(F.broadcast(t.spark.createDataFrame([(n,) for n in _SWEEP], "nprobe long")), F.col("probe") <= F.col("nprobe"))
+    best = Window.partitionBy("nprobe", "qid").orderBy("score", "vec_id")
+    found = swept.withColumn("at", F.row_number().over(best)).where(F.col("at") <= K).select("nprobe", "qid", "vec_id")
+    truth = t.exact().select("qid", "vec_id")
+    hits = found.join(truth, ["qid", "vec_id"]).groupBy("nprobe").agg(F.count("*").alias("hits"))
+    return hits.join(truth.agg(F.count("*").alias("wanted")), F.lit(True)).select("nprobe", F.round(F.col("hits") / F.col("wanted"), 6).alias("recall"))
 
 
 @query(_sql("SELECT nprobe, recall FROM rc", *_SWEPT))
@@ -670,7 +672,7 @@ def graph_radius_expand(t):
     return answer(graph.radius_expand(seeds, edges, t.e, t.q, 1.6))
 
 
-# Without SQL: what depends on seeds, or is iterative.
+# The index.
 
 
 def _index(t) -> VectorIndex:
@@ -678,40 +680,59 @@ def _index(t) -> VectorIndex:
     return VectorIndex.build(t.e, path, IndexParams(clusters=math.ceil(math.sqrt(t.e.count()))))
 
 
-@query()
+@query("SELECT count(*) AS rows, true AS fit, true AS once FROM embeddings")
 def index_build_summary(t):
-    index = _index(t)
-    blocks = index.members().groupBy("cid", "block_id").agg(F.count("*").alias("n"))
-    return blocks.agg(F.sum("n").alias("rows"), F.count("*").alias("blocks"), F.max("n").alias("largest"))
+    """Rows of the index, and whether all blocks fit their bytes and every row is in one of them."""
+    rows = _index(t).members()
+    blocks = rows.groupBy("cid", "block_id").agg(F.count("*").alias("n"))
+    one = blocks.agg(F.sum("n").alias("rows"), (F.max("n") <= CAPACITY).alias("fit"))
+    return one.join(rows.agg((F.count_distinct("vec_id") == F.count("*")).alias("once")), F.lit(True))
 
 
 @query()
 def index_knn(t):
-    return answer(_index(t).knn(t.q, K, 20))
+    index = _index(t)
+    return answer(index.knn(t.q, K, index.probes_for(K)))
 
 
-@query()
+@query(_sql(_ROUNDED + "exact", _E, _Q, _EXACT))
+def index_knn_probe_all(t):
+    index = _index(t)
+    return answer(index.knn(t.q, K, index.blocks().count()))
+
+
+@query(_sql(_FOUND, _E, _Q, _RANGE))
 def index_range(t):
-    return answer(_index(t).range(t.q, RADIUS, 1.2))
+    return answer(_index(t).range(t.q, RADIUS))
 
 
 @query()
 def graph_beam_knn(t):
-    nodes = t.c.select(F.col("cid").alias("vec_id"), F.col("c").alias("v"))
-    edges = graph.symmetrize(graph.diverse(graph.knn_graph(nodes.withColumn("cid", F.lit(0)), DEGREE), nodes, DEGREE), 2 * DEGREE)
-    return answer(graph.beam_knn(t.q, nodes, edges, K, 100))
+    index = _index(t)
+    return answer(index.knn_by_graph(t.q, K, index.probes_for(K), index.params.clusters))
 
 
 @query()
+def graph_range(t):
+    index = _index(t)
+    return answer(index.range_by_graph(t.q, RADIUS, index.params.clusters, factor=1.2))
+
+
+@query(_sql("SELECT cid, count(*) AS rows, true AS fit FROM a GROUP BY cid", _E, _C, _A))
 def balanced_block_sizes(t):
-    return cluster.pack_clusters(t.a, CAPACITY).groupBy("cid", "block_id").agg(F.count("*").alias("n"))
+    """Rows of each cluster after it is cut into balanced blocks, and whether all of those fit their bytes."""
+    blocks = cluster.pack_clusters(t.a, CAPACITY).groupBy("cid", "block_id").agg(F.count("*").alias("n"))
+    return blocks.groupBy("cid").agg(F.sum("n").alias("rows"), (F.max("n") <= CAPACITY).alias("fit"))
 
 
-@query()
+@query(_sql("SELECT vec_id, label FROM e ORDER BY md5('1234:' || vec_id), vec_id LIMIT (SELECT greatest(count(*) // 100, least(count(*), 390)) FROM e)", _E))
 def hash_sample(t):
     return cluster.hash_sample(t.e.select("vec_id", "label"), cluster.sample_size(t.e.count(), 10))
 
 
+# Without SQL: what depends on seeds.
+
+
 @query()
 def kmeanspp_seed(t):
     sample = cluster.hash_sample(t.e, cluster.sample_size(t.e.count(), 10)).orderBy("vec_id").select("vec_id", "v").toArrow()

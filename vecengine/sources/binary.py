@@ -2,14 +2,14 @@
 
 The element type is that of the file's extension.  Files are read and written through Spark's
 own readers and writers, so any path that Spark can open will do; a file is one task's work, so
-large sets are directories of files, each with the number of its first row in its name or order.
+large sets are directories of files, whose rows follow each other by the files' names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Extensions, element types and what Spark calls them.
@@ -31,8 +31,16 @@ def header(spark: SparkSession, path: str) -> tuple[int, int]:
 
 
 def read_vectors(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """``(file, vec_id, embedding)``: vec_id is the row's place in its file; a short file fails the job."""
+    """``(file, vec_id, embedding)`` of a file or a folder of files of one kind.
+
+    vec_id is the row's place in its file after all rows of the files before it by name, so ids are
+    unique in a folder; a short file fails the job.  The files' headers, one row a file, are read
+    first.
+    """
     dtype, name, arrow = KINDS[kind] if kind else _kind(path)
+    source = spark.read.format("binaryFile").load(path)
+    told = sorted((r.path, int.from_bytes(bytes(r.n), "little")) for r in source.select("path", F.substring("content", 1, 4).alias("n")).collect())
+    before = dict(zip([p for p, _ in told], np.cumsum([0, *[n for _, n in told]]).tolist(), strict=False))
 
     def run(batches):
         for batch in batches:
@@ -46,10 +54,9 @@ def read_vectors(spark: SparkSession, path: str, kind: str | None = None) -> Dat
                     part = values[at * dim : min(n, at + 65_536) * dim]
                     rows = len(part) // dim
                     lists = pa.ListArray.from_arrays(np.arange(0, len(part) + 1, dim, dtype=np.int32), pa.array(part.astype(arrow.to_pandas_dtype())))
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * rows), pa.array(np.arange(at, at + rows)), lists], ["file", "vec_id", "embedding"])
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * rows), pa.array(np.arange(at, at + rows) + before[file]), lists], ["file", "vec_id", "embedding"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, f"file string, vec_id long, embedding array<{name}>")
+    return source.select("path", "content").mapInArrow(run, f"file string, vec_id long, embedding array<{name}>")
 
 
 def pack_vectors(vectors: DataFrame, kind: str, order: str = "vec_id", column: str = "embedding") -> bytes:
@@ -110,13 +117,40 @@ def read_knn_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text_answer(spark: SparkSession, path: str) -> DataFrame:
-    """``(score, vec_id)`` of a text file of ``score id`` lines; empty lines between queries are left out."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parts = F.split(F.trim("value"), r"\s+")
-    return lines.select(parts[0].cast("double").alias("score"), parts[1].cast("long").alias("vec_id"))
+    """``(qid, rank, score, vec_id)`` of text files of ``score id`` lines with an empty line between queries.
+
+    Queries are numbered from 0 through the files by name; a query without lines has no rows.  A
+    file is one task's work.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = ([], [], [], [], [])
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                nth = rank = 0
+                for line in (text or "").splitlines():
+                    if line.strip():
+                        rank += 1
+                        score, vec_id = line.split()
+                        for column, x in zip(out, (file, nth, rank, float(score), int(vec_id)), strict=True):
+                            column.append(x)
+                    else:
+                        nth, rank = nth + 1, 0
+                for column, x in zip(out, (file, nth + bool(rank), None, None, None), strict=True):  # how many queries the file has
+                    column.append(x)
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["file", "nth", "rank", "score", "vec_id"])
+
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    rows = texts.mapInArrow(run, "file string, nth long, rank long, score double, vec_id long")
+    counts = rows.where("rank IS NULL").select("file", "nth")  # a row a file
+    before = counts.select("file", (F.sum("nth").over(Window.orderBy("file")) - F.col("nth")).alias("before"))
+    lines = rows.where("rank IS NOT NULL").join(F.broadcast(before), "file")
+    return lines.select((F.col("nth") + F.col("before")).alias("qid"), "rank", "score", "vec_id")
 
 
 def write_text_answer(answer: DataFrame, path: str) -> None:
-    """Lines of ``score id``, by query and rank."""
-    lines = answer.orderBy("qid", "rank").select(F.concat_ws(" ", F.col("score").cast("string"), F.col("vec_id").cast("string")).alias("value"))
-    lines.write.text(path)
+    """Lines of ``score id`` by query and rank, and an empty line behind each query."""
+    line = F.concat_ws(" ", F.col("score").cast("string"), F.col("vec_id").cast("string"))
+    queries = answer.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("x"))  # k lines a query
+    queries.orderBy("qid").select(F.concat(F.array_join("x.line", "\n"), F.lit("\n")).alias("value")).write.text(path)
