@@ -1,6 +1,7 @@
 """The operators against brute force, on small tables with nulls, empty and odd texts, ties and repeated rows."""
 
 import hashlib
+import math
 import re
 import time
 import zlib
@@ -122,6 +123,30 @@ def test_sharding(docs, texts):
     assert sorted(map(repr, rows)) == sorted(map(repr, again))
 
 
+def slow_feistel(x, n, seed, hashed):
+    """The network and the walk, row by row."""
+    a = max(1, math.isqrt(max(n, 1) - 1) + 1)
+    b = max(1, -(-n // a))
+    while True:
+        left, right = divmod(x, b)
+        for i in range(6):
+            if i % 2 == 0:
+                left = (left + hashed[seed, i, right] % a) % a
+            else:
+                right = (right + hashed[seed, i, left] % b) % b
+        x = left * b + right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [1, 7, 100, 131])
+def test_permutation_against_brute_force(spark, n):
+    keys = spark.range(200).crossJoin(spark.range(6).toDF("i")).select("id", F.col("i").cast("int").alias("i"))
+    hashed = {(5, r.i, r.id): r.h for r in keys.select("id", "i", F.xxhash64(F.lit(5), "i", "id").alias("h")).collect()}
+    got = {r.id: r.p for r in spark.range(n).select("id", sharding.permuted(F.col("id"), n, 5).alias("p")).collect()}
+    assert got == {x: slow_feistel(x, n, 5, hashed) for x in range(n)}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 99, 100, 101, 1000])
 def test_permutation(spark, n):
     from pyspark.sql import functions as F
@@ -446,6 +471,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in found.items() if s < 0.3}
 
 
+def test_the_sample_is_bounded_and_the_same_in_every_run(spark, monkeypatch):
+    rows = [(i, prose(i, 20)) for i in range(60)] + [(i, prose(500 + i, 20)) for i in range(0, 60, 3)] + [(70, None), (71, "")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(72)], "doc_id long, toxic int")
+    make = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    told = toxicity.labelled(make(rows), labels)
+    assert told == toxicity.labelled(make(rows[::-1]).repartition(7), labels)
+    assert len(told[0]) == len(told[1]) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in [*range(60), 70, 71])
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 1000)
+    few = toxicity.labelled(make(rows), labels)
+    assert 0 < sum(len(t.encode()) for t in few[0]) <= 1000 and set(few[0]) <= set(told[0])
+
+
 def test_without_labels_of_both_kinds(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")

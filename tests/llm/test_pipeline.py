@@ -53,6 +53,23 @@ def test_planted_cases(spark, folder):
     assert seen["bpe"] == seen["benchmark_decontamination"]
 
 
+def test_nulls_repeats_clashes_and_empty_tables(spark, folder, tmp_path):
+    """Every stage keeps columns of any name, repeated rows and null ids, and takes an empty table."""
+    text = prose(70, 80)
+    rows = [(1, text), (1, text), (2, None), (None, text), (3, ""), (4, prose(71, 3)), (5, "x " * 20_000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept_id int, cut_id int, leak_id int, text_before string, h int"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 2, 3, "b", 5) for i, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0
+        out = stage(spark, docs, folder).collect()
+        if name != "bpe":
+            assert out[0].asDict().keys() == set(docs.columns) and all((r.kept_id, r.cut_id, r.leak_id, r.text_before, r.h) == (1, 2, 3, "b", 5) for r in out)
+        ids = sorted((r.doc_id is not None, r.doc_id or 0) for r in out)
+        near = [(False, 0), (True, 1), (True, 1), (True, 2), (True, 4), (True, 5)]  # the empty texts are one group
+        every = sorted([*near, (True, 3)])
+        assert ids == (near if name == "simhash_near_dedup" else every)
+
+
 def test_every_operator_has_a_query():
     assert {n.split("_")[0] for n in entry.queries()} == {f"op{i}" for i in range(1, 11)}
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 from .substring import DOC_BITS, _held, _id_bits
 
 # HTML's elements by their part in a page.
@@ -378,6 +378,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             columns = [*batch.columns[:2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
-    hosts = stored(template(stored(tokens(distinct), "html-tokens")), "html-templates")
+    told = stored(tokens(distinct), "html-tokens")
+    hosts = stored(template(told), "html-templates")
+    discard(told)
     joined = source.mapInArrow(pack, "page_id long, url string, host string, packed binary").join(hosts, "host", "left")
     return joined.select("page_id", "url", "packed", "mains", "others", "texts").mapInArrow(pick, "page_id long, url string, text string, n_chars long")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, claim, free_name, ids_and_texts, map_texts, stored
+from .common import bitmap, claim, discard, free_name, ids_and_texts, map_texts, stored
 from .components import connected_components
 from .substring import _has, _mixed, _rolled, mark_of
 
@@ -186,12 +186,15 @@ def shingle_sets(docs: DataFrame, marks: DataFrame, text_col: str = "text", size
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, size: int, similarity: float) -> DataFrame:
-    """The ``(u, v)`` of ``pairs`` whose sets of shingles have ``similarity`` of their union in common."""
+    """The ``(u, v)`` of stored ``pairs`` whose sets of shingles have ``similarity`` of their union in common, stored."""
     asked = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     wanted = stored(nodes.select("node", "mark").join(asked, "node", "left_semi"), "likeness-asked")
     sets = stored(wanted.join(shingle_sets(docs, wanted, text_col, size), "mark").select("node", "shingles"), "likeness-shingles")
     both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
-    return both.where(f"size(array_intersect(a, b)) * {1 + similarity} >= {similarity} * (size(a) + size(b)) - 1e-6").select("u", "v")
+    links = both.where(f"size(array_intersect(a, b)) * {1 + similarity} >= {similarity} * (size(a) + size(b)) - 1e-6").select("u", "v")
+    links = stored(links, "likeness-links")
+    discard(wanted, sets, pairs)
+    return links
 
 
 def _nearest_leaders(rows: DataFrame) -> DataFrame:
@@ -247,6 +250,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counted = sigs.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
     shared = stored(sigs.join(counted, "sig"), "likeness-shared")
     rows = stored(shared.join(shared.groupBy("node").agg(F.sum("size").alias("weight")), "node"), "likeness-buckets")
+    discard(shared)
     few = nodes.select("node", "n", "sketch")
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -262,9 +266,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         else:
             asked = _unlinked_pairs(_mixed_buckets(rows, roots), few, similarity)
         asked = stored(asked, f"likeness-pairs-{step}")
-        links = stored(_alike(asked, nodes, docs, text_col, size, similarity), f"likeness-links-{step}")
+        links = _alike(asked, nodes, docs, text_col, size, similarity)
         edges = edges.union(links) if edges else links
         roots = stored(connected_components(edges).select("node", "root"), f"likeness-roots-{step}")
+    discard(rows)
     placed = nodes.join(roots, "node", "left").select("s1", "s2", "least", F.coalesce("root", "node").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return told.select("doc_id", "s1", "s2").join(placed.join(ids, "root").select("s1", "s2", "component_id"), ["s1", "s2"]).select("doc_id", "component_id")

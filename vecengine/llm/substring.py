@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, claim, free_name, ids_and_texts, map_texts, stored
+from .common import bitmap, claim, discard, free_name, ids_and_texts, map_texts, stored
 
 LENGTH, SEED = 13, 5
 #: log2 of the bits of the filters of documents (2 MB, whatever the data), and of the seeds' filter
@@ -219,7 +219,9 @@ def _repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     least = stored(rest.groupBy("a", "w").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "substring-least")
     indirect = rest.join(least, ["a", "w"]).where("doc_id > lo").selectExpr("doc_id", "mark", "s AS m0", "s AS m1")
     found = direct.union(indirect).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("m0", "m1"))).alias("runs"))
-    return told, stored(found, "substring-hits")
+    found = stored(found, "substring-hits")
+    discard(rows, shared, seen, lead, met, least)
+    return told, found
 
 
 def maximal(n: int, runs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
