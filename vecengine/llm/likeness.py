@@ -217,8 +217,8 @@ def _mixed_buckets(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(mixed.select("sig", F.col("x.root").alias("main"), F.col("x.first.node").alias("first")), "sig")
 
 
-def _unlinked_pairs(mixed: DataFrame, few: DataFrame, similarity: float) -> DataFrame:
-    """``(u, v)``: all pairs of a bucket that are of two components yet and may be alike.
+def _unlinked_pairs(mixed: DataFrame, few: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``(u, v)`` and the stored table that they are made from: all pairs of a bucket that are of two components yet and may be alike.
 
     Members outside of a bucket's largest component are compared with every member of another
     component.  They are sent to all blocks of BLOCK members or so that a large bucket is dealt out in.
@@ -227,7 +227,8 @@ def _unlinked_pairs(mixed: DataFrame, few: DataFrame, similarity: float) -> Data
     rest = members.where("root <> main").select("*", F.expr("explode(sequence(0, blocks - 1)) AS block"))
     dealt = members.withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) AS int)"))
     apart = "a.sig = b.sig AND a.block = b.block AND a.root <> b.root AND (b.root = b.main OR a.node < b.node)"
-    return rest.alias("a").join(dealt.alias("b"), F.expr(f"{apart} AND {_may_be_alike('a', 'b', similarity)}")).selectExpr("a.node AS u", "b.node AS v").distinct()
+    pairs = rest.alias("a").join(dealt.alias("b"), F.expr(f"{apart} AND {_may_be_alike('a', 'b', similarity)}"))
+    return pairs.selectExpr("a.node AS u", "b.node AS v").distinct(), members
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -258,21 +259,26 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return both.where(_may_be_alike("a", "b", similarity)).select("u", "v")
 
     edges = roots = None
+    past = []
     for step in ("leader", "main", "rest"):
         if step == "leader":
             asked = near(_nearest_leaders(rows))
         elif step == "main":  # those still outside of a bucket's largest component, with one of it
             asked = near(_mixed_buckets(rows, roots).where("root <> main").selectExpr("first AS u", "node AS v").distinct())
         else:
-            asked = _unlinked_pairs(_mixed_buckets(rows, roots), few, similarity)
+            asked, members = _unlinked_pairs(_mixed_buckets(rows, roots), few, similarity)
+            past.append(members)
         asked = stored(asked, f"likeness-pairs-{step}")
         links = _alike(asked, nodes, docs, text_col, size, similarity)
         edges = edges.union(links) if edges else links
         roots = stored(connected_components(edges).select("node", "root"), f"likeness-roots-{step}")
-    discard(rows)
+        past += [links, roots]
     placed = nodes.join(roots, "node", "left").select("s1", "s2", "least", F.coalesce("root", "node").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return told.select("doc_id", "s1", "s2").join(placed.join(ids, "root").select("s1", "s2", "component_id"), ["s1", "s2"]).select("doc_id", "component_id")
+    found = told.select("doc_id", "s1", "s2").join(placed.join(ids, "root").select("s1", "s2", "component_id"), ["s1", "s2"]).select("doc_id", "component_id")
+    found = stored(found, "likeness-groups")
+    discard(told, nodes, rows, *past)
+    return found
 
 
 def first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
