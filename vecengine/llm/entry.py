@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, html, planes, sharding, simhash, substring, toxicity, warc
+from . import bpe, decontaminate, embeddings, html, merkle, planes, sharding, simhash, substring, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,6 +132,54 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and what a check of each says after some texts lost their line breaks."""
+    docs = table(spark, sf_dir, "documents")
+    struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(struck, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    now = merkle.leaf_hash(*[text if c == "text" else F.col(c) for c in merkle.FIELDS])
+    found = merkle.manifest(docs.withColumn("leaf_now", now), keep=("leaf_now",))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"), merkle.fold(F.col("leaf_now"), F.col("path")).alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP12_SQL = """
+WITH RECURSIVE
+d AS (SELECT doc_id, coalesce('=' || source, '-') AS src,
+             coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') ||
+             coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, text,
+             -- the checksum of the id's digits, bit by bit
+             list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                         lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                                                  lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)) AS crc
+      FROM documents),
+e AS (SELECT doc_id, src, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+             CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS now, head FROM d),
+l AS (SELECT doc_id, src, leaf, sha256(head || coalesce(strlen(now) || ':' || now, '-')) AS leaf_now,
+             row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY src) AS n FROM e),
+t AS (SELECT 0 AS lvl, src, i, n, leaf AS h FROM l
+      UNION ALL
+      SELECT lvl + 1, src, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lvl, src, i // 3, n),
+r AS (SELECT src, h AS subroot, row_number() OVER (ORDER BY src) - 1 AS i, count(*) OVER () AS n, lvl AS depth FROM t WHERE n = 1),
+s AS (SELECT 0 AS lvl, i, n, subroot AS h FROM r
+      UNION ALL
+      SELECT lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM s WHERE n > 1 GROUP BY lvl, i // 3, n),
+-- every node of both trees with what is hashed before and after it
+a AS (SELECT x.lvl, x.src, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS b, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS c
+      FROM t x JOIN t y ON x.lvl = y.lvl AND x.src = y.src AND x.i // 3 = y.i // 3 WHERE x.n > 1 GROUP BY x.lvl, x.src, x.i
+      UNION ALL
+      SELECT r.depth + x.lvl, r.src, r.i // (3 ** x.lvl)::BIGINT, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), ''), coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '')
+      FROM r JOIN s x ON x.i = r.i // (3 ** x.lvl)::BIGINT JOIN s y ON x.lvl = y.lvl AND x.i // 3 = y.i // 3 WHERE x.n > 1 GROUP BY r.depth, x.lvl, r.src, r.i),
+w AS (SELECT doc_id, l.src, l.i, leaf, depth, subroot, r.i AS nth, 0 AS lvl, leaf_now AS h, '' AS p FROM l JOIN r ON l.src = r.src
+      UNION ALL
+      SELECT doc_id, w.src, w.i, leaf, depth, subroot, nth, w.lvl + 1, sha256(b || h || c), p || b || c FROM w JOIN a ON a.lvl = w.lvl AND a.src = w.src
+             AND a.i = CASE WHEN w.lvl < depth THEN w.i // (3 ** w.lvl)::BIGINT ELSE nth // (3 ** (w.lvl - depth))::BIGINT END)
+SELECT doc_id, leaf, subroot, (SELECT h FROM s WHERE n = 1) AS root, sha256(p) AS proof_sha256, h AS folded_root, h = (SELECT h FROM s WHERE n = 1) AS verified
+FROM w WHERE lvl = depth + (SELECT max(lvl) FROM s)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -144,8 +192,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": op8_html,
         "op9_toxicity": op9_toxicity,
         "op10_sharding": op10_sharding,
+        "op12_merkle": op12_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op5_substring": OP5_SQL, "op6_embeddings": OP6_SQL}
+    return {"op2_warc": OP2_SQL, "op5_substring": OP5_SQL, "op6_embeddings": OP6_SQL, "op12_merkle": OP12_SQL}
