@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, html, merkle, planes, sharding, simhash, substring, toxicity, warc
+from . import bpe, decontaminate, embeddings, html, merkle, planes, ranked, sharding, simhash, substring, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,6 +132,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents of every benchmark item."""
+    found = ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+OP11_SQL = """
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+     f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+     d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id),
+     a AS (SELECT count(*) AS cn, sum(n)::BIGINT AS cl FROM d),
+     w AS (SELECT term, floor(1000 * ln((2 * any_value(cn) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, a GROUP BY term),
+     q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+     s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * cn) // cl))))::BIGINT AS score
+           FROM q JOIN w USING (term) JOIN f USING (term) JOIN d USING (doc_id), a GROUP BY item_id, doc_id),
+     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents, and what a check of each says after some texts lost their line breaks."""
     docs = table(spark, sf_dir, "documents")
@@ -192,9 +212,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": op8_html,
         "op9_toxicity": op9_toxicity,
         "op10_sharding": op10_sharding,
+        "op11_ranked": op11_ranked,
         "op12_merkle": op12_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op5_substring": OP5_SQL, "op6_embeddings": OP6_SQL, "op12_merkle": OP12_SQL}
+    return {"op2_warc": OP2_SQL, "op5_substring": OP5_SQL, "op6_embeddings": OP6_SQL, "op11_ranked": OP11_SQL, "op12_merkle": OP12_SQL}
