@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, html, merkle, planes, ranked, sharding, simhash, substring, toxicity, warc
+from . import bpe, decontaminate, embeddings, html, merkle, pii, planes, ranked, sharding, simhash, substring, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -200,6 +200,13 @@ FROM w WHERE lvl = depth + (SELECT max(lvl) FROM s)
 """
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of every document."""
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == F.lit(k))).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[of(k) for k in pii.KINDS], F.sha2(pii.told(F.col("base")), 256).alias("base_sha256"), pii.told(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -214,6 +221,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sharding": op10_sharding,
         "op11_ranked": op11_ranked,
         "op12_merkle": op12_merkle,
+        "op13_pii": op13_pii,
     }
 
 
