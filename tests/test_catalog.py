@@ -30,7 +30,7 @@ def test_same_rows_as_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"index_knn", "graph_beam_knn", "graph_range", "kmeanspp_seed"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"index_knn", "graph_beam_knn", "graph_range", "kmeanspp_seed", "knn_graph_descent"}
 
 
 def test_recall_of_the_queries_without_sql(spark):

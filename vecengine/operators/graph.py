@@ -1,4 +1,4 @@
-"""Neighbour graphs: edges by cells, pruning, symmetry, integrity, radius expansion, beam search."""
+"""Neighbour graphs: edges by cells, descent across cells, pruning, symmetry, integrity, radius expansion, beam search."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, stored
 from .search import SCORED, _cells, matrix, ranked
 
 
@@ -21,6 +21,93 @@ def knn_graph(members: DataFrame, degree: int) -> DataFrame:
     return ranked(found.drop("cid"), degree).select(F.col("qid").alias("src"), F.col("vec_id").alias("dst"), F.col("score").alias("dist"))
 
 
+#: Rows of a group that first neighbours are drawn from, and lists whose pairs are compared at once.
+DRAWN, LISTS = 32, 128
+
+_LISTS = "array<struct<node:bigint,fresh:boolean,worst:double,v:array<double>>>"
+
+
+def _first_edges(rows: DataFrame, degree: int, seed: int, draws: int) -> DataFrame:
+    """Edges to the nearest of some DRAWN others, which hashes choose, ``draws`` times."""
+    groups = max(1, -(-rows.count() // DRAWN))
+    parts = [knn_graph(rows.withColumn("cid", F.pmod(F.xxhash64(F.lit(seed + i), "vec_id"), F.lit(groups))), degree) for i in range(draws)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _best_edges(edges: DataFrame, degree: int) -> DataFrame:
+    """Each node's ``degree`` nearest of ``(src, dst, dist, fresh)``; an edge that was there before is not fresh."""
+    once = edges.groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.bool_and("fresh").alias("fresh"))
+    at = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
+    return once.withColumn("at", at).where(F.col("at") <= degree).drop("at")
+
+
+def _closer(batches):
+    """Of each list ``(u, list)`` the pairs, one of them fresh, that are closer than one's worst neighbour; a row of counts a batch (src null)."""
+    for batch in batches:
+        lists = batch.column(1)
+        sizes = np.diff(lists.offsets.to_numpy())
+        order = np.argsort(sizes, kind="stable")
+        compared = 0
+        for a in range(0, len(order), LISTS):
+            some = order[a : a + LISTS]  # lists of about one length
+            part = lists.take(pa.array(some))
+            flat, n = part.flatten(), sizes[some]
+            node, fresh, worst, v = flat.field(0).to_numpy(), flat.field(1).to_numpy(zero_copy_only=False), flat.field(2).to_numpy(), matrix(flat.field(3))
+            if not len(node):
+                continue
+            at = np.full((len(some), n.max()), -1)
+            at[np.arange(n.max()) < n[:, None]] = np.arange(len(node))
+            x = v[at]
+            norm = (x * x).sum(axis=2)
+            d = np.maximum(norm[:, :, None] + norm[:, None, :] - 2 * (x @ x.transpose(0, 2, 1)), 0.0)
+            real = (at[:, :, None] >= 0) & (at[:, None, :] >= 0) & (node[at][:, :, None] != node[at][:, None, :])
+            real &= fresh[at][:, :, None] | fresh[at][:, None, :]
+            compared += int(real.sum()) // 2
+            l, i, j = np.nonzero(real & (d < worst[at][:, :, None]))  # noqa: E741
+            yield pa.RecordBatch.from_arrays([pa.array(node[at[l, i]]), pa.array(node[at[l, j]]), pa.array(d[l, i, j])], ["src", "dst", "dist"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([compared]), pa.array([0.0])], ["src", "dst", "dist"])
+
+
+def descent(vectors: DataFrame, degree: int, start: DataFrame | None = None, width: int | None = None, rounds: int = 12, stop: float = 0.01, seed: int = 1234, told: list | None = None) -> DataFrame:
+    """``(src, dst, dist)``: about each row's ``degree`` nearest others, wherever they are, by neighbour descent.
+
+    From first edges (``start``, and some that hashes draw) each round compares with one another
+    the ends of each node's edges and the nodes with an edge to it (``width`` of those, chosen by a
+    hash), unless neither is new to the list; a node keeps the ``width`` nearest that it has met.
+    So work is in proportion to the rows.  Rounds end when fewer than ``stop`` of the edges changed.
+    A list has at most twice ``width`` vectors, whatever the data; a node that many have an edge to
+    is in as many lists, which are many tasks.  Vectors and ids that are null are left out, and a
+    row's distance from a copy of it is zero.  ``told`` gets each round's ``(compared, changed)``.
+    """
+    width = width or max(24, 3 * degree)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "v").where("vec_id IS NOT NULL AND v IS NOT NULL")
+    first = _first_edges(rows, width, seed, 1 if start is not None else 2)
+    if start is not None:
+        first = first.unionByName(start.select("src", "dst", "dist"))
+    edges = stored(_best_edges(first.withColumn("fresh", F.lit(True)), width), "graph-edges")
+    total = max(1, edges.count())
+    for nth in range(rounds):
+        worst = edges.groupBy(F.col("src").alias("vec_id")).agg(F.when(F.count("*") >= width, F.max("dist")).otherwise(F.lit(float("inf"))).alias("worst"))
+        known = rows.join(worst, "vec_id", "left").select(F.col("vec_id").alias("node"), F.coalesce("worst", F.lit(float("inf"))).alias("worst"), "v")
+        by_hash = Window.partitionBy("u").orderBy(F.xxhash64(F.lit(seed + nth), "node"))
+        back = edges.select(F.col("dst").alias("u"), F.col("src").alias("node"), "fresh").withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= width).drop("at")
+        lists = edges.select(F.col("src").alias("u"), F.col("dst").alias("node"), "fresh").unionByName(back)
+        lists = lists.groupBy("u", "node").agg(F.bool_or("fresh").alias("fresh")).join(known, "node")
+        lists = lists.groupBy("u").agg(F.collect_list(F.struct("node", "fresh", "worst", "v")).cast(_LISTS).alias("list")).where(F.exists("list", lambda x: x["fresh"]))
+        met = stored(lists.mapInArrow(_closer, "src long, dst long, dist double"), "graph-met")
+        now = edges.withColumn("fresh", F.lit(False)).unionByName(met.where("src IS NOT NULL").withColumn("fresh", F.lit(True)))
+        edges = stored(_best_edges(now, width), "graph-edges")
+        changed = edges.where("fresh").count()
+        if told is not None:
+            told.append((met.where("src IS NULL").agg(F.sum("dst")).first()[0] or 0, changed))
+        if changed <= stop * total:
+            break
+    return _best_edges(edges, degree).select("src", "dst", "dist")
+
+
 def symmetrize(edges: DataFrame, most: int) -> DataFrame:
     """Edges both ways, each node with the ``most`` nearest of its own; equal distances by id."""
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist"))

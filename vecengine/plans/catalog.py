@@ -672,6 +672,12 @@ def graph_radius_expand(t):
     return answer(graph.radius_expand(seeds, edges, t.e, t.q, 1.6))
 
 
+@query()
+def knn_graph_descent(t):
+    """Each row's nearest others wherever they are, by neighbour descent."""
+    return graph.descent(t.e, DEGREE).withColumn("dist", F.round("dist", 6))
+
+
 # The index.
 
 
