@@ -16,6 +16,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, stored
-from .substring import DOC_BITS, _held, _id_bits
+from .substring import DOC_BITS, _has, _id_bits, _mixed
 
 # HTML's elements by their part in a page.
 BLOCKS = frozenset(
@@ -349,6 +350,28 @@ def extract(page: str, mains: set[int], others: set[int], texts: set[int]) -> st
     return "\n".join(kept)
 
 
+def _distinct(hashed: DataFrame) -> list[DataFrame]:
+    """Tables of ``(page_id, text, url)`` that have each host's pages of equal 128-bit hashes once.
+
+    A filter of fixed size holds the hashes that are there more than once.  Pages that are not in
+    it are the first table as they are; those that are in it (with some that are there by chance, all
+    of them where the filter is full) are told apart exactly, with one row left of each before the shuffle.
+    """
+    again = hashed.groupBy("host", "h0", "h1").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h0").alias("doc_id"))
+    held = hashed.sparkSession.sparkContext.broadcast(_id_bits(again, DOC_BITS))
+
+    def part(inside: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.frombuffer(held.value, np.uint8)
+            for batch in batches:
+                found = _has(bits, _mixed(batch.column(4).to_numpy().view(np.uint64)) >> np.uint64(64 - DOC_BITS))
+                yield batch.filter(pa.array(found if inside else ~found))
+
+        return hashed.mapInArrow(run, hashed.schema)
+
+    return [df.select("page_id", "text", "url") for df in (part(False), part(True).dropDuplicates(["host", "h0", "h1"]))]
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every row: the blocks of its main slots, joined by line breaks.
 
@@ -359,9 +382,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("text"), F.col(url_col).alias("url"))
     where = F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    firsts = source.groupBy(where.alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).agg(F.min("page_id").alias("doc_id"))
-    once = source.sparkSession.sparkContext.broadcast(_id_bits(firsts.where("doc_id IS NOT NULL").select("doc_id"), DOC_BITS))
-    distinct = source.where("page_id IS NOT NULL").mapInArrow(lambda batches: (_held(b, DOC_BITS, once.value) for b in batches), "page_id long, text string, url string")
+    hashed = source.where("page_id IS NOT NULL").select("page_id", "text", "url", where.alias("host"), *[F.xxhash64(F.coalesce("text", F.lit("")), F.lit(i)).alias(f"h{i}") for i in (0, 1)])
+    distinct = _distinct(hashed)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3).compress
@@ -378,7 +400,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             columns = [*batch.columns[:2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
-    told = stored(tokens(distinct), "html-tokens")
+    told = stored(tokens(distinct[0].unionByName(distinct[1])), "html-tokens")
     hosts = stored(template(told), "html-templates")
     discard(told)
     joined = source.mapInArrow(pack, "page_id long, url string, host string, packed binary").join(hosts, "host", "left")
