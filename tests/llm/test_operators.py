@@ -478,9 +478,24 @@ def test_the_sample_is_bounded_and_the_same_in_every_run(spark, monkeypatch):
     told = toxicity.labelled(make(rows), labels)
     assert told == toxicity.labelled(make(rows[::-1]).repartition(7), labels)
     assert len(told[0]) == len(told[1]) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in [*range(60), 70, 71])
-    monkeypatch.setattr(toxicity, "MOST_BYTES", 1000)
-    few = toxicity.labelled(make(rows), labels)
-    assert 0 < sum(len(t.encode()) for t in few[0]) <= 1000 and set(few[0]) <= set(told[0])
+    assert max(len(t) for t in told[0]) < 300
+    # a text over the bound costs the others nothing, and is cut only where it is needed
+    monkeypatch.setattr(toxicity, "MOST_TEXT", 300)
+    long = [(i, "many words " * 100 if i == 4 else t) for i, t in rows]
+    assert sum(len(t) > 300 for t in toxicity.labelled(make(long), labels, most=(9, 9))[0]) == 0
+    whole = toxicity.labelled(make(long), labels)
+    assert len(whole[0]) == len(told[0]) and len(set(told[0]) - set(whole[0])) <= 1 and max(map(len, whole[0])) == 300
+
+
+def test_copies_of_pages_count_once_even_where_the_filter_is_full(spark, monkeypatch):
+    page = lambda i: f"<html><body><div class='menu'><p>Home and news and contact</p></div><div><p>{prose(900 + i, 30)}</p></div></body></html>"
+    rows = [(i, "http://a.org/x", page(i)) for i in range(6)] + [(100 + i, f"http://a.org/{i}", page(2)) for i in range(60)] + [(300, "http://a.org/x", page(2))] * 2
+    make = lambda: spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    found = {(r.page_id, r.text) for r in html.main_text(make()).collect()}
+    alone = {(r.page_id, r.text) for r in html.main_text(make().where("page_id < 6")).collect()}
+    assert alone <= found and len({t for i, t in found if i == 2 or i >= 100}) == 1
+    monkeypatch.setattr(html, "_id_bits", lambda ids, bits: b"\xff" * (1 << bits >> 3))
+    assert {(r.page_id, r.text) for r in html.main_text(make()).collect()} == found
 
 
 def test_without_labels_of_both_kinds(spark):

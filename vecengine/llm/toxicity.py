@@ -25,9 +25,9 @@ SPAN, STEP = 32, 16
 WORD_ROWS, GRAM_ROWS, WIDTH, STATES = 8192, 4096, 8, 8
 #: A text with that score or more is toxic.
 TOXIC = 0.3
-#: The fit uses at most so many labelled rows with label 1 and with label 0, by order of a hash of the id, and of those
-#: as many as have so many bytes of text together.
-MOST_TOXIC, MOST_CLEAN, MOST_BYTES = 1000, 1600, 64 << 20
+#: The fit uses at most so many labelled rows with label 1 and with label 0, by order of a hash of the id.  A text of
+#: more bytes is only taken where shorter ones do not fill that number, and then as many of its characters.
+MOST_TOXIC, MOST_CLEAN, MOST_TEXT = 1000, 1600, 32 << 10
 EPOCHS, RATE, BATCH, HIDE = 14, 0.01, 128, 0.5
 #: Distinct words that a worker keeps the inputs of.
 KEPT_WORDS = 200_000
@@ -265,24 +265,24 @@ def labelled(
     """A bounded sample of labelled texts, their labels, and the share of label 1 among all rows that may be learnt from.
 
     Rows whose crc32 of the id's digits is 2 modulo 4 are never learnt from.  At most ``most`` rows
-    of either label are taken, by order of a hash of the id, and of them as many as have MOST_BYTES
-    of text together; they alone reach the driver, as do their ids and one row of counts.  Of
-    repeated labels the greatest counts, of repeated ids one text; null labels and ids are left out.
+    of either label are taken, those of at most MOST_TEXT bytes first, by order of a hash of the id;
+    they alone reach the driver (so its bytes have a bound, and one long text costs the others
+    nothing), as do their ids and one row of counts.  Of repeated labels the greatest counts, of
+    repeated ids one text; null labels and ids are left out.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).groupBy("doc_id").agg(F.max("y").alias("y"))
-    known = known.join(docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").cache()
+    sizes = docs.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.coalesce(F.max(F.octet_length(text_col)), F.lit(0)).alias("b"))
+    known = known.join(sizes, "doc_id").cache()
     share = known.agg(F.avg("y")).first()[0] or 0.0
-    picked = [known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in enumerate(most)]
+    picked = [known.where(F.col("y") == k).orderBy(F.col("b") > MOST_TEXT, F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", "y") for k, n in enumerate(most)]
     sample = docs.sparkSession.createDataFrame(picked[0].union(picked[1]).collect(), "doc_id long, y int")
     texts = ids_and_texts(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")
     # of rows of one id the text of least hash, so that the same texts are learnt from in every run
-    one = texts.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("b"))).alias("x"))
-    upto = F.sum(F.coalesce("x.b", F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # as many rows as the sample has
-    taken = one.withColumn("upto", upto).where(F.col("upto") <= MOST_BYTES).select("doc_id", F.col("x.h").alias("h"))
-    held = docs.sparkSession.createDataFrame(taken.collect(), "doc_id long, h long")
-    # both bounds hold for what is collected
-    rows = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(held), ["doc_id", "h"]).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    one = texts.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("h"))
+    held = docs.sparkSession.createDataFrame(one.collect(), "doc_id long, h long")
+    short = F.when(F.octet_length("text") > MOST_TEXT, F.substring("text", 1, MOST_TEXT)).otherwise(F.col("text"))
+    rows = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(held), ["doc_id", "h"]).select("doc_id", "y", short.alias("text")).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     known.unpersist()
     return [r.text or "" for r in rows], [r.y for r in rows], float(share)
 
