@@ -163,12 +163,12 @@ def test_index_round_trip(spark, x, tmp_path, coded):
     assert len(pairs(index.knn_by_graph(q, 5, 40, 4)) & want) >= 40
 
 
-def test_a_probe_reads_the_partitions_of_its_cells_only(spark, x, tmp_path):
+def test_a_probe_reads_the_ranges_of_its_cells_only(spark, x, tmp_path):
     index = VectorIndex.build(table(spark, x), str(tmp_path / "i"), IndexParams(clusters=6, block_bytes=512, sample=2))
     q = table(spark, x[:1], "qid", "qv")
     found = index.knn(q, 5, 2)
     plan = found._jdf.queryExecution().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*cid", plan)
+    assert re.search(r"PushedFilters: \[[^\]]*key", plan)
     cells = search.probe(q, index._keyed()[1], 2).select("cid")
     rows = index._keyed()[0].join(cells, "cid", "left_semi").count()
     assert found.count() == 5 and 0 < rows <= 2 * 15 < index.rows

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .operators import cluster, evaluate, graph, quantize, search
 from .session import stored
 
+#: Nodes of the graph that a part has, about; and parts at most (beyond, they grow and are split by distance).
+PART_NODES, MOST_ROUTES = 512, 65_536
 #: Bytes of the vectors that first centroids are drawn from; they go through the driver.
 SEED_BYTES = 256 << 20
 
@@ -39,15 +41,18 @@ class IndexParams:
 
 
 class VectorIndex:
-    """Tables ``members`` (partitioned by cluster), ``blocks``, ``graph``, ``clusters``, ``bounds`` and ``manifest`` in one folder.
-
-    A block's key is its cluster times 2 ** 40 plus its number, whose bits from 2 ** 20 on are its
-    part.  The graph is over blocks' centroids (and with ``sample`` over 1 over as many of their
-    farthest rows less one), with edges inside a part, so each part is searched by itself.
+    """Tables ``members``, ``blocks``, ``graph``, ``routes``, ``clusters``, ``bounds`` and ``manifest`` in one folder.
+
+    A block's key is its cluster times 2 ** 40 plus its number.  ``members`` is sorted by key, in
+    small row groups, so that a search reads the pages of the blocks that it probes.  The graph is over
+    blocks' centroids (and with ``sample`` over 1 over as many of their farthest rows less one), by
+    neighbour descent, whatever their clusters.  Its nodes are put together in parts of close ones,
+    some hundreds each; ``routes`` has the parts' centroids, so that a query starts in a few
+    parts, however many there are, and goes on where edges lead.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self._checked = spark, path, False
         row = spark.read.parquet(f"{path}/manifest").first()
         self.dim, self.rows = row.dim, row.rows
         self.params = IndexParams(**{k: row[k] for k in IndexParams.__dataclass_fields__})
@@ -77,7 +82,8 @@ class VectorIndex:
         packed = stored(cluster.pack_clusters(search.assign(rows, trained), size, params.seed), "index-packed")
         lo, hi = quantize.bounds(quantize.train(rows)) if params.coded else ([], [])
         kept = packed.withColumn("v", quantize.encode(F.col("v"), lo, hi)) if params.coded else packed
-        kept.repartition("cid", F.floor(F.col("block_id") / 64)).sortWithinPartitions("cid", "block_id", "vec_id").write.partitionBy("cid").parquet(f"{path}/members")
+        laid = kept.select((F.col("cid") * F.lit(1 << 40) + F.col("block_id")).alias("key"), "vec_id", "v").repartitionByRange("key").sortWithinPartitions("key", "vec_id")
+        laid.write.option("parquet.block.size", 4 << 20).option("parquet.page.size", 64 << 10).option("parquet.page.row.count.limit", 256).parquet(f"{path}/members")
         keyed = packed.select((F.col("cid") * F.lit(1 << 40) + F.col("block_id")).alias("cid"), "vec_id", "v")
         near = quantize.decode(quantize.encode(F.col("v"), lo, hi), lo, hi) if params.coded else F.col("v")
         blocks = stored(cluster.centroids(keyed).withColumnRenamed("cid", "key"), "index-blocks")
@@ -93,8 +99,12 @@ class VectorIndex:
             others = far.withColumn("at", at).where(F.col("at") < params.sample)
             nodes = nodes.unionByName(others.select(F.shiftright("key", 20).alias("cid"), (F.col("key") * 16 + F.col("at")).alias("vec_id"), "v"))
         nodes = stored(nodes, "index-nodes")
-        edges = graph.symmetrize(graph.diverse(graph.knn_graph(nodes, params.degree), nodes, params.degree), 2 * params.degree)
-        graph.adjacency(nodes, edges).write.parquet(f"{path}/graph")
+        near_by = graph.knn_graph(nodes, params.degree)
+        edges = graph.descent(nodes.select("vec_id", "v"), params.degree, start=near_by, width=2 * params.degree, seed=params.seed)
+        edges = graph.symmetrize(graph.diverse(edges, nodes, params.degree), 2 * params.degree)
+        parted = stored(_parted(nodes.select("vec_id", "v"), params.seed), "index-parts")
+        cluster.centroids(parted).write.parquet(f"{path}/routes")
+        graph.adjacency(parted, edges).repartitionByRange("cid").sortWithinPartitions("cid", "vec_id").write.option("parquet.block.size", 4 << 20).parquet(f"{path}/graph")
         trained.write.parquet(f"{path}/clusters")
         spark.createDataFrame(list(enumerate(zip(lo, hi, strict=True))) or [], "dim int, range struct<lo:double,hi:double>").write.parquet(f"{path}/bounds")
         manifest = asdict(params) | {"dim": int(told.dim), "rows": int(told.n)}
@@ -109,30 +119,38 @@ class VectorIndex:
         return self._table("blocks")
 
     def graph(self) -> DataFrame:
-        """``(cid, vec_id, v, links)`` of every node: its part, its number (16 times its block's key, and which of the block's), its edges' ends."""
+        """``(cid, vec_id, v, links, parts)`` of every node: its part, its number (16 times its block's key, and which of the block's), its edges' ends and their parts.
+
+        The edges are checked once a loaded index.
+        """
         found = self._table("graph")
-        dangling = found.select(F.explode("links").alias("vec_id")).join(found.select("vec_id"), "vec_id", "left_anti")
-        if not dangling.isEmpty():
-            raise ValueError("the graph has edges to nodes that are not there")
+        if not self._checked:
+            dangling = found.select(F.explode("links").alias("vec_id")).join(found.select("vec_id"), "vec_id", "left_anti")
+            if not dangling.isEmpty():
+                raise ValueError("the graph has edges to nodes that are not there")
+            self._checked = True
         return found
 
     def members(self) -> DataFrame:
         """``(cid, block_id, vec_id, v)`` of every row; codes are decoded."""
-        rows = self._table("members").withColumn("cid", F.col("cid").cast("long"))
+        return self._rows().select(F.shiftright("key", 40).alias("cid"), F.col("key").bitwiseAND((1 << 40) - 1).alias("block_id"), "vec_id", "v")
+
+    def _rows(self) -> DataFrame:
+        rows = self._table("members")
         if not self.params.coded:
             return rows
         told = [r["range"] for r in self._table("bounds").orderBy("dim").collect()]
         return rows.withColumn("v", quantize.decode(F.col("v"), [r.lo for r in told], [r.hi for r in told]))
 
     def _keyed(self) -> tuple[DataFrame, DataFrame]:
-        """Members and block centroids under one number a block; ``part`` is the members' cluster."""
+        """Members and block centroids under one number a block, which the members' files are sorted by."""
         key = F.col("cid") * F.lit(1 << 40) + F.col("block_id")
-        return self.members().select(F.col("cid").alias("part"), key.alias("cid"), "vec_id", "v"), self.blocks().select(key.alias("cid"), "c", "reach")
+        return self._rows().select(F.col("key").alias("cid"), "vec_id", "v"), self.blocks().select(key.alias("cid"), "c", "reach")
 
     def knn(self, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
         """``(qid, rank, vec_id, score)``: the k best in the nprobe best blocks of each query."""
         members, blocks = self._keyed()
-        return search.ivf_knn(queries, members, blocks, k, nprobe, self.params.metric, F.shiftright("cid", 40))
+        return search.ivf_knn(queries, members, blocks, k, nprobe, self.params.metric, True)
 
     def probes_for(self, k: int, recall: float = 0.9, queries: int = 64) -> int:
         """How many blocks to probe for ``recall`` of the k best: doubled until rows of the index, asked as queries, reach it.
@@ -152,22 +170,20 @@ class VectorIndex:
             n *= 2
         return most
 
-    def _beam(self, queries: DataFrame, parts: int, width: int) -> DataFrame:
-        """``(qid, rank, vec_id, score)``: the nodes that a beam of ``width`` finds in the parts of the nearest clusters."""
-        near = search.probe(queries, self._table("clusters"), parts).select("qid", F.col("cid").alias("cluster"))
-        held = self.graph()
-        known = held.select("cid", F.shiftright("cid", 20).alias("cluster")).distinct()
-        return graph.beam_knn(near.join(known, "cluster"), queries, held, width, width)
+    def walk(self, queries: DataFrame, parts: int, width: int, told: list | None = None) -> DataFrame:
+        """``(qid, rank, vec_id, score)``: the nodes that a beam of ``width`` finds from the ``parts`` nearest parts, and as many that edges lead to."""
+        near = search.probe(queries, self._table("routes"), parts).select("qid", "cid")
+        return graph.beam_knn(near, queries, self.graph(), width, width, parts=parts, told=told)
 
-    def knn_by_graph(self, queries: DataFrame, k: int, nprobe: int, parts: int) -> DataFrame:
-        """``(qid, rank, vec_id, score)``: the k best in up to ``nprobe`` blocks that a beam finds in the graph of ``parts`` clusters."""
+    def knn_by_graph(self, queries: DataFrame, k: int, nprobe: int, parts: int = 4, told: list | None = None) -> DataFrame:
+        """``(qid, rank, vec_id, score)``: the k best in up to ``nprobe`` blocks that a beam finds in the graph from ``parts`` parts."""
         if self.params.metric != "l2":
             raise ValueError("the graph has squared distances; use knn for inner products")
-        found = self._beam(queries, parts, max(self.params.beam, nprobe * self.params.sample))
+        found = self.walk(queries, parts, max(self.params.beam, nprobe * self.params.sample), told)
         blocks = found.groupBy("qid", F.shiftright("vec_id", 4).alias("cid")).agg(F.min("score").alias("score"))
         at = F.row_number().over(Window.partitionBy("qid").orderBy("score", "cid"))
         probes = stored(blocks.withColumn("at", at).where(F.col("at") <= nprobe).select("qid", "cid"), "index-probes")
-        return search.in_cells(probes, queries, self._keyed()[0], k, "l2", F.shiftright("cid", 40))
+        return search.in_cells(probes, queries, self._keyed()[0], k, "l2", True)
 
     def range(self, queries: DataFrame, radius: float, factor: float | None = None) -> DataFrame:
         """``(qid, vec_id, score)``: all rows within ``radius``.
@@ -179,12 +195,11 @@ class VectorIndex:
         if self.params.metric != "l2":
             raise ValueError("a range search wants squared distances; use search.within for inner products")
         members, blocks = self._keyed()
-        part = F.shiftright("cid", 40)
         if factor is not None:
-            return search.ivf_range(queries, members, blocks, radius, factor, part)
-        return search.range_pruned(queries, members, blocks, radius, blocks.select("cid", "reach"), part)
+            return search.ivf_range(queries, members, blocks, radius, factor, True)
+        return search.range_pruned(queries, members, blocks, radius, blocks.select("cid", "reach"), True)
 
-    def range_by_graph(self, queries: DataFrame, radius: float, parts: int, seeds: int = 20, factor: float = 1.0) -> DataFrame:
+    def range_by_graph(self, queries: DataFrame, radius: float, parts: int = 4, seeds: int = 20, factor: float = 1.0) -> DataFrame:
         """``(qid, vec_id, score)``: rows within ``radius`` in the blocks that the graph leads to.
 
         A beam finds ``seeds`` nodes a query; from them the edges are followed over nodes within
@@ -192,9 +207,24 @@ class VectorIndex:
         """
         if self.params.metric != "l2":
             raise ValueError("a range search wants squared distances")
-        start = self._beam(queries, parts, max(self.params.beam, seeds)).where(F.col("rank") <= seeds).select("qid", "vec_id")
+        start = self.walk(queries, parts, max(self.params.beam, seeds)).where(F.col("rank") <= seeds).select("qid", "vec_id")
         nodes = self.graph()
         edges = nodes.select(F.col("vec_id").alias("src"), F.explode("links").alias("dst"))
         met = graph.radius_expand(start, edges, nodes, queries, radius * factor)
         probes = stored(met.select("qid", F.shiftright("vec_id", 4).alias("cid")).distinct(), "index-probes")
-        return search._cells(probes, queries, self._keyed()[0], "l2", None, radius, F.shiftright("cid", 40)).drop("cid")
+        return search._cells(probes, queries, self._keyed()[0], "l2", None, radius, True).drop("cid")
+
+
+def _parted(nodes: DataFrame, seed: int) -> DataFrame:
+    """``(cid, vec_id, v)``: nodes in parts of close ones, about PART_NODES each; parts are numbered from 0."""
+    n = nodes.count()
+    k = max(1, min(MOST_ROUTES, -(-n // PART_NODES)))
+    sample = cluster.hash_sample(nodes, min(n, 64 * k), seed).cache()
+    start = sample.orderBy(F.xxhash64("vec_id"), "vec_id").limit(k)
+    numbered = start.select((F.row_number().over(Window.orderBy(F.xxhash64("vec_id"), "vec_id")) - 1).cast("long").alias("cid"), F.col("v").alias("c"))  # k rows
+    cents = cluster.lloyd(sample, numbered, 5)
+    sample.unpersist()
+    dealt = cluster._parts(search.assign(nodes, cents).select("cid", "vec_id", "v"), seed)
+    known = dealt.select("cid", "part").distinct()  # a row a part
+    known = known.withColumn("nth", (F.row_number().over(Window.orderBy("cid", "part")) - 1).cast("long"))
+    return dealt.join(known, ["cid", "part"]).select(F.col("nth").alias("cid"), "vec_id", "v")

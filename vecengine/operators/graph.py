@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -168,58 +166,141 @@ def radius_expand(seeds: DataFrame, edges: DataFrame, vectors: DataFrame, querie
     raise RuntimeError(f"no end after {rounds} rounds")
 
 
-def _beam(q: np.ndarray, x: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> list[tuple[float, int]]:
-    """The ``width`` nearest nodes that a best-first search finds, as distance and place."""
-    entries = range(0, len(x), max(1, len(x) // 8)) if len(x) else ()
-    seen = set(entries)
-    open_ = [(float(((x[i] - q) ** 2).sum()), i) for i in entries]
-    best = [(-d, -i) for d, i in open_]
-    heapq.heapify(open_)
-    heapq.heapify(best)
-    while len(best) > width:
-        heapq.heappop(best)
-    while open_:
-        d, i = heapq.heappop(open_)
-        if len(best) >= width and d > -best[0][0]:
-            break
-        new = [j for j in ends[starts[i] : starts[i + 1]].tolist() if j not in seen]
-        seen.update(new)
-        for j, e in zip(new, ((x[new] - q) ** 2).sum(axis=1).tolist() if new else (), strict=True):
-            heapq.heappush(open_, (e, j))
-            heapq.heappush(best, (-e, -j))
-            if len(best) > width:
-                heapq.heappop(best)
-    return sorted((-d, -i) for d, i in best)
+#: Nodes of a part whose edges are followed at once, and those of a part's levels: one in so many.
+EXPANDED, LEVEL = 4, 16
+#: Queries of a part that one task searches; found nodes whose edges out of the part are handed over.
+ASKED, HANDED = 1024, 8
+
+WALKED = "qid long, vec_id long, score double, part long, scored long"
 
 
 def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(cid, vec_id, v, links)``: each node of ``nodes`` with the ends of its edges, as many as its degree."""
-    links = edges.groupBy(F.col("src").alias("vec_id")).agg(F.array_sort(F.collect_list("dst")).alias("links"))
-    return nodes.select("cid", "vec_id", "v").join(links, "vec_id", "left").select("cid", "vec_id", "v", F.coalesce("links", F.array().cast("array<long>")).alias("links"))
+    """``(cid, vec_id, v, links, parts)``: each node of ``nodes`` with the ends of its edges, and the part ``cid`` of each end."""
+    ends = edges.select("src", "dst").join(nodes.select(F.col("vec_id").alias("dst"), F.col("cid").alias("part")), "dst")
+    links = ends.groupBy(F.col("src").alias("vec_id")).agg(F.array_sort(F.collect_list(F.struct("dst", "part"))).alias("x"))  # as many as its degree
+    none = F.array().cast("array<long>")
+    told = nodes.select("cid", "vec_id", "v").join(links, "vec_id", "left")
+    return told.select("cid", "vec_id", "v", F.coalesce(F.transform("x", lambda e: e["dst"].cast("long")), none).alias("links"), F.coalesce(F.transform("x", lambda e: e["part"].cast("long")), none).alias("parts"))
 
 
-def beam_knn(probes: DataFrame, queries: DataFrame, graph: DataFrame, k: int, width: int) -> DataFrame:
-    """``(qid, rank, vec_id, score)``: approximate k nearest nodes by best-first search in the groups that each query probes.
+def _walk(q: np.ndarray, x: np.ndarray, ends: np.ndarray, upper: np.ndarray, entries: tuple[np.ndarray, np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distances of the nodes that each query has met (others are infinite), and whether their edges were followed.
 
-    ``graph`` has a row a node as :func:`adjacency` gives it, in groups ``cid`` of bounded size
-    with edges inside them; ``probes`` is ``(qid, cid)``.  A group is searched in one task, by all
-    queries that probe it, so no graph is gathered anywhere.
+    ``ends`` has a row a node, filled up with -1.  A query enters at the nodes of ``entries`` (its number and a
+    node's), or without any at the nearest of the nodes of the ``upper`` level, and then follows the edges of the
+    nearest nodes that it has met, for all queries at once, until none of its ``width`` nearest is left to follow.
     """
-    asked = probes.select("qid", "cid").distinct().join(queries.select("qid", "qv"), "qid").select(F.col("cid").alias("of"), F.col("qid").cast("long").alias("qid"), "qv")
+    dist, done = np.full((len(q), len(x)), np.inf), np.zeros((len(q), len(x)), bool)
+
+    def meet(i: np.ndarray, j: np.ndarray) -> None:
+        new = np.isinf(dist[i, j])
+        i, j = i[new], j[new]
+        dist[i, j] = ((x[j] - q[i]) ** 2).sum(axis=1)
+
+    meet(*entries)
+    lost = np.flatnonzero(np.isinf(dist).all(axis=1))
+    meet(np.repeat(lost, len(upper)), np.tile(upper, len(lost)))
+    live = np.arange(len(q))
+    while len(live):
+        d = dist[live]
+        edge = np.partition(d, width - 1, axis=1)[:, width - 1] if d.shape[1] > width else np.full(len(live), np.inf)
+        d[done[live]] = np.inf
+        step = min(EXPANDED, d.shape[1])
+        best = np.argpartition(d, step - 1, axis=1)[:, :step]
+        good = np.take_along_axis(d, best, axis=1)
+        good = (good <= edge[:, None]) & np.isfinite(good)
+        i, k = np.nonzero(good)
+        i, j = live[i], best[i, k]
+        done[i, j] = True
+        to = ends[j]
+        at, k = np.nonzero(to >= 0)
+        pairs = np.unique(np.stack([i[at], to[at, k]]), axis=1)
+        meet(pairs[0], pairs[1])
+        live = live[good.any(axis=1)]
+    return dist, done
+
+
+def walk(starts: DataFrame, queries: DataFrame, graph: DataFrame, width: int) -> DataFrame:
+    """One round in the parts that each query starts in, as rows of WALKED.
+
+    ``starts`` is ``(qid, cid, vec_id)``: a part and a node of it to enter at (null: the part's
+    upper level, one in LEVEL of its nodes, chosen by a hash).  ``graph`` is that of :func:`adjacency`, in
+    parts of bounded size.  A part is searched in one task by up to ASKED queries, so a part that all
+    queries start in is many tasks.  Rows with a score are nodes found (``width`` a query and part);
+    rows with a part hand a query over to a node there that an edge leads to; rows with ``scored``
+    tell how many distances a query took.
+    """
+    s = starts.select("qid", F.col("cid").alias("of"), "vec_id").join(queries.select("qid", "qv"), "qid")
+    count = s.groupBy("of").agg(F.ceil(F.count_distinct("qid") / ASKED).cast("int").alias("nb"))
+    asked = s.join(count, "of").select("of", F.pmod(F.xxhash64("qid"), "nb").cast("int").alias("b"), F.col("qid").cast("long").alias("qid"), "qv", F.col("vec_id").cast("long").alias("vec_id"))
+    held = graph.join(count.select(F.col("of").alias("cid"), "nb"), "cid").select("cid", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("nth"), "vec_id", "v", "links", "parts")
 
     def run(nodes: pa.Table, asked: pa.Table) -> pa.Table:
-        out = ([], [], [])
+        out: list[list] = [[], [], [], [], []]
+
+        def put(qid, vec_id, score, part, scored) -> None:
+            for to, c in zip(out, (qid, vec_id, score, part, scored), strict=True):
+                to.append(pa.array(c, from_pandas=True) if c is not None else pa.nulls(len(qid)))
+
         if nodes.num_rows and asked.num_rows:
             nodes = nodes.sort_by("vec_id")
             ids, x = nodes["vec_id"].to_numpy(), matrix(nodes["v"])
             links = nodes["links"].combine_chunks()
-            dst, sizes = links.flatten().to_numpy(), np.diff(links.offsets.to_numpy())
-            at = np.minimum(np.searchsorted(ids, dst), len(ids) - 1)
-            known = ids[at] == dst
-            starts = np.concatenate(([0], np.cumsum(np.add.reduceat(np.append(known, False), np.minimum(np.cumsum(sizes) - sizes, len(known))) * (sizes > 0))))
-            for qid, q in zip(asked["qid"].to_pylist(), matrix(asked["qv"]), strict=True):
-                for d, i in _beam(q, x, starts.astype(np.int64), at[known], max(width, k))[:k]:
-                    out[0].append(qid), out[1].append(int(ids[i])), out[2].append(d)
-        return pa.table({"qid": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    return ranked(graph.groupBy("cid").cogroup(asked.groupBy("of")).applyInArrow(run, SCORED), k)
+            dst, sizes, parts = links.flatten().to_numpy(), np.diff(links.offsets.to_numpy()), nodes["parts"].combine_chunks().flatten().to_numpy()
+            src, column = np.repeat(np.arange(len(ids)), sizes), np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else np.zeros(0, int)
+            place = np.minimum(np.searchsorted(ids, dst), len(ids) - 1)
+            inside = ids[place] == dst
+            ends = np.full((len(ids), max(1, sizes.max(initial=0))), -1)
+            ends[src[inside], column[inside]] = place[inside]
+            mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # a fixed odd constant
+            upper = np.argsort(mixed, kind="stable")[: max(8, len(ids) // LEVEL)]
+            qids, first, of = np.unique(asked["qid"].to_numpy(), return_index=True, return_inverse=True)
+            q = matrix(asked["qv"])[first]
+            given = asked["vec_id"].combine_chunks()
+            has = given.is_valid().to_numpy(zero_copy_only=False)
+            nth = np.minimum(np.searchsorted(ids, given.fill_null(0).to_numpy()), len(ids) - 1)
+            has &= ids[nth] == given.fill_null(-1).to_numpy()
+            dist, done = _walk(q, x, ends, upper, (of[has], nth[has]), width)
+            best = np.argsort(dist, axis=1, kind="stable")[:, :width]
+            d = np.take_along_axis(dist, best, axis=1)
+            i, k = np.nonzero(np.isfinite(d))
+            put(qids[i], ids[best[i, k]], d[i, k], None, None)
+            put(qids, None, None, None, np.isfinite(dist).sum(axis=1))
+            # edges out of the part from the nearest nodes
+            outside = np.flatnonzero(~inside)
+            from_, to = np.searchsorted(src[outside], np.arange(len(ids))), np.searchsorted(src[outside], np.arange(len(ids)), side="right")
+            i, k = np.nonzero(np.isfinite(d[:, :HANDED]))
+            j = best[i, k]
+            n = to[j] - from_[j]
+            e = outside[np.repeat(from_[j] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())] if n.sum() else np.zeros(0, int)
+            put(np.repeat(qids[i], n), dst[e], None, parts[e], None)
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        return pa.table({f.split()[0]: pa.chunked_array([c.cast(k) for c in cs], k) for f, cs, k in zip(WALKED.split(", "), out, kinds, strict=True)})
+
+    return held.groupBy("cid", "nth").cogroup(asked.groupBy("of", "b")).applyInArrow(run, WALKED)
+
+
+def beam_knn(starts: DataFrame, queries: DataFrame, graph: DataFrame, k: int, width: int, hops: int = 1, parts: int = 4, told: list | None = None) -> DataFrame:
+    """``(qid, rank, vec_id, score)``: approximate k nearest nodes by best-first search from where each query starts.
+
+    After a round in the parts of ``starts`` (``(qid, cid)``, with ``vec_id`` a node to enter at) a
+    query goes on, ``hops`` times, in up to ``parts`` other parts: those that most edges of its nearest
+    nodes lead to, entered at those edges' ends.  ``told`` gets each round's ``(query-part pairs, distances)``.
+    """
+    starts = starts.withColumn("vec_id", F.lit(None).cast("long")) if "vec_id" not in starts.columns else starts
+    starts = stored(starts.select("qid", "cid", "vec_id").distinct(), "graph-starts")
+    been, found = starts.select("qid", "cid").distinct(), None
+    for hop in range(hops + 1):
+        met = stored(walk(starts, queries, graph, max(width, k)), "graph-walk")
+        if told is not None:
+            told.append(tuple(met.where("scored IS NOT NULL").agg(F.count("*"), F.coalesce(F.sum("scored"), F.lit(0))).first()))
+        nodes = met.where("score IS NOT NULL").select("qid", "vec_id", "score")
+        found = nodes if found is None else found.unionByName(nodes)
+        if hop == hops:
+            break
+        out = met.where("part IS NOT NULL").select("qid", F.col("part").alias("cid"), "vec_id").join(been, ["qid", "cid"], "left_anti")
+        at = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("n"), "cid"))
+        chosen = out.groupBy("qid", "cid").agg(F.count("*").alias("n")).withColumn("at", at).where(F.col("at") <= parts).select("qid", "cid")
+        starts = stored(out.join(chosen, ["qid", "cid"]).distinct(), "graph-starts")
+        been = been.unionByName(chosen)
+    return ranked(found.dropDuplicates(["qid", "vec_id"]), k)

@@ -715,13 +715,13 @@ def index_range(t):
 @query()
 def graph_beam_knn(t):
     index = _index(t)
-    return answer(index.knn_by_graph(t.q, K, index.probes_for(K), index.params.clusters))
+    return answer(index.knn_by_graph(t.q, K, index.probes_for(K)))
 
 
 @query()
 def graph_range(t):
     index = _index(t)
-    return answer(index.range_by_graph(t.q, RADIUS, index.params.clusters, factor=1.2))
+    return answer(index.range_by_graph(t.q, RADIUS, factor=1.2))
 
 
 @query(_sql("SELECT cid, count(*) AS rows, true AS fit FROM a GROUP BY cid", _E, _C, _A))
