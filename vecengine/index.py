@@ -12,7 +12,7 @@ from .session import stored
 
 #: Nodes of the graph that a part has, about; and parts at most (beyond, they grow and are split by distance).
 PART_NODES, MOST_ROUTES = 512, 65_536
-#: Bytes of the vectors that first centroids are drawn from; they go through the driver.
+#: Bytes of the vectors that clusters are trained on.
 SEED_BYTES = 256 << 20
 
 
@@ -73,10 +73,9 @@ class VectorIndex:
         k = min(params.clusters, told.n)
         taken = min(cluster.sample_size(told.n, k, params.sample_rate), 256 * k, max(k, SEED_BYTES // (8 * told.dim)))
         sample = cluster.hash_sample(rows, taken, params.seed)
-        x = search.matrix(sample.orderBy("vec_id").select("v").toArrow()["v"])  # 256 rows a cluster and SEED_BYTES at most
-        first = x[cluster.kmeanspp(x, k, params.seed)].tolist()
-        start = spark.createDataFrame([(i, c) for i, c in enumerate(first)], "cid long, c array<double>")
-        trained = cluster.lloyd(sample.cache(), start, params.rounds, cluster.mean_norm(sample), stop=0.01, repair=True)
+        sample = sample.cache()
+        start = cluster.seeds(sample, k, params.seed).select("cid", "c")
+        trained = cluster.lloyd(sample, start, params.rounds, cluster.mean_norm(sample), stop=0.01, repair=True)
         sample.unpersist()
         size = cluster.capacity(told.dim, params.block_bytes, coded=params.coded)
         packed = stored(cluster.pack_clusters(search.assign(rows, trained), size, params.seed), "index-packed")
@@ -203,16 +202,22 @@ class VectorIndex:
         """``(qid, vec_id, score)``: rows within ``radius`` in the blocks that the graph leads to.
 
         A beam finds ``seeds`` nodes a query; from them the edges are followed over nodes within
-        ``radius * factor``, and the blocks of those nodes are read.
+        ``radius * factor``.  The blocks of all those nodes are read, but for blocks whose centroid is
+        farther than the radius and the block's reach together, which hold nothing within it.
         """
         if self.params.metric != "l2":
             raise ValueError("a range search wants squared distances")
-        start = self.walk(queries, parts, max(self.params.beam, seeds)).where(F.col("rank") <= seeds).select("qid", "vec_id")
+        found = self.walk(queries, parts, max(self.params.beam, seeds)).where(F.col("rank") <= seeds).select("qid", "vec_id", "score")
+        start = stored(found, "index-seeds")
         nodes = self.graph()
         edges = nodes.select(F.col("vec_id").alias("src"), F.explode("links").alias("dst"))
-        met = graph.radius_expand(start, edges, nodes, queries, radius * factor)
-        probes = stored(met.select("qid", F.shiftright("vec_id", 4).alias("cid")).distinct(), "index-probes")
-        return search._cells(probes, queries, self._keyed()[0], "l2", None, radius, True).drop("cid")
+        met = graph.radius_expand(start.select("qid", "vec_id"), edges, nodes, queries, radius * factor).select("qid", "vec_id", "score").unionByName(start)
+        members, blocks = self._keyed()
+        near = met.withColumn("cid", F.shiftright("vec_id", 4)).join(blocks.select("cid", "reach"), "cid")
+        apart = F.sqrt(F.greatest("score", F.lit(0.0))) > radius**0.5 + 1e-9 + F.col("reach")
+        # a block's first node is its centroid; what its other nodes tell is no bound
+        probes = stored(near.where((F.col("vec_id").bitwiseAND(15) != 0) | ~apart).select("qid", "cid").distinct(), "index-probes")
+        return search._cells(probes, queries, members, "l2", None, radius, True).drop("cid")
 
 
 def _parted(nodes: DataFrame, seed: int) -> DataFrame:

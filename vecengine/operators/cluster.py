@@ -14,6 +14,8 @@ from .search import TILE, assign, matrix, scores
 
 #: Groups of at most so many rows are cut into blocks in one task; larger ones are split into so many parts at most first.
 SPLIT_ROWS, MOST_PARTS = 20_000, 512
+#: Rows that seeding takes before it cuts them down.
+CANDIDATES = 65_536
 
 
 def hash_sample(df: DataFrame, n: int, seed: int = 1234, key: str = "vec_id") -> DataFrame:
@@ -28,19 +30,58 @@ def sample_size(n: int, k: int, rate: float = 0.01) -> int:
     return max(int(rate * n), min(n, 39 * k))
 
 
-def kmeanspp(x: np.ndarray, k: int, seed: int = 1234) -> np.ndarray:
-    """Indices of ``k`` rows of a bounded sample, each drawn by its squared distance to those before."""
+def kmeanspp(x: np.ndarray, k: int, seed: int = 1234, weights: np.ndarray | None = None) -> np.ndarray:
+    """Indices of ``k`` rows of a bounded sample, each drawn by its squared distance to those before (times its weight)."""
     g = np.random.default_rng(seed)
-    picked = [int(g.integers(len(x)))]
+    w = np.ones(len(x)) if weights is None else weights
+    picked = [int(g.integers(len(x)) if weights is None else g.choice(len(x), p=w / w.sum()))]
     d = ((x - x[picked[0]]) ** 2).sum(axis=1)
     while len(picked) < min(k, len(x)):
-        total = d.sum()
-        new = int(g.choice(len(x), p=d / total)) if total > 0 else next(i for i in range(len(x)) if i not in picked)
+        odds = d * w
+        total = odds.sum()
+        new = int(g.choice(len(x), p=odds / total)) if total > 0 else next(i for i in range(len(x)) if i not in picked)
         picked.append(new)
         d = np.minimum(d, ((x - x[new]) ** 2).sum(axis=1))
     return np.array(picked)
 
 
+def seeds(vectors: DataFrame, k: int, seed: int = 1234, rounds: int = 5) -> DataFrame:
+    """``(cid, vec_id, c)``: ``k`` rows to start from, numbered from 0, by rounds of oversampling over all rows.
+
+    From one row that a hash chooses, each round takes about ``2 k`` more, each row by a hash that falls
+    below its share of the total squared distance to those taken; all of it is on the executors.  The rows
+    taken (CANDIDATES at most, about) are weighted by how many rows are nearest to each, and they alone are
+    cut down to ``k`` on the driver, by the same draws in sequence.  Where rounds take fewer than
+    ``k`` rows, rows by order of a hash fill up; fewer rows than ``k`` are all of them.
+    """
+    if not 1 <= k <= CANDIDATES:
+        raise ValueError(f"1 to {CANDIDATES} clusters are wanted")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
+    by_hash = lambda i: F.xxhash64(F.lit(seed + i), "vec_id")
+    taken = stored(rows.orderBy(by_hash(0), "vec_id").limit(1), "seeds")
+    wanted = min(2 * k, (CANDIDATES - 1) // rounds)
+    for nth in range(1, rounds + 1):
+        if taken.isEmpty():
+            break
+        near = assign(rows, taken.select(F.col("vec_id").alias("cid"), F.col("v").alias("c")))
+        total = near.agg(F.sum("dist")).first()[0]
+        if not total > 0:
+            break
+        share = F.pmod(by_hash(nth), F.lit(1 << 53)) / float(1 << 53)
+        new = near.where(share < F.col("dist") * (wanted / total)).select("vec_id", "v")
+        taken = stored(taken.unionByName(new).dropDuplicates(["vec_id"]), "seeds")
+    if taken.count() < k:
+        taken = stored(taken.unionByName(rows.orderBy(by_hash(0), "vec_id").limit(2 * k)).dropDuplicates(["vec_id"]), "seeds")
+    weights = assign(rows, taken.select(F.col("vec_id").alias("cid"), F.col("v").alias("c"))).groupBy("cid").agg(F.count("*").alias("n"))
+    weighed = taken.join(weights, taken["vec_id"] == weights["cid"], "left").select("vec_id", "v", F.coalesce("n", F.lit(0)).alias("n"))
+    table = weighed.orderBy("vec_id").toArrow()  # CANDIDATES rows, about
+    if not table.num_rows:
+        return vectors.sparkSession.createDataFrame([], "cid long, vec_id long, c array<double>")
+    x, n, ids = matrix(table["v"]), table["n"].to_numpy().astype(np.float64), table["vec_id"].to_pylist()
+    chosen = kmeanspp(x, k, seed, n + 1e-9)
+    return vectors.sparkSession.createDataFrame([(i, ids[j], x[j].tolist()) for i, j in enumerate(chosen.tolist())], "cid long, vec_id long, c array<double>")
+
+
 def centroids(assigned: DataFrame, length: float | None = None) -> DataFrame:
     """``(cid, c, n)``: each cluster's mean, or with ``length`` its sum scaled to that length.
 

@@ -741,7 +741,5 @@ def hash_sample(t):
 
 @query()
 def kmeanspp_seed(t):
-    sample = cluster.hash_sample(t.e, cluster.sample_size(t.e.count(), 10)).orderBy("vec_id").select("vec_id", "v").toArrow()
-    picked = cluster.kmeanspp(search.matrix(sample["v"]), 10)
-    ids = sample["vec_id"].to_pylist()
-    return t.spark.createDataFrame([(k, ids[i]) for k, i in enumerate(picked.tolist())], "cid int, vec_id long")
+    """Ten rows to start k-means from, drawn by distance in rounds over all rows."""
+    return cluster.seeds(t.e, 10).select(F.col("cid").cast("int").alias("cid"), "vec_id")
