@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, stored
+from ..session import checkpoint_dir, discard, stored
 from .search import SCORED, _cells, matrix, ranked
 
 
@@ -97,10 +97,11 @@ def descent(vectors: DataFrame, degree: int, start: DataFrame | None = None, wid
         lists = lists.groupBy("u").agg(F.collect_list(F.struct("node", "fresh", "worst", "v")).cast(_LISTS).alias("list")).where(F.exists("list", lambda x: x["fresh"]))
         met = stored(lists.mapInArrow(_closer, "src long, dst long, dist double"), "graph-met")
         now = edges.withColumn("fresh", F.lit(False)).unionByName(met.where("src IS NOT NULL").withColumn("fresh", F.lit(True)))
-        edges = stored(_best_edges(now, width), "graph-edges")
+        before, edges = edges, stored(_best_edges(now, width), "graph-edges")
         changed = edges.where("fresh").count()
         if told is not None:
             told.append((met.where("src IS NULL").agg(F.sum("dst")).first()[0] or 0, changed))
+        discard(before, met)
         if changed <= stop * total:
             break
     return _best_edges(edges, degree).select("src", "dst", "dist")
