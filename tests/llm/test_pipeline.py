@@ -74,6 +74,6 @@ def test_nulls_repeats_clashes_and_empty_tables(spark, folder, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in entry.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in entry.queries()} == {f"op{i}" for i in range(1, 14)}
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
