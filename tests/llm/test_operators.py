@@ -348,7 +348,11 @@ def test_word_runs_against_brute_force(spark):
 
 def test_runs_are_consistent_both_ways():
     hits = lambda *vs: [(k, [0, a], [0, b]) for k, a, b in vs]
-    told = decontaminate.consistent_tokens
+
+    def told(hits, window):
+        covered, ways = decontaminate.consistent_tokens(hits, window)
+        return covered, any(all(x == y for x, y in way.items()) for way in ways)
+
     assert told(hits((0, 1, 1), (1, 2, 2)), 8) == (9, True) and told(hits((0, 1, 5), (1, 2, 6)), 8) == (9, False)
     assert told(hits((0, 1, 5), (1, 1, 6)), 8) == (0, False)  # one value of the item for two of the document
     assert told(hits((0, 1, 5), (1, 2, 5)), 8) == (0, False)  # two values of the item on one of the document
@@ -358,6 +362,67 @@ def test_runs_are_consistent_both_ways():
     assert told([(0, [1, 1], [5, 6])], 8) == (0, False)
 
 
+def test_short_items_match_by_whole_templates(spark):
+    """Other numbers and names in a short question; its frame within other words, and mixed values, only where told."""
+    bench = [(1, "What is 12 plus 7 times 3?"), (2, "Anna has 5 apples, Bob has 9."), (3, "add two and two"), (4, "Is it 4?"), (5, "Why not?"), (6, "12 7 3"), (7, "")]
+    texts = [
+        "Now tell. What is 14 plus 9 times 5? I ask.",
+        "Then Peter has 7 apples, Tom has 3 of them",  # a frame of five tokens needs no sentence
+        "Peter has 7 apples, Tom has 7.",  # 5 and 9 are both 7
+        "Peter has 7 apples, Peter has 3.",
+        "please add two and two now",
+        "It is late. Is it 8? Yes.",
+        "tell me\nis it 8\nor so",  # a line
+        "but is it 8 or not",
+        "Why not? Because.",
+        "so why not now",
+        "3 7 12", "so 12 7 3 so", "12 7 3", "what is 14 plus 9 times", None, "",
+    ]
+    docs = [(k, t) for k, t in enumerate(texts)]
+    found = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.exact for r in found.collect()}
+    want = {(0, 1): False, (1, 2): False, (4, 3): True, (5, 4): False, (6, 4): False, (8, 5): True, (12, 6): True}
+    assert got == want
+
+
+def test_whole_templates_against_brute_force(spark):
+    """Frames of up to 24 tokens in lower-case texts: what the operator finds is what a scan of all places finds."""
+    g = np.random.default_rng(16)
+    draw = lambda n: [str(g.choice(["add", "to", "of", "how", "12", "7", "9", "40"])) for _ in range(n)]
+    bench = [(i, " ".join(draw(int(g.integers(5, 8))))) for i in range(60)]
+    swap = {"12": "31", "7": "32", "9": "33", "40": "34"}
+    docs = [(i, " ".join(draw(40))) for i in range(60)]
+    for i in range(60):
+        item = bench[int(g.integers(0, 60))][1].split()
+        docs.append((100 + i, " ".join(draw(20) + [swap.get(w, w) if i % 3 else w for w in item] + draw(20))))
+    num = str.isdigit
+    want = set()
+    for i, t in docs:
+        w = t.split()
+        for k, item in bench:
+            own = item.split()
+            words, n = sum(not num(x) for x in own), len(own)
+            for a in range(len(w) - n + 1):
+                pairs = set(zip(own, w[a : a + n], strict=True))
+                same = all(x == y or (num(x) and num(y)) for x, y in pairs)
+                fits = len({x for x, y in pairs if num(x)}) == len({p for p in pairs if num(p[0])}) == len({y for x, y in pairs if num(x)})
+                bounded = a == 0 and n == len(w)
+                if all(x == y for x, y in pairs) or (same and fits and 0 < words < n and (words >= 3 or bounded)):
+                    want.add((i, k))
+    found = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want and len(want) > 50
+
+
+def test_items_of_one_frame_are_joined_once(spark):
+    """A benchmark of one question with other numbers: one class, and all its items are told."""
+    ask = "If a train with {} seats and {} more in the last car is full, how many ride in it?"
+    bench = spark.createDataFrame([(k, ask.format(100 + k, 900 - k)) for k in range(200)] + [(200, ask.format(5, 5))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, ask.format(117, 883)), (2, ask.format(1, 2)), (3, ask.format(4, 4))], "doc_id long, text string")
+    assert decontaminate._item_rows(decontaminate.ids_and_texts(bench, "item_id", "text")).where("kind = 0").select("class").distinct().count() == 2
+    got = {(r.doc_id, r.item_id): r.exact for r in decontaminate.matches(docs, bench).collect()}
+    assert got == {(d, k): (d, k) == (1, 17) for d in (1, 2) for k in range(200)} | {(3, 200): False}
+
+
 def test_quantities_and_names_are_slots():
     t = decontaminate.Templates(["He ran 5 km with Ann Lee today", "He ran 70 miles with Bo today"])
     assert (t.code[t.row == 0] == t.code[t.row == 1]).all() and (t.value[t.row == 0] > 0).sum() == 2
