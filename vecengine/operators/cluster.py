@@ -368,3 +368,16 @@ def representatives(packed: DataFrame, cents: DataFrame, m: int) -> DataFrame:
     apart = apart.select("cid", "block_id", "vec_id", l2_sq(F.col("v"), F.col("c")).alias("dist"))
     at = F.row_number().over(Window.partitionBy("cid", "block_id").orderBy(F.round("dist", 9).desc(), "vec_id"))
     return apart.withColumn("rep", at.cast("long")).where(F.col("rep") <= m)
+
+
+def transposed(rows: DataFrame, tile: int) -> DataFrame:
+    """``(block, dim, n, column_values)``: the values of each dimension for ``tile`` ids at a time, by vec_id.
+
+    A vector is shuffled once, with its block, and a block's columns are cut from its rows; no
+    column is ever whole in one place.  A component that a shorter vector of the block does not have
+    is left out; null and empty vectors have none.
+    """
+    blocks = rows.where("size(v) > 0").groupBy(F.expr(f"vec_id div {tile}").alias("block"))
+    held = blocks.agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("r"))
+    cut = held.select("block", F.posexplode(F.expr("transform(sequence(1, array_max(transform(r, x -> size(x.v)))), d -> transform(filter(r, x -> size(x.v) >= d), x -> x.v[d - 1]))")).alias("dim", "column_values"))
+    return cut.select("block", "dim", F.size("column_values").cast("long").alias("n"), "column_values")

@@ -18,8 +18,11 @@ from ..functions import vectors as V
 from ..index import IndexParams, VectorIndex
 from ..operators import cluster, evaluate, graph, quantize, search
 from ..session import checkpoint_dir
+from ..sources import split
 
 K, NPROBE, RADIUS, CAPACITY, DEGREE = 10, 5, 1.3, 15, 8
+#: Rows of a piece of a transposed matrix.
+TILE = 256
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -364,6 +367,35 @@ def first_n(t):
     return t.e.select("vec_id", "label").orderBy("vec_id").limit(100)
 
 
+@query(
+    """
+SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, len(embedding)::INTEGER AS dim,
+       embedding[1]::DOUBLE AS head, embedding[-1]::DOUBLE AS tail
+FROM embeddings
+"""
+)
+def vector_files_scan(t):
+    """All vectors written as vector files by the executors, and read back in splits of 64 KB."""
+    path = f"{checkpoint_dir(t.spark)}/vectors-{uuid.uuid4().hex}.fbin"
+    split.write_vectors(t.e.withColumnRenamed("v", "embedding"), path)
+    back = split.scan_vectors(t.spark, path, split_bytes=64 << 10)
+    head, tail = (F.element_at("embedding", k).cast("double") for k in (1, -1))
+    return back.select("vec_id", F.size("embedding").alias("dim"), head.alias("head"), tail.alias("tail"))
+
+
+@query(
+    f"""
+WITH x AS (SELECT vec_id, vec_id // {TILE} AS block, embedding, unnest(range(len(embedding))) AS dim FROM embeddings)
+SELECT block, dim::INTEGER AS dim, count(*) AS n, string_agg(floor(embedding[dim + 1]::DOUBLE * 1000000)::BIGINT::VARCHAR, ',' ORDER BY vec_id) AS millionths
+FROM x GROUP BY block, dim
+"""
+)
+def matrix_transpose(t):
+    """Columns of the matrix of vectors, in pieces of the rows of a block of ids; values as text, in millionths."""
+    text = F.array_join(F.transform("column_values", lambda x: F.floor(x * 1000000).cast("string")), ",")
+    return cluster.transposed(t.e, TILE).select("block", "dim", "n", text.alias("millionths"))
+
+
 # Clustering.
 
 _LEN = f"len AS (SELECT avg(sqrt({_ip('v', 'v')})) AS l FROM e)"

@@ -1,8 +1,8 @@
 """Binary vector files: ``u32 n, u32 dim``, then rows of one element type; and files of answers.
 
 The element type is that of the file's extension.  Files are read and written through Spark's
-own readers and writers, so any path that Spark can open will do; a file is one task's work, so
-large sets are directories of files, whose rows follow each other by the files' names.
+own readers and writers, so any path that Spark can open will do; a file is one task's work here,
+and its rows follow those of the files before it by name.  ``sources.split`` reads a file in many tasks.
 """
 
 from __future__ import annotations
@@ -16,17 +16,23 @@ from pyspark.sql import functions as F
 KINDS = {"fbin": ("<f4", "float", pa.float32()), "u8bin": ("u1", "smallint", pa.int16()), "i8bin": ("i1", "tinyint", pa.int8())}
 
 
-def _kind(path: str) -> tuple[str, str, pa.DataType]:
+def kind_of(path: str) -> str:
+    """The kind that a path's extension names."""
     ending = path.rstrip("/").rpartition(".")[2].split("/")[0]
     if ending not in KINDS:
         raise ValueError(f"unknown vector file {path!r}; known: {', '.join(KINDS)}")
-    return KINDS[ending]
+    return ending
 
 
 def header(spark: SparkSession, path: str) -> tuple[int, int]:
     """Rows and dimensions of one file."""
-    raw = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 8).alias("h")).first()
-    n, dim = np.frombuffer(bytes(raw.h), "<u4").tolist()
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    source = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
+    try:
+        raw = bytes(source.readUnsignedByte() for _ in range(8))
+    finally:
+        source.close()
+    n, dim = np.frombuffer(raw, "<u4").tolist()
     return n, dim
 
 
@@ -37,7 +43,7 @@ def read_vectors(spark: SparkSession, path: str, kind: str | None = None) -> Dat
     unique in a folder; a short file fails the job.  The files' headers, one row a file, are read
     first.
     """
-    dtype, name, arrow = KINDS[kind] if kind else _kind(path)
+    dtype, name, arrow = KINDS[kind or kind_of(path)]
     source = spark.read.format("binaryFile").load(path)
     told = sorted((r.path, int.from_bytes(bytes(r.n), "little")) for r in source.select("path", F.substring("content", 1, 4).alias("n")).collect())
     before = dict(zip([p for p, _ in told], np.cumsum([0, *[n for _, n in told]]).tolist(), strict=False))
@@ -63,7 +69,7 @@ def pack_vectors(vectors: DataFrame, kind: str, order: str = "vec_id", column: s
     """The bytes of one file of a bounded set of vectors, by ``order``; at most a million rows."""
     table = vectors.select(order, column).orderBy(order).limit(1_000_001).toArrow()
     if table.num_rows > 1_000_000:
-        raise ValueError("more than a million rows: write a directory of files")
+        raise ValueError("more than a million rows: use split.write_vectors")
     values = table[column].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(KINDS[kind][0])
     dim = len(values) // table.num_rows if table.num_rows else 0
     return np.array([table.num_rows, dim], "<u4").tobytes() + values.tobytes()
