@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from vecengine.functions import vectors as V
@@ -207,6 +208,75 @@ def test_a_metric_of_ones_own(spark, x):
     assert pairs(search.knn_by(q, v, 4, "l2")) == pairs(search.knn(q, v, 4))
 
 
+def test_a_kernel_of_ones_own_goes_through_every_search(spark, x, monkeypatch):
+    def column(a, b):
+        return F.array_max(F.zip_with(a, b, lambda p, q: F.abs(p - q)))
+
+    def kernel(q, v):
+        return np.abs(q[:, None] - v[None]).max(axis=2)
+
+    V.register_metric("farthest", column, True, kernel)
+    q, v = table(spark, x[:30], "qid", "qv"), table(spark, x)
+    d = np.abs(x[:30, None] - x[None]).max(axis=2)
+    want = {(i, int(j)) for i in range(30) for j in d[i].argsort()[:4]}
+    c = table(spark, x[:6], "cid", "c")
+    members = search.assign(v, c)
+    near = {(i, j) for i, j in zip(*np.nonzero(d < np.median(d)), strict=True)}
+    for sent in (4096, 8):
+        monkeypatch.setattr(search, "SENT", sent)
+        assert pairs(search.knn(q, v, 4, "farthest")) == pairs(search.ivf_knn(q, members, c, 4, 6, "farthest")) == want
+        assert pairs(search.within(q, v, float(np.median(d)), "farthest")) == near
+        assert pairs(search.range_pruned(q, members, c, float(np.median(d)), metric="farthest")) == near  # without a bound
+    monkeypatch.undo()
+    assert pairs(search.knn_by(q, v, 4, "farthest")) == want
+    V.register_metric("farthest", column, True)
+    with pytest.raises(ValueError, match="no kernel"):
+        search.knn(q, v, 4, "farthest")
+    V.METRICS.pop("farthest")
+
+
+def test_kernels_tell_the_distances_that_they_made(spark, x, monkeypatch):
+    v, c, q = table(spark, x), table(spark, x[:4], "cid", "c"), table(spark, x[:30], "qid", "qv")
+    members = search.assign(v, c)
+    sizes = {r.cid: r.n for r in members.groupBy("cid").agg(F.count("*").alias("n")).collect()}
+    probes = search.probe(q, c, 2).collect()
+    want, plain = sum(sizes[r.cid] for r in probes), pairs(search.ivf_knn(q, members, c, 5, 2))
+    for sent in (4096, 8):
+        monkeypatch.setattr(search, "SENT", sent)
+        seen = Observation()
+        assert pairs(search.ivf_knn(q, members, c, 5, 2, seen=seen)) == plain
+        assert seen.get == {"distances": want}
+    seen = Observation()
+    assert search.ivf_knn(q.limit(0), members, c, 5, 2, seen=seen).collect() == [] and seen.get == {"distances": 0}
+
+
+def test_bounds_leave_out_no_cell_that_holds_a_row():
+    g = np.random.default_rng(8)
+    for name in ("l2", "ip", "manhattan"):
+        m = V.metric(name)
+        for _ in range(20):
+            c, rows, q = g.standard_normal((5, 6)) * 3, g.standard_normal((5, 40, 6)), g.standard_normal((9, 6)) * 2
+            rows = rows * g.uniform(0, 2, (5, 1, 1)) + c[:, None]
+            reach = np.sqrt(((rows - c[:, None]) ** 2).sum(axis=2)).max(axis=1)
+            s = np.stack([m.kernel(q, r) for r in rows], axis=1)
+            for radius in np.quantile(s, [0.01, 0.3, 0.99]):
+                assert not (m.within(s, radius).any(axis=2) & ~m.may_hold(q, c, reach, radius)).any()
+    tight = V.metric("ip").may_hold(np.eye(2), np.array([[1.0, 0.0]]), np.array([0.5]), 1.5 + 1e-6)
+    assert not tight.any()
+
+
+def test_a_range_by_inner_product_reads_few_cells(spark):
+    g = np.random.default_rng(9)
+    x = (g.standard_normal((50, 8))[:, None] * 3 + g.standard_normal((50, 40, 8)) * 0.2).reshape(-1, 8)
+    v, q = table(spark, x), table(spark, x[::100], "qid", "qv")
+    members = search.assign(v, table(spark, x[::40], "cid", "c"))
+    radius = 60.0
+    i, j = np.nonzero(x[::100] @ x.T > radius)
+    assert pairs(search.range_pruned(q, members, table(spark, x[::40], "cid", "c"), radius, metric="ip")) == set(zip(i.tolist(), j.tolist(), strict=True))
+    reach = np.array([np.sqrt(((x[a : a + 40] - x[a]) ** 2).sum(axis=1)).max() for a in range(0, len(x), 40)])
+    assert V.metric("ip").may_hold(x[::100], x[::40], reach, radius).mean() < 0.6
+
+
 def test_lloyd_repairs_empty_clusters_and_stops(spark, x):
     far = np.concatenate([x[:5], np.full((1, 8), 1e6)])
     v, start = table(spark, x), table(spark, far, "cid", "c")

@@ -1,14 +1,15 @@
-"""Vector arithmetic as columns; everything is in double precision and stays in the JVM."""
+"""Vector arithmetic as columns, which stay in the JVM, and metrics for searches; everything is in double precision."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def doubles(v: Column | str) -> Column:
     return (F.col(v) if isinstance(v, str) else v).cast("array<double>")
 
@@ -82,16 +83,90 @@ def unpack_node_id(packed: Column) -> tuple[Column, Column, Column]:
     return (*unpack_block_id(F.shiftrightunsigned(packed, 32)), packed.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-#: name -> (column of a distance or likeness, whether smaller is better)
-METRICS: dict[str, tuple[Callable[[Column, Column], Column], bool]] = {"l2": (l2_sq, True), "ip": (inner_product, False)}
+def manhattan(a: Column, b: Column) -> Column:
+    return _sum(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+
+
+def l2_kernel(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    # the expanded form loses digits where two vectors are close, so those are taken anew
+    out = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * (q @ v.T)
+    close = np.argwhere(out < 1e-6 * (1 + (q * q).sum(axis=1)[:, None]))
+    for a in range(0, len(close), 65_536):
+        i, j = close[a : a + 65_536].T
+        out[i, j] = ((q[i] - v[j]) ** 2).sum(axis=1)
+    return out
+
+
+def ip_kernel(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return q @ v.T
+
+
+def manhattan_kernel(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(q), len(v)))
+    for x, y in zip(q.T, v.T, strict=True):  # a dimension at a time, so no array has three
+        out += np.abs(x[:, None] - y[None, :])
+    return out
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
+
+
+def l2_bound(q: np.ndarray, c: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """By the triangle inequality."""
+    return np.maximum(np.sqrt(np.maximum(l2_kernel(q, c), 0.0)) - reach, 0.0) ** 2
+
+
+def ip_bound(q: np.ndarray, c: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """The product with the centroid, and that of the lengths of the query and of what a row adds to the centroid."""
+    return q @ c.T + _norms(q)[:, None] * reach
+
+
+def manhattan_bound(q: np.ndarray, c: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """By the triangle inequality; a row's steps away from the centroid are at most its reach times the root of the dimensions."""
+    return np.maximum(manhattan_kernel(q, c) - reach * np.sqrt(q.shape[1]), 0.0)
+
+
+Kernel = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+class Metric(NamedTuple):
+    """A distance (``ascending``: the least is best) or a likeness.
+
+    ``column`` scores one pair in the JVM.  ``kernel`` scores rows of queries against rows of vectors as a
+    matrix; searches in blocks and cells want one.  ``bound`` gives, for queries, centroids and how far
+    (in Euclidean distance) a cell's rows are from each, the best score that such a row can have; a range
+    search leaves out cells by it.  Both are sent to the executors with the job.
+    """
+
+    column: Callable[[Column, Column], Column]
+    ascending: bool
+    kernel: Kernel | None = None
+    bound: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None
+
+    def within(self, scores: np.ndarray, radius: float) -> np.ndarray:
+        return scores < radius if self.ascending else scores > radius
+
+    def may_hold(self, q: np.ndarray, c: np.ndarray, reach: np.ndarray, radius: float) -> np.ndarray:
+        """Whether a cell can hold a row within the radius, with room for rounding."""
+        best = self.bound(q, c, reach)
+        room = 1e-9 * (1.0 + abs(radius) + np.abs(best))
+        return best <= radius + room if self.ascending else best >= radius - room
+
+
+METRICS: dict[str, Metric] = {
+    "l2": Metric(l2_sq, True, l2_kernel, l2_bound),
+    "ip": Metric(inner_product, False, ip_kernel, ip_bound),
+    "manhattan": Metric(manhattan, True, manhattan_kernel, manhattan_bound),
+}
 
 
-def register_metric(name: str, column: Callable[[Column, Column], Column], ascending: bool) -> None:
-    """Make a metric of one's own known to :func:`vecengine.operators.search.knn_by`."""
-    METRICS[name] = (column, ascending)
+def register_metric(name: str, column: Callable[[Column, Column], Column], ascending: bool, kernel: Kernel | None = None, bound: Callable | None = None) -> None:
+    """Make a metric of one's own known to all searches; without a kernel only ``search.knn_by`` takes it."""
+    METRICS[name] = Metric(column, ascending, kernel, bound)
 
 
-def metric(name: str) -> tuple[Callable[[Column, Column], Column], bool]:
+def metric(name: str) -> Metric:
     if name not in METRICS:
         raise ValueError(f"unknown metric {name!r}; known: {', '.join(METRICS)}")
     return METRICS[name]

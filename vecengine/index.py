@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import cluster, evaluate, graph, quantize, search
@@ -32,8 +32,7 @@ class IndexParams:
     sample: int = 1
 
     def __post_init__(self):
-        if self.metric not in ("l2", "ip"):
-            raise ValueError(f"unknown metric {self.metric!r}")
+        search.kernel_of(self.metric)
         if self.clusters < 1:
             raise ValueError("an index has one cluster or more")
         if not 1 <= self.sample <= 16:
@@ -63,7 +62,7 @@ class VectorIndex:
     def build(cls, vectors: DataFrame, path: str, params: IndexParams = IndexParams()) -> VectorIndex:  # noqa: B008
         """Index ``(vec_id, v)``: cluster a bounded sample, deal all rows out, and cut clusters into blocks.
 
-        Null vectors and ids are left out.  Clusters are those of squared distance for either metric.
+        Null vectors and ids are left out.  Clusters are those of squared distance whatever the metric.
         """
         spark = vectors.sparkSession
         rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
@@ -146,10 +145,10 @@ class VectorIndex:
         key = F.col("cid") * F.lit(1 << 40) + F.col("block_id")
         return self._rows().select(F.col("key").alias("cid"), "vec_id", "v"), self.blocks().select(key.alias("cid"), "c", "reach")
 
-    def knn(self, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
-        """``(qid, rank, vec_id, score)``: the k best in the nprobe best blocks of each query."""
+    def knn(self, queries: DataFrame, k: int, nprobe: int, seen: Observation | None = None) -> DataFrame:
+        """``(qid, rank, vec_id, score)``: the k best in the nprobe best blocks of each query; ``seen`` is told the distances made."""
         members, blocks = self._keyed()
-        return search.ivf_knn(queries, members, blocks, k, nprobe, self.params.metric, True)
+        return search.ivf_knn(queries, members, blocks, k, nprobe, self.params.metric, True, seen)
 
     def probes_for(self, k: int, recall: float = 0.9, queries: int = 64) -> int:
         """How many blocks to probe for ``recall`` of the k best: doubled until rows of the index, asked as queries, reach it.
@@ -185,18 +184,18 @@ class VectorIndex:
         return search.in_cells(probes, queries, self._keyed()[0], k, "l2", True)
 
     def range(self, queries: DataFrame, radius: float, factor: float | None = None) -> DataFrame:
-        """``(qid, vec_id, score)``: all rows within ``radius``.
+        """``(qid, vec_id, score)``: all rows with a distance below ``radius``, or a likeness above it.
 
-        Only blocks that can hold one are read: by the triangle inequality those whose centroid is
-        not farther than the radius and the block's reach together.  With ``factor`` it is the
-        blocks whose centroid is within ``radius * factor``, and rows of others are missed.
+        Only blocks that can hold one are read, by the metric's bound over each block's reach.  With
+        ``factor`` it is the blocks whose centroid is within ``radius * factor``, and rows of others are
+        missed; that is for distances.
         """
-        if self.params.metric != "l2":
-            raise ValueError("a range search wants squared distances; use search.within for inner products")
         members, blocks = self._keyed()
         if factor is not None:
+            if self.params.metric != "l2":
+                raise ValueError("a factor is for squared distances")
             return search.ivf_range(queries, members, blocks, radius, factor, True)
-        return search.range_pruned(queries, members, blocks, radius, blocks.select("cid", "reach"), True)
+        return search.range_pruned(queries, members, blocks, radius, blocks.select("cid", "reach"), True, self.params.metric)
 
     def range_by_graph(self, queries: DataFrame, radius: float, parts: int = 4, seeds: int = 20, factor: float = 1.0) -> DataFrame:
         """``(qid, vec_id, score)``: rows within ``radius`` in the blocks that the graph leads to.

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import metric as metric_of
 from ..session import stored
 from .search import TILE, assign, matrix, scores
 
@@ -357,16 +358,16 @@ def capacity(dim: int, block_bytes: int = 4096, component_bytes: int = 4, coded:
     return n
 
 
-def representatives(packed: DataFrame, cents: DataFrame, m: int) -> DataFrame:
-    """``(cid, block_id, rep, vec_id, dist)``: of each block the ``m`` rows farthest from its centroid, 1 the farthest.
+def representatives(packed: DataFrame, cents: DataFrame, m: int, metric: str = "l2") -> DataFrame:
+    """``(cid, block_id, rep, vec_id, dist)``: of each block the ``m`` rows that a metric puts farthest from its centroid, 1 the farthest.
 
-    Distances that agree to nine digits are a tie, and the smaller id comes first.
+    For a likeness those are the least like it.  Scores that agree to nine digits are a tie, and the smaller id comes first.
     """
-    from ..functions.vectors import l2_sq
-
+    score, ascending = metric_of(metric)[:2]
     apart = packed.select("cid", "block_id", "vec_id", "v").join(cents.select("cid", "block_id", "c"), ["cid", "block_id"])
-    apart = apart.select("cid", "block_id", "vec_id", l2_sq(F.col("v"), F.col("c")).alias("dist"))
-    at = F.row_number().over(Window.partitionBy("cid", "block_id").orderBy(F.round("dist", 9).desc(), "vec_id"))
+    apart = apart.select("cid", "block_id", "vec_id", score(F.col("v"), F.col("c")).alias("dist"))
+    worst = F.round("dist", 9).desc() if ascending else F.round("dist", 9).asc()
+    at = F.row_number().over(Window.partitionBy("cid", "block_id").orderBy(worst, "vec_id"))
     return apart.withColumn("rep", at.cast("long")).where(F.col("rep") <= m)
 
 

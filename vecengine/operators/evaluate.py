@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import metric as metric_of
+from ..session import stored
+
 
 def recall(answer: DataFrame, truth: DataFrame) -> DataFrame:
     """``(qid, hits, wanted, recall)``: how many of each query's true ids the answer has."""
@@ -15,8 +20,9 @@ def recall(answer: DataFrame, truth: DataFrame) -> DataFrame:
 
 def recall_by_distance(answer: DataFrame, truth: DataFrame, metric: str = "l2") -> DataFrame:
     """``(qid, hits, wanted)``: answers no worse than the last true one; ties count."""
-    last = truth.groupBy("qid").agg((F.max if metric == "l2" else F.min)("score").alias("edge"), F.count("*").alias("wanted"))
-    good = F.col("score") <= F.col("edge") if metric == "l2" else F.col("score") >= F.col("edge")
+    ascending = metric_of(metric).ascending
+    last = truth.groupBy("qid").agg((F.max if ascending else F.min)("score").alias("edge"), F.count("*").alias("wanted"))
+    good = F.col("score") <= F.col("edge") if ascending else F.col("score") >= F.col("edge")
     told = last.join(answer.select("qid", "score"), "qid", "left").groupBy("qid", "wanted").agg(F.count_if(good).alias("hits"))
     return told.select("qid", F.least("hits", "wanted").alias("hits"), "wanted")
 
@@ -60,3 +66,22 @@ def norm_stats(vectors: DataFrame) -> DataFrame:
     from ..functions.vectors import norm
 
     return vectors.select(norm(F.col("v")).alias("x")).agg(F.max("x").alias("max_norm"), F.min("x").alias("min_norm"), F.avg("x").alias("avg_norm"))
+
+
+def run_table(runs: dict[str, Callable[[Observation], DataFrame]], truth: DataFrame) -> DataFrame:
+    """``(run, queries, found, distances, hits, wanted, recall)``: a row a search of a sweep.
+
+    ``runs`` has by name functions that give a search's ``(qid, vec_id, ...)``, and let its kernel tell the observation
+    how many distances it made.  Each answer is written once and compared from there; so many rows as
+    there are runs are held.
+    """
+    truth, rows = stored(truth.select("qid", "vec_id"), "run-truth"), None
+    for name, search in runs.items():
+        seen = Observation()
+        found = stored(search(seen).select("qid", "vec_id"), "run")
+        told = found.agg(F.count_distinct("qid").alias("queries"), F.count("*").alias("found"))
+        met = recall(found, truth).agg(F.sum("hits").alias("hits"), F.sum("wanted").alias("wanted"))
+        made = F.lit(seen.get["distances"]).cast("long").alias("distances")
+        row = told.join(met, F.lit(True)).select(F.lit(name).alias("run"), "queries", "found", made, "hits", "wanted", (F.col("hits") / F.col("wanted")).alias("recall"))  # one row each
+        rows = row if rows is None else rows.unionByName(row)
+    return rows

@@ -21,6 +21,8 @@ from ..session import checkpoint_dir
 from ..sources import split
 
 K, NPROBE, RADIUS, CAPACITY, DEGREE = 10, 5, 1.3, 15, 8
+#: A radius of sums of absolute differences.
+RADIUS_L1 = 7.5
 #: Rows of a piece of a transposed matrix.
 TILE = 256
 
@@ -104,6 +106,10 @@ def _ip(a: str, b: str) -> str:
     return f"list_inner_product({a}, {b})"
 
 
+def _l1(a: str, b: str) -> str:
+    return f"list_sum(list_transform({a}, lambda x, i: abs(x - {b}[i])))"
+
+
 def _nearest(source: str, cents: str, out: str) -> str:
     """Each row of ``source`` with its nearest of ``cents``."""
     return (
@@ -330,6 +336,11 @@ def knn_exact_l2(t):
     return answer(t.exact())
 
 
+@query(_sql(_ROUNDED + "found", _E, _Q, _top("found", "(SELECT qid, qv, vec_id, v FROM q, e)", _l1("qv", "v"), K)))
+def knn_exact_manhattan(t):
+    return answer(search.knn(t.q, t.e, K, "manhattan"))
+
+
 _SCALED = "s AS (SELECT vec_id, list_transform(v, lambda x: x * (1 + label)) AS v FROM e)"
 
 
@@ -495,16 +506,23 @@ def block_centroids(t):
     return unpacked(_block_centroids(t)[1], ["cid", "block_id", "n"], "c")
 
 
-@query(
-    _sql(
-        f"SELECT cid, block_id, rep, vec_id, round(dist, 6) AS dist FROM (SELECT k.cid, k.block_id, k.vec_id, {_l2('k.v', 'bc.c')} AS dist, row_number() OVER (PARTITION BY k.cid, k.block_id ORDER BY round({_l2('k.v', 'bc.c')}, 9) DESC, k.vec_id) AS rep FROM k JOIN bc USING (cid, block_id)) WHERE rep <= 2",
-        _E, _C, _A, _PACK, _BLOCKS,
-    )
-)
+def _farthest(score: Callable[[str, str], str], order: str) -> str:
+    far = score("k.v", "bc.c")
+    ranks = f"row_number() OVER (PARTITION BY k.cid, k.block_id ORDER BY round({far}, 9) {order}, k.vec_id) AS rep"
+    return _sql(f"SELECT cid, block_id, rep, vec_id, round(dist, 6) + 0::DOUBLE AS dist FROM (SELECT k.cid, k.block_id, k.vec_id, {far} AS dist, {ranks} FROM k JOIN bc USING (cid, block_id)) WHERE rep <= 2", _E, _C, _A, _PACK, _BLOCKS)
+
+
+@query(_farthest(_l2, "DESC"))
 def block_representatives(t):
     return cluster.representatives(*_block_centroids(t), 2).withColumn("dist", F.round("dist", 6))
 
 
+@query(_farthest(_ip, "ASC"))
+def block_representatives_ip(t):
+    """The two rows of each block that are least like its centroid."""
+    return cluster.representatives(*_block_centroids(t), 2, "ip").withColumn("dist", F.round("dist", 6) + 0.0)
+
+
 @query(_sql("SELECT cid, count(DISTINCT qid) AS queries FROM p GROUP BY cid", _E, _Q, _C, _probe(NPROBE)))
 def block_reads_dedup(t):
     return search.probe(t.q, t.c, NPROBE).select("qid", "cid").distinct().groupBy("cid").agg(F.count("*").alias("queries"))
@@ -528,6 +546,11 @@ def ivf_knn_ip(t):
     return answer(search.ivf_knn(t.q, t.a, t.c, K, NPROBE, "ip"))
 
 
+@query(_sql(_ROUNDED + "found", _E, _Q, _C, _A, _probe(NPROBE, score=_l1("qv", "c")), _ivf("found", "p", score=_l1("qv", "v"))))
+def ivf_knn_manhattan(t):
+    return answer(search.ivf_knn(t.q, t.a, t.c, K, NPROBE, "manhattan"))
+
+
 @query(_sql(_ROUNDED + "found", _E, _Q, _C, _A, _probe(2), _ivf("found", "p")))
 def ivf_flat_knn(t):
     return answer(t.ivf(2))
@@ -560,11 +583,22 @@ def range_exact(t):
     return answer(_within(t))
 
 
-@query(_sql(_FOUND, _E, _Q, _SCALED, f"found AS (SELECT qid, vec_id, {_ip('qv', 'v')} AS score FROM q, s WHERE {_ip('qv', 'v')} > 1.5)"))
+_RANGE_IP = f"found AS (SELECT qid, vec_id, {_ip('qv', 'v')} AS score FROM q, s WHERE {_ip('qv', 'v')} > 1.5)"
+
+
+@query(_sql(_FOUND, _E, _Q, _SCALED, _RANGE_IP))
 def range_ip(t):
     return answer(search.within(t.q, t.scaled, 1.5, "ip"))
 
 
+_RANGE_L1 = f"found AS (SELECT qid, vec_id, {_l1('qv', 'v')} AS score FROM q, e WHERE {_l1('qv', 'v')} < {RADIUS_L1})"
+
+
+@query(_sql(_FOUND, _E, _Q, _RANGE_L1))
+def range_manhattan(t):
+    return answer(search.within(t.q, t.e, RADIUS_L1, "manhattan"))
+
+
 @query(
     _sql(
         _FOUND, _E, _Q, _C, _A, f"p AS (SELECT qid, qv, cid FROM q, c WHERE {_l2('qv', 'c')} < {RADIUS * 1.2})",
@@ -652,6 +686,21 @@ def pareto_frontier(t):
     return evaluate.frontier(_recalls(t), "nprobe", "recall")
 
 
+_RUN = (
+    "SELECT 'ivf {0}' AS run, {0}::BIGINT AS nprobe, (SELECT count(DISTINCT qid) FROM f{0}) AS queries, (SELECT count(*) FROM f{0}) AS found, "
+    "(SELECT count(*) FROM p{0} JOIN a USING (cid)) AS distances, count(f.vec_id) AS hits, count(*) AS wanted, round(count(f.vec_id) / count(*), 6) AS recall "
+    "FROM exact e LEFT JOIN f{0} f ON e.qid = f.qid AND e.vec_id = f.vec_id"
+)
+
+
+@query(_sql(" UNION ALL ".join(_RUN.format(n) for n in _SWEEP), *_SWEPT[:-1]))
+def run_metrics(t):
+    """A row a run of a sweep over the cells probed: what was found, what it took, as the kernels tell, and the recall."""
+    runs = {f"ivf {n}": lambda seen, n=n: search.ivf_knn(t.q, t.a, t.c, K, n, seen=seen) for n in _SWEEP}
+    nprobe = F.split_part("run", F.lit(" "), F.lit(2)).cast("long").alias("nprobe")
+    return evaluate.run_table(runs, t.exact()).select("run", nprobe, "queries", "found", "distances", "hits", "wanted", F.round("recall", 6).alias("recall"))
+
+
 # Graphs: edges are within cells.
 
 _GRAPH = f"g AS (SELECT src, dst, dist FROM (SELECT x.vec_id AS src, y.vec_id AS dst, {_l2('x.v', 'y.v')} AS dist, row_number() OVER (PARTITION BY x.vec_id ORDER BY {_l2('x.v', 'y.v')}, y.vec_id) AS rn FROM a x JOIN a y ON x.cid = y.cid AND x.vec_id <> y.vec_id) WHERE rn <= {DEGREE})"
@@ -713,9 +762,9 @@ def knn_graph_descent(t):
 # The index.
 
 
-def _index(t) -> VectorIndex:
+def _index(t, rows: DataFrame | None = None, **params) -> VectorIndex:
     path = f"{checkpoint_dir(t.spark)}/index-{uuid.uuid4().hex}"
-    return VectorIndex.build(t.e, path, IndexParams(clusters=math.ceil(math.sqrt(t.e.count()))))
+    return VectorIndex.build(t.e if rows is None else rows, path, IndexParams(clusters=math.ceil(math.sqrt(t.e.count())), **params))
 
 
 @query("SELECT count(*) AS rows, true AS fit, true AS once FROM embeddings")
@@ -744,6 +793,17 @@ def index_range(t):
     return answer(_index(t).range(t.q, RADIUS))
 
 
+@query(_sql(_FOUND, _E, _Q, _SCALED, _RANGE_IP))
+def index_range_ip(t):
+    """Every row with a product over 1.5, from the blocks that can hold one."""
+    return answer(_index(t, t.scaled, metric="ip").range(t.q, 1.5))
+
+
+@query(_sql(_FOUND, _E, _Q, _RANGE_L1))
+def index_range_manhattan(t):
+    return answer(_index(t, metric="manhattan").range(t.q, RADIUS_L1))
+
+
 @query()
 def graph_beam_knn(t):
     index = _index(t)
