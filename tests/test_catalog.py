@@ -30,7 +30,7 @@ def test_same_rows_as_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"index_knn", "graph_beam_knn", "graph_range", "kmeanspp_seed", "knn_graph_descent"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"index_knn", "graph_beam_knn", "graph_range", "kmeanspp_seed", "knn_graph_descent", "sq_graph_knn"}
 
 
 def test_recall_of_the_queries_without_sql(spark):
@@ -38,6 +38,7 @@ def test_recall_of_the_queries_without_sql(spark):
     truth, near = rows("knn_exact_l2"), rows("range_exact")
     assert len(rows("index_knn") & truth) / len(truth) >= 0.9
     assert len(rows("graph_beam_knn") & truth) / len(truth) >= 0.9
+    assert len(rows("sq_graph_knn") & truth) / len(truth) >= 0.9
     found = rows("graph_range")
     assert found <= near and len(found) >= 0.9 * len(near)
     assert catalog.QUERIES["kmeanspp_seed"](spark, SF).select("vec_id").distinct().count() == 10

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecengine.index import IndexParams, VectorIndex
-from vecengine.operators import evaluate, graph, search
+from vecengine.operators import cluster, evaluate, graph, quantize, search
 
 
 @pytest.fixture(scope="module")
@@ -90,3 +90,63 @@ def test_a_walk_crosses_parts_and_deals_out_queries(spark, monkeypatch):
     assert crossed >= 0.97 and crossed >= alone
     monkeypatch.setattr(graph, "ASKED", 2)
     assert math.isclose(mean_recall(graph.beam_knn(starts, q, held, 5, 40, hops=1), truth), crossed)
+
+
+def test_a_graph_of_codes_is_walked_and_its_nodes_are_scored_anew(spark, tmp_path):
+    g = np.random.default_rng(12)
+    x = g.standard_normal((60, 8))[g.integers(0, 60, 3000)] * 2 + g.standard_normal((3000, 8)) * 0.7
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, v array<double>")
+    params = IndexParams(clusters=8, block_bytes=512, least_rows=6, graph_codes=16)
+    VectorIndex.build(rows, str(tmp_path / "i"), params)
+    index = VectorIndex.load(spark, str(tmp_path / "i"))
+    assert index.params == params and dict(index.graph().dtypes)["v"] == "array<smallint>"
+    book = quantize.table_of(index._table("codebook"))
+    assert book.shape == (8, 16) and (np.diff(book, axis=1) > 0).all()
+    q = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
+    truth, blocks = search.knn(q, rows, 10), index.blocks().count()
+    assert mean_recall(index.knn_by_graph(q, 10, blocks // 8), truth) >= 0.9
+    # the nodes' scores are those of their vectors, not of codes
+    nodes = {r.vec_id: np.array(r.v) for r in index._nodes().collect()}
+    for r in index.walk(q, 4, 20).collect():
+        assert math.isclose(r.score, ((x[r.qid] - nodes[r.vec_id]) ** 2).sum(), rel_tol=1e-9)
+    want = {(r.qid, r.vec_id) for r in index.range(q, 4.0).collect()}
+    found = {(r.qid, r.vec_id) for r in index.range_by_graph(q, 4.0, factor=1.6).collect()}
+    assert found <= want and len(found) >= 0.9 * len(want)
+
+
+def test_codes_are_the_nearest_codewords_and_their_distances_those_of_tables():
+    g = np.random.default_rng(13)
+    table = np.sort(g.standard_normal((5, 6)), axis=1)
+    table[1, 4:] = np.inf  # fewer codewords
+    x = np.concatenate([g.standard_normal((50, 5)), (table[:, :1] + table[:, 1:2]).T / 2])
+    codes = quantize.nearest_codes(x, table)
+    apart = np.abs(x[:, :, None] - table[None])
+    assert (codes == apart.argmin(axis=2))[:50].all() and (codes[50] == 0).all()
+    pairs = (table[:, :, None] - np.where(np.isinf(table), 0, table)[:, None, :]) ** 2  # code-to-code
+    want = sum(pairs[d][codes[:, d][:, None], codes[:, d][None, :]] for d in range(5))
+    assert np.allclose(quantize.code_metric(table).kernel(codes.astype(float), codes.astype(float)), want)
+
+
+def test_small_blocks_are_merged_where_there_is_room():
+    g = np.random.default_rng(14)
+    for _ in range(30):
+        x, label = g.standard_normal((80, 3)), g.integers(0, int(g.integers(1, 30)), 80)
+        label[0] = 99
+        new = cluster.merge_blocks(x, label, 15, 7)
+        sizes = np.sort(np.bincount(new))
+        assert sizes.sum() == 80 and sizes.max() <= max(15, np.bincount(label).max())
+        assert len(sizes) == 1 or sizes[0] >= 7 or sizes[0] + sizes[1] > 15
+        assert all(len(set(new[label == b])) == 1 for b in set(label))  # blocks are put together whole
+
+
+def test_small_parts_are_dissolved_between_levels(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "SPLIT_ROWS", 100)
+    g = np.random.default_rng(15)
+    x = np.concatenate([g.standard_normal((500, 2)), g.standard_normal((6, 2)) * 0.1 + [[30, 30]], np.full((150, 2), -40.0)])
+    v = spark.createDataFrame([(i, 0, r.tolist()) for i, r in enumerate(x)], "vec_id long, cid long, v array<double>")
+    plain = cluster._parts(v, 5).groupBy("part").count().collect()
+    dealt = cluster._parts(v, 5, least=10)
+    sizes = {r.part: r["count"] for r in dealt.groupBy("part").count().collect()}
+    assert min(r["count"] for r in plain) < 10 <= min(sizes.values())
+    assert dealt.select("vec_id").distinct().count() == dealt.count() == len(x)
+    assert cluster.pack_clusters(v, 15, 5, 7).select("vec_id").distinct().count() == len(x)

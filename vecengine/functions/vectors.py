@@ -139,7 +139,7 @@ class Metric(NamedTuple):
     search leaves out cells by it.  Both are sent to the executors with the job.
     """
 
-    column: Callable[[Column, Column], Column]
+    column: Callable[[Column, Column], Column] | None
     ascending: bool
     kernel: Kernel | None = None
     bound: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None
@@ -166,7 +166,10 @@ def register_metric(name: str, column: Callable[[Column, Column], Column], ascen
     METRICS[name] = Metric(column, ascending, kernel, bound)
 
 
-def metric(name: str) -> Metric:
+def metric(name: str | Metric) -> Metric:
+    """A registered metric by its name; a metric itself is what it is."""
+    if isinstance(name, Metric):
+        return name
     if name not in METRICS:
         raise ValueError(f"unknown metric {name!r}; known: {', '.join(METRICS)}")
     return METRICS[name]

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions.vectors import l2_sq
 from .operators import cluster, evaluate, graph, quantize, search
 from .session import stored
 
@@ -18,7 +19,11 @@ SEED_BYTES = 256 << 20
 
 @dataclass(frozen=True)
 class IndexParams:
-    """What an index is built with; all of it is kept in the index's manifest."""
+    """What an index is built with; all of it is kept in the index's manifest.
+
+    ``least_rows``: smaller clusters are dissolved, parts of split clusters and blocks merged where there is room.
+    ``graph_codes``: codewords a dimension; over 0, the graph is walked over codes, and what is found ranked anew.
+    """
 
     metric: str = "l2"
     clusters: int = 20
@@ -30,6 +35,8 @@ class IndexParams:
     degree: int = 16
     beam: int = 64
     sample: int = 1
+    least_rows: int = 0
+    graph_codes: int = 0
 
     def __post_init__(self):
         search.kernel_of(self.metric)
@@ -37,6 +44,8 @@ class IndexParams:
             raise ValueError("an index has one cluster or more")
         if not 1 <= self.sample <= 16:
             raise ValueError("a block has 1 to 16 nodes in the graph: its centroid and its farthest rows")
+        if not (self.graph_codes == 0 or 2 <= self.graph_codes <= 256):
+            raise ValueError("a codebook has 2 to 256 codewords a dimension, or 0 for none")
 
 
 class VectorIndex:
@@ -54,7 +63,8 @@ class VectorIndex:
         self.spark, self.path, self._checked = spark, path, False
         row = spark.read.parquet(f"{path}/manifest").first()
         self.dim, self.rows = row.dim, row.rows
-        self.params = IndexParams(**{k: row[k] for k in IndexParams.__dataclass_fields__})
+        told = row.asDict()
+        self.params = IndexParams(**{k: told[k] for k in IndexParams.__dataclass_fields__ if k in told})
 
     load = classmethod(lambda cls, spark, path: cls(spark, path))
 
@@ -77,7 +87,10 @@ class VectorIndex:
         trained = cluster.lloyd(sample, start, params.rounds, cluster.mean_norm(sample), stop=0.01, repair=True)
         sample.unpersist()
         size = cluster.capacity(told.dim, params.block_bytes, coded=params.coded)
-        packed = stored(cluster.pack_clusters(search.assign(rows, trained), size, params.seed), "index-packed")
+        dealt = search.assign(rows, trained)
+        if params.least_rows:
+            dealt = stored(cluster.dissolve(dealt, trained, params.least_rows), "index-dealt")
+        packed = stored(cluster.pack_clusters(dealt, size, params.seed, min(params.least_rows, size)), "index-packed")
         lo, hi = quantize.bounds(quantize.train(rows)) if params.coded else ([], [])
         kept = packed.withColumn("v", quantize.encode(F.col("v"), lo, hi)) if params.coded else packed
         laid = kept.select((F.col("cid") * F.lit(1 << 40) + F.col("block_id")).alias("key"), "vec_id", "v").repartitionByRange("key").sortWithinPartitions("key", "vec_id")
@@ -102,11 +115,16 @@ class VectorIndex:
         edges = graph.symmetrize(graph.diverse(edges, nodes, params.degree), 2 * params.degree)
         parted = stored(_parted(nodes.select("vec_id", "v"), params.seed), "index-parts")
         cluster.centroids(parted).write.parquet(f"{path}/routes")
-        graph.adjacency(parted, edges).repartitionByRange("cid").sortWithinPartitions("cid", "vec_id").write.option("parquet.block.size", 4 << 20).parquet(f"{path}/graph")
+        held = graph.adjacency(parted, edges)
+        if params.graph_codes:
+            quantize.train_codebook(nodes, params.graph_codes).write.parquet(f"{path}/codebook")
+            held = quantize.code_rows(held, quantize.table_of(spark.read.parquet(f"{path}/codebook")))
+            nodes.select("vec_id", "v").repartitionByRange("vec_id").sortWithinPartitions("vec_id").write.parquet(f"{path}/nodes")
+        held.repartitionByRange("cid").sortWithinPartitions("cid", "vec_id").write.option("parquet.block.size", 4 << 20).parquet(f"{path}/graph")
         trained.write.parquet(f"{path}/clusters")
         spark.createDataFrame(list(enumerate(zip(lo, hi, strict=True))) or [], "dim int, range struct<lo:double,hi:double>").write.parquet(f"{path}/bounds")
         manifest = asdict(params) | {"dim": int(told.dim), "rows": int(told.n)}
-        spark.createDataFrame([tuple(manifest.values())], "metric string, clusters int, block_bytes int, rounds int, coded boolean, seed int, sample_rate double, degree int, beam int, sample int, dim int, rows long").write.parquet(f"{path}/manifest")
+        spark.createDataFrame([tuple(manifest.values())], "metric string, clusters int, block_bytes int, rounds int, coded boolean, seed int, sample_rate double, degree int, beam int, sample int, least_rows int, graph_codes int, dim int, rows long").write.parquet(f"{path}/manifest")
         return cls(spark, path)
 
     def _table(self, name: str) -> DataFrame:
@@ -169,9 +187,20 @@ class VectorIndex:
         return most
 
     def walk(self, queries: DataFrame, parts: int, width: int, told: list | None = None) -> DataFrame:
-        """``(qid, rank, vec_id, score)``: the nodes that a beam of ``width`` finds from the ``parts`` nearest parts, and as many that edges lead to."""
+        """``(qid, rank, vec_id, score)``: the nodes that a beam of ``width`` finds from the ``parts`` nearest parts, and as many that edges lead to.
+
+        Over codes the beam goes by distances between codes; the nodes found are scored by their vectors.
+        """
         near = search.probe(queries, self._table("routes"), parts).select("qid", "cid")
-        return graph.beam_knn(near, queries, self.graph(), width, width, parts=parts, told=told)
+        if not self.params.graph_codes:
+            return graph.beam_knn(near, queries, self.graph(), width, width, parts=parts, told=told)
+        found = graph.beam_knn(near, queries, self.graph(), width, width, parts=parts, told=told, book=quantize.table_of(self._table("codebook")))
+        pairs = found.select("qid", "vec_id").join(queries.select(F.col("qid").cast("long").alias("qid"), "qv"), "qid").join(self._nodes(), "vec_id")
+        return search.ranked(pairs.select("qid", "vec_id", l2_sq(F.col("qv"), F.col("v")).alias("score")), width)
+
+    def _nodes(self) -> DataFrame:
+        """``(vec_id, v)``: the nodes' vectors, whether the graph has codes or not."""
+        return self._table("nodes") if self.params.graph_codes else self.graph().select("vec_id", "v")
 
     def knn_by_graph(self, queries: DataFrame, k: int, nprobe: int, parts: int = 4, told: list | None = None) -> DataFrame:
         """``(qid, rank, vec_id, score)``: the k best in up to ``nprobe`` blocks that a beam finds in the graph from ``parts`` parts."""
@@ -210,7 +239,7 @@ class VectorIndex:
         start = stored(found, "index-seeds")
         nodes = self.graph()
         edges = nodes.select(F.col("vec_id").alias("src"), F.explode("links").alias("dst"))
-        met = graph.radius_expand(start.select("qid", "vec_id"), edges, nodes, queries, radius * factor).select("qid", "vec_id", "score").unionByName(start)
+        met = graph.radius_expand(start.select("qid", "vec_id"), edges, self._nodes(), queries, radius * factor).select("qid", "vec_id", "score").unionByName(start)
         members, blocks = self._keyed()
         near = met.withColumn("cid", F.shiftright("vec_id", 4)).join(blocks.select("cid", "reach"), "cid")
         apart = F.sqrt(F.greatest("score", F.lit(0.0))) > radius**0.5 + 1e-9 + F.col("reach")

@@ -135,8 +135,8 @@ def lloyd(vectors: DataFrame, start: DataFrame, rounds: int, length: float | Non
     return now
 
 
-def merge_small(assigned: DataFrame, cents: DataFrame, least: int) -> DataFrame:
-    """``(vec_id, cid)`` with clusters below ``least`` rows dissolved into the nearest that remain.
+def dissolve(assigned: DataFrame, cents: DataFrame, least: int) -> DataFrame:
+    """``(cid, vec_id, v)`` with clusters below ``least`` rows dissolved into the nearest that remain.
 
     If none is that large, all rows go to one cluster, the smallest cid.
     """
@@ -144,10 +144,15 @@ def merge_small(assigned: DataFrame, cents: DataFrame, least: int) -> DataFrame:
     large = cents.join(sizes.where(F.col("n") >= least), "cid", "left_semi")
     if large.isEmpty():
         one = sizes.agg(F.min("cid")).first()[0]
-        return assigned.select("vec_id", F.lit(one).cast("long").alias("cid"))
-    kept = assigned.join(large.select("cid"), "cid", "left_semi").select("vec_id", "cid")
+        return assigned.select(F.lit(one).cast("long").alias("cid"), "vec_id", "v")
+    kept = assigned.join(large.select("cid"), "cid", "left_semi").select("cid", "vec_id", "v")
     loose = assigned.join(large.select("cid"), "cid", "left_anti").select("vec_id", "v")
-    return kept.unionByName(assign(loose, large).select("vec_id", "cid"))
+    return kept.unionByName(assign(loose, large).select("cid", "vec_id", "v"))
+
+
+def merge_small(assigned: DataFrame, cents: DataFrame, least: int) -> DataFrame:
+    """``(vec_id, cid)`` of :func:`dissolve`."""
+    return dissolve(assigned, cents, least).select("vec_id", "cid")
 
 
 def balanced(x: np.ndarray, k: int, rounds: int = 10, seed: int = 1234) -> np.ndarray:
@@ -221,8 +226,34 @@ def assign_penalised(x: np.ndarray, cents: np.ndarray, weight: float) -> np.ndar
     return label
 
 
-def blocks_of(x: np.ndarray, capacity: int, seed: int = 1234) -> np.ndarray:
-    """Block of each row of one bounded group: split by the square root of what is needed, then evenly."""
+def merge_blocks(x: np.ndarray, label: np.ndarray, capacity: int, least: int) -> np.ndarray:
+    """Blocks of one bounded group, each under ``least`` rows put together with the nearest that has room for it.
+
+    The smallest goes first; afterwards a block is under ``least`` rows only if no other one has room.
+    """
+    _, label = np.unique(label, return_inverse=True)
+    sizes, label = np.bincount(label), label.copy()
+    sums = np.zeros((len(sizes), x.shape[1]))
+    np.add.at(sums, label, x)
+    into, stuck = np.arange(len(sizes)), np.zeros(len(sizes), bool)
+    while True:
+        small = np.flatnonzero((sizes > 0) & (sizes < least) & ~stuck)
+        if not len(small):
+            break
+        a = small[sizes[small].argmin()]
+        room = np.flatnonzero((sizes > 0) & (sizes + sizes[a] <= capacity))
+        room = room[room != a]
+        if not len(room):
+            stuck[a] = True  # sizes only grow, so it stays so
+            continue
+        b = room[((sums[room] / sizes[room, None] - sums[a] / sizes[a]) ** 2).sum(axis=1).argmin()]
+        into[into == a] = b
+        sizes[b], sums[b], sizes[a] = sizes[b] + sizes[a], sums[b] + sums[a], 0
+    return np.unique(into[label], return_inverse=True)[1]
+
+
+def blocks_of(x: np.ndarray, capacity: int, seed: int = 1234, least: int = 0) -> np.ndarray:
+    """Block of each row of one bounded group: split by the square root of what is needed, then evenly; blocks under ``least`` are merged."""
     out, ready, todo = np.zeros(len(x), np.int64), 0, [(np.arange(len(x)), 0)]
     while todo:
         rows, level = todo.pop()
@@ -241,7 +272,7 @@ def blocks_of(x: np.ndarray, capacity: int, seed: int = 1234) -> np.ndarray:
                 cents = np.stack([x[rows][label == c].mean(axis=0) for c in range(k)])
         parts = [rows[label == c] for c in np.unique(label)]
         todo += [(p, level + 1) for p in parts[::-1]] if len(parts) > 1 else [(h, 3) for h in np.array_split(rows, need)]
-    return out
+    return merge_blocks(x, out, capacity, least) if least and len(x) else out
 
 
 def _sub_centroids(large: DataFrame, seed: int) -> DataFrame:
@@ -271,13 +302,13 @@ def _nearest_parts(large: DataFrame, subs: DataFrame, most: int = 1 << 20) -> Da
     table = subs.orderBy("cid", "part", "sub").limit(most + 1).toArrow()
     if table.num_rows > most:
         raise ValueError(f"more than {most} parts: cluster in more clusters first")
-    groups: dict[tuple[int, int], list[int]] = {}
+    subs, groups = table["sub"].to_numpy(), {}
     for i, key in enumerate(zip(table["cid"].to_pylist(), table["part"].to_pylist(), strict=True)):
         groups.setdefault(key, []).append(i)
-    held = large.sparkSession.sparkContext.broadcast((groups, matrix(table["c"])))
+    held = large.sparkSession.sparkContext.broadcast((groups, subs, matrix(table["c"])))
 
     def run(batches):
-        groups, c = held.value
+        groups, subs, c = held.value
         for batch in batches:
             cid, part, v = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(3))
             new = part.copy()
@@ -285,14 +316,33 @@ def _nearest_parts(large: DataFrame, subs: DataFrame, most: int = 1 << 20) -> Da
                 rows, own = np.flatnonzero((cid == key[0]) & (part == key[1])), c[groups[key]]
                 for at in range(0, len(rows), max(1, TILE // len(own))):
                     some = rows[at : at + max(1, TILE // len(own))]
-                    new[some] = key[1] * MOST_PARTS + scores(v[some], own, "l2").argmin(axis=1) + 1
+                    new[some] = key[1] * MOST_PARTS + subs[groups[key]][scores(v[some], own, "l2").argmin(axis=1)] + 1
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new), batch.column(2), batch.column(3)], ["cid", "part", "vec_id", "v"])
 
     return large.select("cid", "part", "vec_id", "v").mapInArrow(run, "cid long, part long, vec_id long, v array<double>")
 
 
-def _parts(assigned: DataFrame, seed: int, levels: int = 4) -> DataFrame:
-    """``(cid, part, vec_id, v)``: clusters over SPLIT_ROWS rows split by distance, level by level.
+def _split(large: DataFrame, seed: int, least: int) -> DataFrame:
+    """Each row of the large groups in a part of its group; parts under ``least`` rows are dissolved among the group's others."""
+    subs = _sub_centroids(large, seed)
+    if not least:
+        return _nearest_parts(large, subs)
+    subs = stored(subs, "subs")
+    first = stored(_nearest_parts(large, subs), "split")
+    small = first.groupBy("cid", F.col("part").alias("new")).agg(F.count("*").alias("n")).where(F.col("n") < least)
+    # a part's number is that of its group, times MOST_PARTS, and of its centroid; of an only part nothing is left to go to
+    own = subs.withColumn("new", F.col("part") * MOST_PARTS + F.col("sub") + 1)
+    rest = own.join(small, ["cid", "new"], "left_anti").drop("new")
+    some = small.join(own.select("cid", "new", "part"), ["cid", "new"]).join(rest.select("cid", "part").distinct(), ["cid", "part"], "left_semi").select("cid", "new", "part")
+    if some.isEmpty():
+        return first
+    loose = first.withColumnRenamed("part", "new").join(some, ["cid", "new"]).select("cid", "part", "vec_id", "v")
+    stay = first.join(some.select("cid", F.col("new").alias("part")), ["cid", "part"], "left_anti")
+    return stay.unionByName(_nearest_parts(loose, rest.join(some.select("cid", "part").distinct(), ["cid", "part"], "left_semi")))
+
+
+def _parts(assigned: DataFrame, seed: int, levels: int = 4, least: int = 0) -> DataFrame:
+    """``(cid, part, vec_id, v)``: clusters over SPLIT_ROWS rows split by distance, level by level; parts under ``least`` are merged between levels.
 
     A group that does not shrink (rows of one place) is dealt out by a hash of the id in the end,
     so a part holds a bounded number of rows whatever the data.
@@ -306,28 +356,28 @@ def _parts(assigned: DataFrame, seed: int, levels: int = 4) -> DataFrame:
         if level == levels - 1:
             break
         large = dealt.join(sizes.select("cid", "part", "n"), ["cid", "part"])
-        split = _nearest_parts(large, _sub_centroids(large, seed + level))
+        split = _split(large, seed + level, least)
         dealt = stored(dealt.join(sizes, ["cid", "part"], "left_anti").unionByName(split), "parts")
     again = dealt.join(sizes.select("cid", "part", F.ceil(F.col("n") / SPLIT_ROWS).cast("int").alias("by")), ["cid", "part"], "left")
     hashed = F.col("part") * MOST_PARTS + F.coalesce(F.pmod(F.xxhash64("vec_id"), "by") + 1, F.lit(0))
     return again.select("cid", hashed.alias("part"), "vec_id", "v")
 
 
-def pack_clusters(assigned: DataFrame, capacity: int, seed: int = 1234) -> DataFrame:
+def pack_clusters(assigned: DataFrame, capacity: int, seed: int = 1234, least: int = 0) -> DataFrame:
     """``(cid, block_id, vec_id, v)``: each cluster cut into blocks of at most ``capacity`` close rows.
 
     A cluster of more than SPLIT_ROWS rows is split by distance first, so a task holds a bounded
     group whatever the cluster's size; parts are numbered within their cluster, and a block's id
-    starts with its part.
+    starts with its part.  A part or block under ``least`` rows is merged with near ones of its group that have room.
     """
-    dealt = _parts(assigned, seed)
+    dealt = _parts(assigned, seed, least=least)
     known = dealt.select("cid", "part").distinct()
     known = known.withColumn("nth", F.row_number().over(Window.partitionBy("cid").orderBy("part")).cast("long") - 1)
     dealt = dealt.join(known, ["cid", "part"]).select("cid", F.col("nth").alias("part"), "vec_id", "v")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
-        block = blocks_of(matrix(table["v"]), capacity, seed)
+        block = blocks_of(matrix(table["v"]), capacity, seed, least)
         ids = pa.array(table["part"].to_numpy().astype(np.int64) * (1 << 20) + block)
         return pa.table({"cid": table["cid"], "block_id": ids, "vec_id": table["vec_id"], "v": table["v"]})
 

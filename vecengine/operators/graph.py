@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, discard, stored
+from .quantize import decoded, nearest_codes
 from .search import SCORED, _cells, matrix, ranked
 
 
@@ -221,7 +222,7 @@ def _walk(q: np.ndarray, x: np.ndarray, ends: np.ndarray, upper: np.ndarray, ent
     return dist, done
 
 
-def walk(starts: DataFrame, queries: DataFrame, graph: DataFrame, width: int) -> DataFrame:
+def walk(starts: DataFrame, queries: DataFrame, graph: DataFrame, width: int, book: np.ndarray | None = None) -> DataFrame:
     """One round in the parts that each query starts in, as rows of WALKED.
 
     ``starts`` is ``(qid, cid, vec_id)``: a part and a node of it to enter at (null: the part's
@@ -229,8 +230,10 @@ def walk(starts: DataFrame, queries: DataFrame, graph: DataFrame, width: int) ->
     parts of bounded size.  A part is searched in one task by up to ASKED queries, so a part that all
     queries start in is many tasks.  Rows with a score are nodes found (``width`` a query and part);
     rows with a part hand a query over to a node there that an edge leads to; rows with ``scored``
-    tell how many distances a query took.
+    tell how many distances a query took.  With ``book`` the nodes' ``v`` are codes of that codebook, queries
+    are put into codes too, and distances are those between codes.
     """
+    coded = starts.sparkSession.sparkContext.broadcast(book) if book is not None else None
     s = starts.select("qid", F.col("cid").alias("of"), "vec_id").join(queries.select("qid", "qv"), "qid")
     count = s.groupBy("of").agg(F.ceil(F.count_distinct("qid") / ASKED).cast("int").alias("nb"))
     asked = s.join(count, "of").select("of", F.pmod(F.xxhash64("qid"), "nb").cast("int").alias("b"), F.col("qid").cast("long").alias("qid"), "qv", F.col("vec_id").cast("long").alias("vec_id"))
@@ -257,6 +260,8 @@ def walk(starts: DataFrame, queries: DataFrame, graph: DataFrame, width: int) ->
             upper = np.argsort(mixed, kind="stable")[: max(8, len(ids) // LEVEL)]
             qids, first, of = np.unique(asked["qid"].to_numpy(), return_index=True, return_inverse=True)
             q = matrix(asked["qv"])[first]
+            if coded is not None:
+                x, q = decoded(x, coded.value), decoded(nearest_codes(q, coded.value), coded.value)
             given = asked["vec_id"].combine_chunks()
             has = given.is_valid().to_numpy(zero_copy_only=False)
             nth = np.minimum(np.searchsorted(ids, given.fill_null(0).to_numpy()), len(ids) - 1)
@@ -281,7 +286,7 @@ def walk(starts: DataFrame, queries: DataFrame, graph: DataFrame, width: int) ->
     return held.groupBy("cid", "nth").cogroup(asked.groupBy("of", "b")).applyInArrow(run, WALKED)
 
 
-def beam_knn(starts: DataFrame, queries: DataFrame, graph: DataFrame, k: int, width: int, hops: int = 1, parts: int = 4, told: list | None = None) -> DataFrame:
+def beam_knn(starts: DataFrame, queries: DataFrame, graph: DataFrame, k: int, width: int, hops: int = 1, parts: int = 4, told: list | None = None, book: np.ndarray | None = None) -> DataFrame:
     """``(qid, rank, vec_id, score)``: approximate k nearest nodes by best-first search from where each query starts.
 
     After a round in the parts of ``starts`` (``(qid, cid)``, with ``vec_id`` a node to enter at) a
@@ -292,7 +297,7 @@ def beam_knn(starts: DataFrame, queries: DataFrame, graph: DataFrame, k: int, wi
     starts = stored(starts.select("qid", "cid", "vec_id").distinct(), "graph-starts")
     been, found = starts.select("qid", "cid").distinct(), None
     for hop in range(hops + 1):
-        met = stored(walk(starts, queries, graph, max(width, k)), "graph-walk")
+        met = stored(walk(starts, queries, graph, max(width, k), book), "graph-walk")
         if told is not None:
             told.append(tuple(met.where("scored IS NOT NULL").agg(F.count("*"), F.coalesce(F.sum("scored"), F.lit(0))).first()))
         nodes = met.where("score IS NOT NULL").select("qid", "vec_id", "score")

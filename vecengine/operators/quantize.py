@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import Metric, l2_kernel
+from .search import matrix
+
 
 def train(vectors: DataFrame) -> DataFrame:
     """``(dim, lo, hi)``: the least and greatest component of each dimension, from 0."""
@@ -93,3 +98,45 @@ def errors(vectors: DataFrame, lo: list[float], hi: list[float]) -> DataFrame:
     return vectors.select("vec_id", l2_sq(F.col("v"), decode(encode(F.col("v"), lo, hi), lo, hi)).alias("err"))
 
 
+def table_of(codewords: DataFrame) -> np.ndarray:
+    """A codebook ``(dim, code, value)`` as a row a dimension, at most 256 values each; shorter rows end in infinities."""
+    rows = codewords.select("dim", "code", "value").collect()  # dimensions times 256
+    table = np.full((max(r.dim for r in rows) + 1, max(r.code for r in rows) + 1), np.inf)
+    for r in rows:
+        table[r.dim, r.code] = r.value
+    return table
+
+
+def nearest_codes(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The nearest codeword of every component, the lower code on a tie; codewords ascend."""
+    with np.errstate(invalid="ignore"):
+        middles = (table[:, 1:] + table[:, :-1]) / 2
+    middles[np.isnan(middles)] = np.inf
+    codes = [np.searchsorted(m, column, side="left") for m, column in zip(middles, x.T, strict=True)]
+    return np.stack(codes, axis=1) if len(codes) else np.zeros(x.shape, np.int64)
+
+
+def decoded(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[np.arange(len(table)), codes.astype(np.int64)]
+
+
+def code_rows(vectors: DataFrame, table: np.ndarray) -> DataFrame:
+    """``vectors`` with ``v`` as codes of a codebook; vectors that are null are left out."""
+    rows, held = vectors.where("v IS NOT NULL"), vectors.sparkSession.sparkContext.broadcast(table)
+    at = rows.columns.index("v")
+    fields = ", ".join(f"`{f.name}` {'array<smallint>' if f.name == 'v' else f.dataType.simpleString()}" for f in rows.schema)
+
+    def run(batches):
+        for batch in batches:
+            x = matrix(batch.column(at))
+            codes = nearest_codes(x, held.value) if len(x) else np.zeros((0, len(held.value)), np.int64)
+            flat = pa.array(codes.astype(np.int16).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * len(held.value)), flat)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], lists, *batch.columns[at + 1 :]], batch.schema.names)
+
+    return rows.mapInArrow(run, fields)
+
+
+def code_metric(table: np.ndarray) -> Metric:
+    """Squared distances between codes: both sides are looked up in the codebook, and nothing else of them is known."""
+    return Metric(None, True, lambda q, v: l2_kernel(decoded(q, table), decoded(v, table)))

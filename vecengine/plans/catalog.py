@@ -11,6 +11,7 @@ import math
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -314,6 +315,15 @@ def sq_asym_knn(t):
     return answer(search.knn(t.q, decoded, K))
 
 
+@query(_sql(_ROUNDED + "found", _E, _B, _LH, _CODE, _DEC, _top("found", "(SELECT a.vec_id AS qid, a.v AS qv, b.vec_id, b.v FROM dec a, dec b WHERE a.vec_id % 50 = 0)", _l2("qv", "v"), K)))
+def sq_symmetric_knn(t):
+    """Distances between codes: neither side is known but by its codes."""
+    lo, hi = t.bounds()
+    table = np.array([[c * (b - a + 1.0) / 256.0 + a for c in range(256)] for a, b in zip(lo, hi, strict=True)])
+    code = lambda df, v: df.withColumn(v, quantize.encode(F.col(v), lo, hi))
+    return answer(search.knn(code(t.q, "qv"), code(t.e, "v"), K, quantize.code_metric(table)))
+
+
 @query(
     _sql(
         "SELECT vec_id, dim::BIGINT AS dim, code::BIGINT AS code FROM (SELECT vec_id, x.dim, code, row_number() OVER (PARTITION BY vec_id, x.dim ORDER BY abs(x - value), code) AS rn FROM x JOIN w USING (dim)) WHERE rn = 1",
@@ -810,6 +820,13 @@ def graph_beam_knn(t):
     return answer(index.knn_by_graph(t.q, K, index.probes_for(K)))
 
 
+@query()
+def sq_graph_knn(t):
+    """A beam over codes finds blocks, whose centroids are scored anew, and their rows are searched exactly."""
+    index = _index(t, graph_codes=64)
+    return answer(index.knn_by_graph(t.q, K, index.probes_for(K)))
+
+
 @query()
 def graph_range(t):
     index = _index(t)
@@ -823,6 +840,20 @@ def balanced_block_sizes(t):
     return blocks.groupBy("cid").agg(F.sum("n").alias("rows"), (F.max("n") <= CAPACITY).alias("fit"))
 
 
+@query("SELECT count(*) AS rows, true AS fit, 0::BIGINT AS small_clusters, 0::BIGINT AS mergeable FROM embeddings")
+def merged_block_sizes(t):
+    """Rows after small clusters are dissolved and small blocks merged, and how many are left that could have been.
+
+    Of a part's blocks the two smallest tell whether one under the least rows still fits another.
+    """
+    least = CAPACITY // 2
+    blocks = cluster.pack_clusters(cluster.dissolve(t.a, t.c, _LEAST), CAPACITY, least=least).groupBy("cid", "block_id").agg(F.count("*").alias("n"))
+    parts = blocks.groupBy("cid", F.shiftright("block_id", 20).alias("part")).agg(F.sum("n").alias("rows"), F.max("n").alias("most"), F.array_sort(F.collect_list("n")).alias("n"))  # 20,000 rows a part
+    both = (F.size("n") > 1) & (F.col("n")[0] < least) & (F.get("n", F.lit(0)) + F.get("n", F.lit(1)) <= CAPACITY)
+    sizes = parts.groupBy("cid").agg(F.sum("rows").alias("rows"), F.max("most").alias("most"), F.count_if(both).alias("mergeable"))
+    return sizes.agg(F.sum("rows").alias("rows"), (F.max("most") <= CAPACITY).alias("fit"), F.count_if(F.col("rows") < F.least(F.lit(_LEAST), F.lit(t.e.count()))).alias("small_clusters"), F.sum("mergeable").alias("mergeable"))
+
+
 @query(_sql("SELECT vec_id, label FROM e ORDER BY md5('1234:' || vec_id), vec_id LIMIT (SELECT greatest(count(*) // 100, least(count(*), 390)) FROM e)", _E))
 def hash_sample(t):
     return cluster.hash_sample(t.e.select("vec_id", "label"), cluster.sample_size(t.e.count(), 10))
