@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -552,6 +553,17 @@ def test_the_sample_is_bounded_and_the_same_in_every_run(spark, monkeypatch):
     assert len(whole[0]) == len(told[0]) and len(set(told[0]) - set(whole[0])) <= 1 and max(map(len, whole[0])) == 300
 
 
+def test_the_fit_keeps_words_as_numbers():
+    """The driver fits; its memory grows by few hundred bytes a distinct word."""
+    g = np.random.default_rng(21)
+    texts = [" ".join("".join(chr(97 + c) for c in w) for w in g.integers(0, 26, (800, 12))) for _ in range(64)]
+    tracemalloc.start()
+    net = toxicity.fit(texts, [i % 2 for i in range(64)], 0.5, epochs=3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 800 * 64 * 800 and np.isfinite(toxicity._Scorer(net).score([*texts[:3], "", None])[0]).all()
+
+
 def test_copies_of_pages_count_once_even_where_the_filter_is_full(spark, monkeypatch):
     page = lambda i: f"<html><body><div class='menu'><p>Home and news and contact</p></div><div><p>{prose(900 + i, 30)}</p></div></body></html>"
     rows = [(i, "http://a.org/x", page(i)) for i in range(6)] + [(100 + i, f"http://a.org/{i}", page(2)) for i in range(60)] + [(300, "http://a.org/x", page(2))] * 2

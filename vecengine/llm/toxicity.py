@@ -10,6 +10,7 @@ A word of over LONGEST characters, such as a text without blanks, is read as con
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,6 +32,8 @@ MOST_TOXIC, MOST_CLEAN, MOST_TEXT = 1000, 1600, 32 << 10
 EPOCHS, RATE, BATCH, HIDE = 14, 0.01, 128, 0.5
 #: Distinct words that a worker keeps the inputs of.
 KEPT_WORDS = 200_000
+#: Words whose trigrams' embeddings are gathered at once.
+PART = 16_384
 #: Characters of a word; a longer one is cut at what is no letter or digit, and else after so many.
 LONGEST = 24
 
@@ -52,25 +55,56 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-x))
 
 
+@dataclass
+class Rows:
+    """Embedding rows of words: each one's own, and those of its trigrams, end to end with their number."""
+
+    word: np.ndarray
+    grams: np.ndarray
+    sizes: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.word)
+
+    def of(self, words: np.ndarray) -> Rows:
+        """The rows of some words."""
+        sizes = self.sizes[words]
+        starts = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes)[words]
+        at = np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes, dtype=np.int64) - sizes), sizes)
+        return Rows(self.word[words], self.grams[at], sizes)
+
+
+#: Stands where there are no words at all.
+NO_WORD = Rows(np.zeros(1, np.uint16), np.zeros(1, np.uint16), np.ones(1, np.int32))
+
+
 class Words(dict):
-    """Numbers distinct words as they come, and tells each one's embedding rows."""
+    """Numbers distinct words as they come, and tells each one's embedding rows, kept as plain numbers."""
 
     def __init__(self):
         self.of_core: dict[str, int] = {}
-        self.rows: list[tuple[int, list[int]]] = []
+        self._word, self._grams, self._sizes = array("H"), array("H"), array("i")
 
     def __missing__(self, raw: str) -> int:
         core = _EDGE.sub("", raw).lower() or raw
         n = self.of_core.get(core)
         if n is None:
-            n = self.of_core[core] = len(self.rows)
+            n = self.of_core[core] = len(self.of_core)
             marked = f"<{core}>".encode("utf-8", "surrogatepass")
             hashed = xxhash.xxh32_intdigest
-            grams = [hashed(marked[i : i + 3]) % GRAM_ROWS for i in range(max(1, len(marked) - 2))]
-            self.rows.append((hashed(marked) % WORD_ROWS, grams))
+            size = max(1, len(marked) - 2)
+            self._grams.extend([hashed(marked[i : i + 3]) % GRAM_ROWS for i in range(size)])
+            self._sizes.append(size)
+            self._word.append(hashed(marked) % WORD_ROWS)
         self[raw] = n
         return n
 
+    def taken(self) -> Rows:
+        """The rows of the words that are new since the last call; they are not kept here any longer."""
+        out = Rows(np.array(self._word, np.uint16), np.array(self._grams, np.uint16), np.array(self._sizes, np.int32))
+        self._word, self._grams, self._sizes = array("H"), array("H"), array("i")
+        return out
+
     def texts(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
         """Each text's pieces as numbers, and the places of their words as :func:`pieces` tells them."""
         number = self.__getitem__
@@ -107,14 +141,16 @@ class Network:
             p |= {f"W{d}": n(2 * WIDTH, 3 * STATES), f"U{d}": n(STATES, 3 * STATES), f"c{d}": np.zeros(3 * STATES, np.float32)}
         return cls(p | {"A": n(2 * STATES, STATES), "a": np.zeros(STATES, np.float32), "v": n(STATES, 1)[:, 0], "o": n(2 * STATES, 1)[:, 0], "b": np.zeros(1, np.float32)})
 
-    def inputs(self, rows: list[tuple[int, list[int]]]) -> np.ndarray:
-        """The input of each word."""
-        if not rows:
-            return np.zeros((0, 2 * WIDTH), np.float32)
-        flat = np.array([i for _, gs in rows for i in gs])
-        sizes = np.array([len(gs) for _, gs in rows])
-        chars = np.add.reduceat(self.p["gram"][flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
-        return np.concatenate([self.p["word"][[w for w, _ in rows]], chars], axis=1).astype(np.float32)
+    def inputs(self, rows: Rows) -> np.ndarray:
+        """The input of each word; PART words at a time have their trigrams' embeddings gathered."""
+        out = np.empty((len(rows), 2 * WIDTH), np.float32)
+        out[:, :WIDTH] = self.p["word"][rows.word]
+        ends = np.cumsum(rows.sizes, dtype=np.int64)
+        for at in range(0, len(rows), PART):
+            sizes, starts = rows.sizes[at : at + PART], (ends - rows.sizes)[at : at + PART]
+            flat = rows.grams[starts[0] : starts[-1] + sizes[-1]]
+            out[at : at + PART, WIDTH:] = np.add.reduceat(self.p["gram"][flat], starts - starts[0], axis=0) / sizes[:, None]
+        return out
 
     def read(self, d: str, pre: list[np.ndarray], mask: np.ndarray | None, keep: list | None = None) -> list[np.ndarray]:
         """The states of one layer; ``pre[t]`` is what the words of place t give to the three gates."""
@@ -215,12 +251,12 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = 5, epochs
         return Network(constant=float(np.clip(share, 0, 1)))
     g = np.random.default_rng(seed)
     net, table = Network.new(seed), Words()
-    numbered, _ = table.texts(texts)
-    words, found, _ = windows(numbered)
+    words, found, _ = windows(table.texts(texts)[0])
+    rows = table.taken() if table else NO_WORD
+    del table  # from here on words are numbers
     row, first, length = found
     ends = np.searchsorted(row, np.arange(len(texts)), side="right")
     begins = np.searchsorted(row, np.arange(len(texts)))
-    grams = [np.array(r[1]) for r in table.rows]
     m = {n: np.zeros_like(a) for n, a in net.p.items()}
     s = {n: np.zeros_like(a) for n, a in net.p.items()}
     step = 0
@@ -228,7 +264,7 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = 5, epochs
     for epoch in range(epochs):
         chance = g.integers(begins, ends)
         if epoch >= 2:
-            _, best = net.scores(words, found, net.project(net.inputs(table.rows)), len(texts))
+            _, best = net.scores(words, found, net.project(net.inputs(rows)), len(texts))
             picked = np.concatenate([best, chance[y == 0]])
             target = np.concatenate([y, y[y == 0]])
         else:
@@ -238,16 +274,14 @@ def fit(texts: list[str], labels: list[int], share: float, seed: int = 5, epochs
             k = picked[order[at : at + size]]
             mask = np.arange(SPAN) < length[k][:, None]
             ids, local = np.unique(np.where(mask, words[np.minimum(first[k][:, None] + np.arange(SPAN), len(words) - 1)], 0), return_inverse=True)
-            rows = [table.rows[i] if table.rows else (0, [0]) for i in ids]
-            x = net.inputs(rows)
+            own = rows.of(ids)
+            x = net.inputs(own)
             seen = g.random(len(ids)) >= HIDE
             x[:, :WIDTH] *= seen[:, None]
             grads, dx = net.gradients(x, local.reshape(len(k), SPAN), mask, target[order[at : at + size]])
             grads["word"], grads["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
-            np.add.at(grads["word"], [w for w, _ in rows], dx[:, :WIDTH] * seen[:, None])
-            sizes = np.array([len(r[1]) for r in rows])
-            flat = np.concatenate([grams[i] for i in ids]) if grams else np.zeros(len(ids), np.int64)
-            np.add.at(grads["gram"], flat, np.repeat(dx[:, WIDTH:] / sizes[:, None], sizes, axis=0))
+            np.add.at(grads["word"], own.word, dx[:, :WIDTH] * seen[:, None])
+            np.add.at(grads["gram"], own.grams, np.repeat(dx[:, WIDTH:] / own.sizes[:, None], own.sizes, axis=0))
             step += 1
             rate = RATE * (1 - 0.9 * epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for n, d in grads.items():
@@ -295,7 +329,7 @@ class _Scorer:
         self._start()
 
     def _start(self) -> None:
-        self.table, self.known, self.proj = Words(), 0, {}
+        self.table, self.proj = Words(), {}
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if self.net.constant is not None:
@@ -303,13 +337,11 @@ class _Scorer:
         if len(self.table) > KEPT_WORDS:
             self._start()
         numbered, places = self.table.texts(texts)
-        rows = self.table.rows[self.known :]
-        if rows:
+        rows = self.table.taken()
+        if len(rows):
             new = self.net.project(self.net.inputs(rows))
             self.proj = {d: np.concatenate([self.proj[d], new[d]]) for d in new} if self.proj else new
-            self.table.rows[self.known :] = [None] * len(rows)  # their inputs are known now
-            self.known += len(rows)
-        proj = self.proj or self.net.project(self.net.inputs([(0, [0])]))  # no words at all: every place is masked
+        proj = self.proj or self.net.project(self.net.inputs(NO_WORD))  # no words at all: every place is masked
         words, found, counts = windows(numbered)
         best, which = self.net.scores(words, found, proj, len(texts))
         firsts = np.cumsum(counts) - counts
