@@ -205,6 +205,30 @@ def test_trie_on_random_strings():
         assert ids.tolist() == want and coder.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_a_byte_takes_one_step_and_small_tables_do_no_harm(monkeypatch):
+    library, spec = Tokenizer.from_file(BPE), open(BPE, encoding="utf-8").read()
+    coder = bpe.Encoder(bpe.Vocabulary(spec))
+    g = np.random.default_rng(22)
+    batches = [[" ".join("".join(g.choice(list("etaoinéß1-"), g.integers(1, 12))) for _ in range(60)) for _ in range(20)] for _ in range(4)]
+    asked = []
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    coder.encode([t for ts in batches for t in ts[:19]])
+    coder.vocabulary.ids = Counted(coder.vocabulary.ids)
+    coder.encode([ts[19] for ts in batches])
+    assert len(asked) < 0.2 * sum(len(ts[19].encode()) for ts in batches)
+    for name in ("KEPT_CHUNKS", "KEPT_STEPS", "KEPT_FITS"):
+        monkeypatch.setattr(bpe, name, 30)
+    coder = bpe.Encoder(bpe.Vocabulary(spec))
+    for ts in batches:
+        for t, packed in zip(ts, coder.encode(ts), strict=True):
+            assert np.frombuffer(packed, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 1000])
 def test_planes_round_trip(n, bits):

@@ -4,7 +4,9 @@ The encoding of a prefix is known from its last token alone: the encoding of a w
 place is that up to the start of the last token, and then the last token.  So the distinct words
 of a slice are walked as a trie, in depth-first (that is, sorted) order, and each node gets the
 last token of its prefix.  The token is the one that ends there, whose start's own last token may
-stand before it.  Words that share a prefix share its nodes, which are computed once.
+stand before it.  Words that share a prefix share its nodes, which are computed once.  The tokens that
+end at a node are those that end the longest tail of its prefix that begins a token; that tail
+follows from the one before and the next byte, and so do they.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from .common import claim, ids_and_texts, map_texts
 
 #: Fixed values of the byte-level format: the pattern that splits text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct chunks of text whose ids a worker keeps; above that it starts anew.
+#: Distinct chunks of text whose ids a worker keeps; above that only those that came again stay.
 KEPT_CHUNKS = 300_000
+#: Steps from tail to tail, and pairs of tokens, that a vocabulary keeps; above that it starts anew.
+KEPT_STEPS, KEPT_FITS = 400_000, 400_000
 
 _TWO_SPACES = re.compile(r"\s\s")
 
@@ -78,7 +82,12 @@ class Vocabulary:
         self._fits: dict[int, bool] = {}
         # a token that merging its own bytes does not give is never in an encoding
         self.ids = {b: i for b, i in ids.items() if i not in born or self._is_whole(i, born)}
-        self.longest = max(map(len, self.ids))
+        self.sizes = [len(b) for b in self.bytes_of]
+        #: What begins a token, numbered; for each the tokens that end it, longest first, once it is reached.
+        self.tails = list({b[:n]: None for b in self.ids for n in range(len(b) + 1)})
+        self.tail_of = {b: n for n, b in enumerate(self.tails)}
+        self.ending: list[tuple[int, ...] | None] = [None] * len(self.tails)
+        self._steps: dict[int, int] = {}
 
     def _is_whole(self, t: int, born: dict) -> bool:
         """Whether the bytes of ``t`` merge to ``t``: nothing crosses the seam of its two parts earlier."""
@@ -97,7 +106,7 @@ class Vocabulary:
         key = s << 20 | t
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 400_000:
+            if len(self._fits) > KEPT_FITS:
                 self._fits.clear()
             known = self._fits[key] = not any(
                 (q := self.rank.get((a, b))) is not None and q < gone_a and q <= gone_b
@@ -106,30 +115,46 @@ class Vocabulary:
             )
         return known
 
+    def _step(self, tail: int, byte: int) -> int:
+        """The longest tail that begins a token, after one byte more."""
+        if len(self._steps) > KEPT_STEPS:
+            self._steps.clear()
+        found = self.tails[tail] + bytes((byte,))
+        while found not in self.tail_of:
+            found = found[1:]
+        n = self._steps[tail << 8 | byte] = self.tail_of[found]
+        if self.ending[n] is None:
+            self.ending[n] = tuple(t for k in range(len(found)) if (t := self.ids.get(found[k:])) is not None)
+        return n
+
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
         """The ids of each distinct word, by one traversal of their trie."""
-        ids, fits, longest, bytes_of = self.ids, self.fits, self.longest, self.bytes_of
+        fits, ending, sizes, steps, known = self.fits, self.ending, self.sizes, self._steps.get, self._fits.get
         out: dict[bytes, list[int]] = {}
-        last = [-1]  # of the path's nodes: the last token of the prefix
+        last, tails = [-1], [self.tail_of[b""]]  # of the path's nodes: the last token of the prefix, and its tail
         path = b""
         for word in sorted(set(words)):
             shared, most = 0, min(len(path), len(word))
             while shared < most and path[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(word[start:end])
-                    if token is not None and (start == 0 or fits(last[start], token)):
-                        last.append(token)
+            del last[shared + 1 :], tails[shared + 1 :]
+            tail, end = tails[shared], shared
+            for byte in word[shared:]:
+                end += 1
+                tail = now if (now := steps(tail << 8 | byte)) is not None else self._step(tail, byte)
+                for token in ending[tail]:
+                    start = end - sizes[token]
+                    if not start or (may if (may := known(last[start] << 20 | token)) is not None else fits(last[start], token)):
                         break
                 else:
                     raise ValueError(f"no token ends {word[:end]!r}")
-            path, end, found = word, len(word), []
+                last.append(token)
+                tails.append(tail)
+            path, found = word, []
             while end:
                 token = last[end]
                 found.append(token)
-                end -= len(bytes_of[token])
+                end -= sizes[token]
             out[word] = found[::-1]
         return out
 
@@ -145,12 +170,19 @@ class Encoder:
     def _learn(self, chunks: set[str]) -> None:
         """Put the ids of chunks, each with a space before it, into the table."""
         if len(self.chunks) > KEPT_CHUNKS:
-            self.chunks.clear()
-        parts = {c: [w.encode() for w in self.split(" " + c)] for c in chunks if c not in self.chunks}
-        known = self.vocabulary.encode_words(w for ws in parts.values() for w in ws)
-        packed = {w: struct.pack(f"<{len(i)}I", *i) for w, i in known.items()}
+            self.chunks = {c: self.chunks[c] for c in chunks if c in self.chunks}
+        new = chunks.difference(self.chunks)
+        # letters alone are one word
+        one = {c: (" " + c).encode() for c in new if c.isascii() and c.isalpha()}
+        parts = {c: [w.encode() for w in self.split(" " + c)] for c in new if c not in one}
+        packed = self._packed({*one.values(), *(w for ws in parts.values() for w in ws)})
+        for c, w in one.items():
+            self.chunks[c] = packed[w]
         for c, ws in parts.items():
-            self.chunks[c] = packed[ws[0]] if len(ws) == 1 else b"".join([packed[w] for w in ws])
+            self.chunks[c] = b"".join([packed[w] for w in ws])
+
+    def _packed(self, words: set[bytes]) -> dict[bytes, bytes]:
+        return {w: struct.pack(f"<{len(i)}I", *i) for w, i in self.vocabulary.encode_words(words).items()}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         """Texts without added tokens.
@@ -160,10 +192,9 @@ class Encoder:
         """
         spaced = [bool(_TWO_SPACES.search(t)) or t[-1:].isspace() for t in texts]
         cut = [None if odd else t.split(" ") for t, odd in zip(texts, spaced, strict=True)]
-        self._learn({c for cs in cut if cs for c in cs[1:]})
+        self._learn(set().union(*(cs[1:] for cs in cut if cs)))
         whole = [self.split(t if odd else cs[0]) for t, cs, odd in zip(texts, cut, spaced, strict=True)]
-        known = self.vocabulary.encode_words({w.encode() for ws in whole for w in ws})
-        packed = {w.decode(): struct.pack(f"<{len(i)}I", *i) for w, i in known.items()}
+        packed = {w.decode(): ids for w, ids in self._packed({w.encode() for ws in whole for w in ws}).items()}
         get = self.chunks.__getitem__
         return [b"".join([*map(packed.__getitem__, ws), *(map(get, cs[1:]) if cs else ())]) for ws, cs in zip(whole, cut, strict=True)]
 
