@@ -109,6 +109,26 @@ def test_links_of_close_fingerprints(spark, monkeypatch, paired):
     assert {f: found.get(f, f) for f in fps} == label
 
 
+def test_variants_of_fingerprints_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """2,000 fingerprints are a file below the threshold, their 128,000 variants far above it."""
+    g, plans = np.random.default_rng(4), []
+    spark.createDataFrame([(int(x),) for x in g.integers(-(2**63), 2**63, 2000)], "fp long").write.parquet(str(tmp_path / "fps"))
+
+    def kept(df, name):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(simhash, "stored", kept)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        kept(simhash.links(spark.read.parquet(str(tmp_path / "fps"))), "links")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 2 and "BroadcastExchange" not in "".join(plans)
+
+
 # 10
 
 

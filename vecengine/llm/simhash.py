@@ -89,13 +89,17 @@ def links(fps: DataFrame) -> DataFrame:
     compared pair by pair.  In a larger bucket a second bit is taken out, of the whole
     fingerprint: those that then agree differ in at most two bits, and each is linked to the
     least of them, so no bucket costs more than its size times a constant.
+
+    Spark takes an exploded table to be as large as the one before, and would send 64 rows a
+    fingerprint through the driver; hints keep the joins shuffled.
     """
     sigs = variants(fps)
     counted = sigs.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
-    rows = stored(sigs.join(counted, "sig").select("sig", "fp", "n"), "simhash-buckets")
+    rows = stored(sigs.hint("merge").join(counted, "sig").select("sig", "fp", "n"), "simhash-buckets")
     small = rows.where(F.col("n") <= PAIRED).select("sig", "fp")
     pairs = (
         small.alias("a")
+        .hint("merge")
         .join(small.alias("b"), F.expr(f"a.sig = b.sig AND a.fp < b.fp AND bit_count(a.fp ^ b.fp) <= 2 AND {_canonical()}"))
         .selectExpr("b.fp AS u", "a.fp AS v")
     )
@@ -109,7 +113,7 @@ def links(fps: DataFrame) -> DataFrame:
     )
     cut = cut.distinct()
     first = cut.groupBy("ij", "rest").agg(F.min("fp").alias("m"), F.count("*").alias("k")).where("k > 1")
-    stars = cut.join(first, ["ij", "rest"]).where("fp <> m").selectExpr("fp AS u", "m AS v").distinct()
+    stars = cut.hint("merge").join(first, ["ij", "rest"]).where("fp <> m").selectExpr("fp AS u", "m AS v").distinct()
     return pairs.union(stars)
 
 
@@ -127,4 +131,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
     placed = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(placed.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.hint("merge").join(placed.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
