@@ -360,3 +360,37 @@ def test_recall_by_distance_counts_ties(spark):
     answer = spark.createDataFrame([(0, 1, 1.0), (0, 9, 2.0)], "qid long, vec_id long, score double")
     assert tuple(evaluate.recall_by_distance(answer, truth).first()) == (0, 2, 2)
     assert math.isclose(evaluate.recall(answer, truth).first().recall, 0.5)
+
+
+def executed(df):
+    """The plan as it ran, after a run."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_probes_are_not_broadcast(spark, x, monkeypatch):
+    """Spark sizes pairs of a query and a cell by the cells alone; there is no bound on how many they are."""
+    v, c, q = table(spark, x), table(spark, x[:6], "cid", "c"), table(spark, x[:30], "qid", "qv")
+    found = lambda: search.ivf_knn(q, search.assign(v, c), c, 5, 4)
+    want = pairs(found())
+    monkeypatch.setattr(search, "SENT_PROBES", 10)
+    assert pairs(found()) == want
+    plan = executed(found())
+    assert "FlatMapCoGroupsInArrow" in plan
+    probes = [line for line in plan.splitlines() if "BroadcastExchange" in line and "qid" in line]
+    assert not probes and plan.count("BroadcastHashJoin [qid") == 0
+
+
+@pytest.mark.parametrize("bytes_", [8 << 20, 400])
+def test_rounds_of_queries_give_the_k_best_with_ties_by_id(spark, monkeypatch, bytes_):
+    g = np.random.default_rng(21)
+    x = g.integers(0, 3, (400, 3)).astype(float)  # copies and ties everywhere; integers, so that scores are exact
+    q, v = table(spark, x[:40], "qid", "qv"), table(spark, x).repartition(3)
+    monkeypatch.setattr(search, "SENT", 4)
+    monkeypatch.setattr(search, "SENT_BYTES", bytes_)
+    monkeypatch.setattr(search, "TILE", 40 * 9)
+    for name, d, sign in (("l2", ((x[:40, None] - x) ** 2).sum(axis=2), 1), ("ip", x[:40] @ x.T, -1)):
+        for k in (7, 500):
+            order = np.lexsort((np.broadcast_to(np.arange(400), d.shape), sign * d), axis=1)[:, :k]
+            want = {(i, n + 1, int(j), d[i, j]) for i in range(40) for n, j in enumerate(order[i])}
+            assert {tuple(r) for r in search.knn(q, v, k, name).collect()} == want

@@ -150,3 +150,10 @@ def test_small_parts_are_dissolved_between_levels(spark, monkeypatch):
     assert min(r["count"] for r in plain) < 10 <= min(sizes.values())
     assert dealt.select("vec_id").distinct().count() == dealt.count() == len(x)
     assert cluster.pack_clusters(v, 15, 5, 7).select("vec_id").distinct().count() == len(x)
+
+
+def test_a_search_of_all_blocks_needs_no_probes(held, monkeypatch):
+    index, q, truth = held
+    monkeypatch.setattr(search, "probe", lambda *_: pytest.fail("pairs of every query and every block"))
+    rows = lambda df: {(r.qid, r.rank, r.vec_id) for r in df.collect()}
+    assert rows(index.knn(q, 10, index.blocks().count())) == rows(truth)

@@ -164,8 +164,13 @@ class VectorIndex:
         return self._rows().select(F.col("key").alias("cid"), "vec_id", "v"), self.blocks().select(key.alias("cid"), "c", "reach")
 
     def knn(self, queries: DataFrame, k: int, nprobe: int, seen: Observation | None = None) -> DataFrame:
-        """``(qid, rank, vec_id, score)``: the k best in the nprobe best blocks of each query; ``seen`` is told the distances made."""
+        """``(qid, rank, vec_id, score)``: the k best in the nprobe best blocks of each query; ``seen`` is told the distances made.
+
+        Where that is every block there is nothing to choose, and all rows are searched without a table of probes.
+        """
         members, blocks = self._keyed()
+        if seen is None and nprobe >= blocks.count():
+            return search.knn(queries, members.select("vec_id", "v"), k, self.params.metric)
         return search.ivf_knn(queries, members, blocks, k, nprobe, self.params.metric, True, seen)
 
     def probes_for(self, k: int, recall: float = 0.9, queries: int = 64) -> int:
