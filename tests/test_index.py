@@ -157,3 +157,17 @@ def test_a_search_of_all_blocks_needs_no_probes(held, monkeypatch):
     monkeypatch.setattr(search, "probe", lambda *_: pytest.fail("pairs of every query and every block"))
     rows = lambda df: {(r.qid, r.rank, r.vec_id) for r in df.collect()}
     assert rows(index.knn(q, 10, index.blocks().count())) == rows(truth)
+
+
+def test_a_range_by_product_with_many_queries_makes_no_pairs(spark, tmp_path, monkeypatch):
+    g = np.random.default_rng(13)
+    x = g.standard_normal((600, 6)) * g.uniform(0.5, 3, (600, 1))
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, v array<double>")
+    index = VectorIndex.build(rows, str(tmp_path / "i"), IndexParams(metric="ip", clusters=6, block_bytes=512))
+    q = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
+    monkeypatch.setattr(search, "SENT", 8)
+    found = index.range(q, 20.0)
+    i, j = np.nonzero(x[::10] @ x.T > 20.0)
+    assert len(i) and sorted((r.qid, r.vec_id) for r in found.collect()) == sorted(zip((10 * i).tolist(), j.tolist(), strict=True))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CoGroup" not in plan
